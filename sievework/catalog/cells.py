@@ -22,7 +22,8 @@ SEGMENT_CODES = {"building": "BLD", "machinery": "MCH", "household": "HSH"}
 def trimmed_cell_counts(spark: SparkSession, sf: str) -> DataFrame:
     """Cells per column that change when outer white space is removed."""
     items = fixture(spark, sf, "dirty_items")
-    return pf.long_counts(items, items.columns, lambda c: ~c.eqNullSafe(tx.strip(c)), "n_changed").withColumnRenamed(
+    return pf.long_counts(items, items.columns, lambda c: ~pf.quoted(c).eqNullSafe(tx.strip(pf.quoted(c))),
+                          "n_changed").withColumnRenamed(
         "column", "column_name")
 
 

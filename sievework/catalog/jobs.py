@@ -111,7 +111,7 @@ def before_after_scorecard(spark: SparkSession, sf: str) -> DataFrame:
 @operation("JOB-4", uses=["dirty_items"], sql=q.repaired_items("dirty_items") + "SELECT * FROM clean_items")
 def repaired_items(spark: SparkSession, sf: str) -> DataFrame:
     """Items after the one-table repair."""
-    return single_table.repair(fixture(spark, sf, "dirty_items")).table
+    return single_table.repair(single_table.stage(fixture(spark, sf, "dirty_items"))).table
 
 
 def _trimmed(table: str) -> str:
@@ -134,7 +134,7 @@ UNION ALL SELECT 4, 'flag', 'canonicalised', (SELECT count(*) FROM flag_counts)
 UNION ALL SELECT 5, '', 'imputed', {_imputed('coerced')}) t(step, column_name, action, n_changed) WHERE n_changed > 0""")
 def items_changelog(spark: SparkSession, sf: str) -> DataFrame:
     """What the one-table repair changed, with counts."""
-    steps = single_table.repair(fixture(spark, sf, "dirty_items")).steps
+    steps = single_table.repair(single_table.stage(fixture(spark, sf, "dirty_items"))).steps
     return spark.createDataFrame(steps, "step bigint, column_name string, action string, n_changed bigint")
 
 
@@ -211,11 +211,9 @@ def quarantined_items(spark: SparkSession, sf: str) -> DataFrame:
     return single_table.run_trusted(fixture(spark, sf, "sparse_items"), mode="reference").quarantine
 
 
-_HONEST = " OR ".join(q.is_missing_word(c) for c in ("price", "discount", "quantity", "ship_date", "flag"))
-
-
 @operation("JOB-5 SET-4", uses=["sparse_items"], sql=q.repaired_items("sparse_items") + f"""
-SELECT * FROM unique_items WHERE {_HONEST}""")
+SELECT item_id, price, discount, quantity_text AS quantity, ship_date, flag FROM coerced
+WHERE price IS NULL OR discount IS NULL OR quantity IS NULL OR flag IS NULL""")
 def honest_quarantine(spark: SparkSession, sf: str) -> DataFrame:
     """Sparse items with any missing cell, as the default mode of the loop sets them aside."""
     return single_table.run_trusted(fixture(spark, sf, "sparse_items")).quarantine

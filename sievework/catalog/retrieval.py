@@ -86,7 +86,7 @@ def passage_labels(spark: SparkSession, sf: str) -> DataFrame:
 # --- ranking ------------------------------------------------------------------------------------------------
 
 _VECTORS = "p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
-_COS = "round(list_cosine_similarity(a.v, b.v), 9)"
+_COS = "round(list_cosine_similarity(a.v, b.v), 6)"
 
 
 def _dense(queries: str, n: int) -> str:
@@ -101,11 +101,11 @@ t AS (SELECT id, {_TOKENS} AS ts FROM {docs}),
 tf AS (SELECT id, term, count(*) AS tf FROM (SELECT id, unnest(ts) AS term FROM t) GROUP BY 1, 2),
 stats AS (SELECT count(*) AS n, avg(len(ts)) AS mean_len FROM t),
 raw AS (SELECT term, ln(stats.n - count(*) + 0.5) - ln(count(*) + 0.5) AS idf FROM tf, stats GROUP BY term, stats.n),
-idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT avg(idf) FROM raw) ELSE idf END AS idf FROM raw),
+idf AS (SELECT term, CASE WHEN idf < 0 THEN 0.25 * (SELECT favg(idf) FROM raw) ELSE idf END AS idf FROM raw),
 asked AS (SELECT query_id, term, count(*) AS n_asked FROM
    (SELECT query_id, unnest({_TOKENS}) AS term FROM questions) GROUP BY 1, 2),
 scored AS (SELECT query_id, tf.id, round(sum(n_asked * idf * tf * 2.5 /
-     (tf + 1.5 * (0.25 + 0.75 * len(ts) / mean_len))), 9) AS score
+     (tf + 1.5 * (0.25 + 0.75 * len(ts) / mean_len))), 6) AS score
    FROM asked JOIN idf USING (term) JOIN tf USING (term) JOIN t ON t.id = tf.id, stats GROUP BY 1, 2),
 bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) AS rank
    FROM scored WHERE score > 0) WHERE rank <= {n})"""

@@ -123,10 +123,11 @@ def repaired_items(table: str) -> str:
     return f"""+
 unique_items AS (SELECT DISTINCT trim(item_id) AS item_id, trim(price) AS price, trim(discount) AS discount,
                    trim(quantity) AS quantity, trim(ship_date) AS ship_date, trim(flag) AS flag FROM {table}),
-flag_counts AS (SELECT lower(flag) AS norm, flag, count(*) AS n FROM unique_items WHERE flag IS NOT NULL GROUP BY 1, 2),
+flag_counts AS (SELECT lower(trim(flag)) AS norm, trim(flag) AS flag, count(*) AS n FROM {table}
+                WHERE flag IS NOT NULL GROUP BY 1, 2),
 flag_best AS (SELECT norm, flag AS best FROM
    (SELECT norm, flag, row_number() OVER (PARTITION BY norm ORDER BY n DESC, flag) AS rn FROM flag_counts) WHERE rn = 1),
-coerced AS (SELECT item_id, {number('price')} AS price, {number('discount')} AS discount, {q} AS quantity,
+coerced AS (SELECT item_id, {number('price')} AS price, {number('discount')} AS discount, {q} AS quantity, quantity AS quantity_text,
               {iso_any('ship_date')} AS ship_date, best AS flag
             FROM unique_items LEFT JOIN flag_best ON lower(flag) = norm),
 clean_items AS (SELECT item_id, coalesce(price, (SELECT median(price) FROM coerced)) AS price,

@@ -160,7 +160,7 @@ def json_cells(spark: SparkSession, sf: str) -> DataFrame:
            + "SELECT 'clean' AS part, count(*) AS n_rows FROM clean_items")
 def written_clean_table(spark: SparkSession, sf: str) -> DataFrame:
     """Rows of the repaired items as written; nothing is quarantined, so no second table appears."""
-    repaired = single_table.repair(fixture(spark, sf, "dirty_items")).table
+    repaired = single_table.repair(single_table.stage(fixture(spark, sf, "dirty_items"))).table
     clean, bad = csv.write_repair(repaired, repaired.limit(0), work_path(spark, "out"), "items")
     parts = [("clean", clean)] + ([("quarantined", bad)] if bad else [])
     rows = [(part, spark.read.parquet(path).count()) for part, path in parts]

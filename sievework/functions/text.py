@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 # --- fixed values: formats and words that decide the results -----------------------------------
 MISSING_WORDS = ["", "nan", "<NA>", "None"]
 UNKNOWN = "UNKNOWN"
-OUTER_SPACE = r"(?U)^\s+|\s+$"
+WHITE_SPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007"
+               "\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000")
 CURRENCY = r"^\s*[\$£€]\s?[\d,]+\.?\d*\s*$"
 PERCENT = r"^\s*\d+(\.\d+)?\s?%\s*$"
 COMMA_NUMBER = r"^\s*\d{1,3}(,\d{3})+(\.\d+)?\s*$"
@@ -35,7 +36,7 @@ _NUMBER = r"^[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?$"
 
 def strip(c: Column) -> Column:
     """Remove outer white space of any kind, Unicode blanks included."""
-    return F.regexp_replace(c, OUTER_SPACE, "")
+    return F.btrim(c, F.lit(WHITE_SPACE))
 
 
 def is_missing(c: Column) -> Column:
@@ -44,7 +45,7 @@ def is_missing(c: Column) -> Column:
 
 
 def is_missing_word(c: Column) -> Column:
-    """Null, empty, or one of the texts that stand for a missing value."""
+    """Null, empty, or one of the texts that stand for a missing value; never null itself."""
     return c.isNull() | c.isin(MISSING_WORDS)
 
 

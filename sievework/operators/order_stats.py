@@ -53,13 +53,19 @@ def exact_ranks(df: DataFrame, ranks: dict[str, list[int]], counts: dict[str, in
 
 
 def _narrow(df: DataFrame, searches: list[_Search], accuracy: int) -> None:
+    # searches in the same interval share one sketch
+    shared: dict[tuple, list[_Search]] = {}
+    for s in searches:
+        shared.setdefault((s.column, s.low, s.high), []).append(s)
     sketches = []
-    for i, s in enumerate(searches):
-        c = F.col(f"`{s.column}`")
-        place, slack = (s.rank - s.below + 0.5) / s.inside, 2.0 / accuracy
-        wanted = [max(0.0, place - slack), min(1.0, place + slack)]
-        sketches.append(F.percentile_approx(F.when(s.within(c), c), wanted, accuracy).alias(f"q{i}"))
-    guesses = df.agg(*sketches).first()
+    for i, group in enumerate(shared.values()):
+        c, slack = F.col(f"`{group[0].column}`"), 2.0 / accuracy
+        places = [(s.rank - s.below + 0.5) / s.inside for s in group]
+        wanted = [min(1.0, max(0.0, p + d)) for p in places for d in (-slack, slack)]
+        sketches.append(F.percentile_approx(F.when(group[0].within(c), c), wanted, accuracy).alias(f"q{i}"))
+    found = df.agg(*sketches).first()
+    bounds = {id(s): found[i][2 * j:2 * j + 2] for i, group in enumerate(shared.values()) for j, s in enumerate(group)}
+    guesses = [bounds[id(s)] for s in searches]
     tallies = []
     for i, s in enumerate(searches):
         c, (lo, hi) = F.col(f"`{s.column}`"), guesses[i]

@@ -46,6 +46,23 @@ def quoted(name: str) -> Column:
     return F.col(f"`{name}`")
 
 
+def missing(df: DataFrame, name: str) -> Column:
+    """Null or empty text; for other types null or not-a-number."""
+    return _by_type(df, name, tx.is_missing)
+
+
+def missing_word(df: DataFrame, name: str) -> Column:
+    """Like :func:`missing`, counting the texts that stand for a missing value too."""
+    return _by_type(df, name, tx.is_missing_word)
+
+
+def _by_type(df: DataFrame, name: str, text_rule) -> Column:
+    c, kind = quoted(name), df.schema[name].dataType
+    if isinstance(kind, T.StringType):
+        return text_rule(c)
+    return c.isNull() | F.isnan(c) if isinstance(kind, (T.FloatType, T.DoubleType)) else c.isNull()
+
+
 def aggregate_columns(df: DataFrame, columns: list[str], measures) -> dict[str, dict[str, object]]:
     """Evaluate ``measures(name, column) -> {label: aggregate}`` for many columns, one row back.
 
@@ -66,8 +83,8 @@ def aggregate_columns(df: DataFrame, columns: list[str], measures) -> dict[str,
 
 
 def long_counts(df: DataFrame, columns: list[str], condition, name: str = "n") -> DataFrame:
-    """One row per column with the number of rows meeting ``condition(column)``."""
-    wide = df.agg(*[F.count_if(condition(quoted(c))).alias(f"c{i}") for i, c in enumerate(columns)])
+    """One row per column with the number of rows meeting ``condition(name)``."""
+    wide = df.agg(*[F.count_if(condition(c)).alias(f"c{i}") for i, c in enumerate(columns)])
     pairs = F.array(*[F.struct(F.lit(i).cast("bigint").alias("ordinal"), F.lit(c).alias("column"),
                                F.col(f"c{i}").alias(name)) for i, c in enumerate(columns)])
     return wide.select(F.inline(pairs))
@@ -75,7 +92,7 @@ def long_counts(df: DataFrame, columns: list[str], condition, name: str = "n") -
 
 def missing_counts(df: DataFrame) -> DataFrame:
     """Missing cells per column, in column order."""
-    return long_counts(df, df.columns, lambda c: tx.is_missing(c.cast("string")), "n_missing")
+    return long_counts(df, df.columns, lambda name: missing(df, name), "n_missing")
 
 
 def top_missing(df: DataFrame, n: int = TOP_MISSING) -> DataFrame:
@@ -199,8 +216,8 @@ def spelling_map(df: DataFrame, columns: list[str]) -> DataFrame:
     if not columns:
         return df.sparkSession.createDataFrame([], schema)
     counted = value_counts(df, columns).withColumn("norm", tx.spelling(F.col("value")))
-    per_column = counted.groupBy("column").agg(F.count(F.lit(1)).alias("n_values"))
-    few = counted.join(per_column.where(F.col("n_values") <= MAX_SPELLINGS).select("column"), "column")
+    few = (counted.withColumn("n_values", F.count(F.lit(1)).over(Window.partitionBy("column")))
+           .where(F.col("n_values") <= MAX_SPELLINGS))
     best_first = Window.partitionBy("column", "norm").orderBy(F.desc("n"), F.asc("value"))
     return (few.withColumn("canonical", F.first("value").over(best_first))
             .where("value <> canonical").select("column", "value", "canonical", "n"))
@@ -216,14 +233,22 @@ class TableProfile:
     n_rows: int = 0
     n_duplicates: int = 0
     missing: dict[str, int] = field(default_factory=dict)
+    holes: dict[str, int] = field(default_factory=dict)
+    trimmed: dict[str, int] = field(default_factory=dict)
     kinds: dict[str, str] = field(default_factory=dict)
     examples: dict[str, str] = field(default_factory=dict)
     spellings: dict[str, dict[str, str]] = field(default_factory=dict)
+    trimmed_spellings: dict[str, dict[str, str]] = field(default_factory=dict)
 
     @property
     def n_missing(self) -> int:
         return sum(self.missing.values())
 
+    @property
+    def hole_share(self) -> float:
+        """Share of cells a repair would have to invent, by the wide rule for missing cells."""
+        return sum(self.holes.values()) / max(self.n_rows * len(self.columns), 1)
+
     @property
     def issues(self) -> list[str]:
         found = [f"'{c}' stores {KIND_WORDS[k]} as text (e.g. \"{self.examples[c]}\") — needs coercion"
@@ -243,9 +268,9 @@ class TableProfile:
 def read_spellings(df: DataFrame, columns: list[str]) -> dict[str, dict[str, str]]:
     """The spelling map on the driver: at most MAX_SPELLINGS rows per column, by construction."""
     maps: dict[str, dict[str, str]] = {}
-    for row in spelling_map(df, columns).orderBy("column", "value").collect():
+    for row in sorted(spelling_map(df, columns).collect()):
         maps.setdefault(row["column"], {})[row["value"]] = row["canonical"]
-    return {c: maps[c] for c in df.columns if c in maps}
+    return {c: maps[c] for c in columns if c in maps}
 
 
 def gated(measured: dict[str, dict[str, object]]) -> list[str]:
@@ -254,24 +279,37 @@ def gated(measured: dict[str, dict[str, object]]) -> list[str]:
 
 
 def profile_table(df: DataFrame) -> TableProfile:
-    """Rows, duplicates, missing cells, kinds and spelling variants of one table."""
+    """Rows, duplicates, missing cells, kinds and spelling variants of one table.
+
+    Besides the spelling variants of the cells as they are, those that remain after trimming are
+    found for the same columns, since a repair trims first.
+    """
     texts = text_columns(df)
     copies = duplicate_counts(df).first()
     profile = TableProfile(columns=df.columns, n_rows=copies["n_rows"], n_duplicates=copies["n_duplicates"])
 
     def measures(name: str, c: Column) -> dict[str, Column]:
-        found = {"missing": F.count_if(tx.is_missing(c.cast("string")))}
+        found = {"missing": F.count_if(missing(df, name)), "holes": F.count_if(missing_word(df, name))}
         if name in texts:
             found |= kind_measures(name, c) | spelling_measures(name, c)
+            found["trimmed"] = F.count_if(~c.eqNullSafe(tx.strip(c)))
         return found
 
     measured = aggregate_columns(df, df.columns, measures)
     profile.missing = {c: m["missing"] for c, m in measured.items()}
+    profile.holes = {c: m["holes"] for c, m in measured.items()}
     for c in texts:
         kind = kind_of(measured[c])
         if kind:
             profile.kinds[c], profile.examples[c] = kind, measured[c]["example"]
-    profile.spellings = read_spellings(df, gated({c: measured[c] for c in texts}))
+    measured = {c: measured[c] for c in texts}
+    profile.trimmed = {c: m["trimmed"] for c, m in measured.items()}
+    # both maps from one pass: a column as it is, and a trimmed twin under a marked name
+    few = gated(measured)
+    both = df.select(*[quoted(c) for c in few], *[tx.strip(quoted(c)).alias(f"{c}\u0001") for c in few])
+    maps = read_spellings(both, both.columns)
+    profile.spellings = {c: m for c, m in maps.items() if not c.endswith("\u0001")}
+    profile.trimmed_spellings = {c[:-1]: m for c, m in maps.items() if c.endswith("\u0001")}
     return profile
 
 

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import text as tx
-from .profile import quoted, text_columns
+from .profile import missing_word, quoted, text_columns
 
 # --- fixed values: spellings of the states the reference data uses -------------------------------
 STATE_NAMES = {"ca": "CA", "california": "CA", "ny": "NY", "new york": "NY", "tx": "TX", "texas": "TX"}
@@ -82,9 +84,9 @@ def fill_missing(df: DataFrame, medians: dict[str, float], placeholders: list[st
         if c in all_numeric:
             changed[c] = F.coalesce(as_number(df, c), F.lit(median))
         else:
-            changed[c] = F.when(tx.is_missing_word(quoted(c)), F.lit(median).cast("string")).otherwise(quoted(c))
+            changed[c] = F.when(missing_word(df, c), F.lit(median).cast("string")).otherwise(quoted(c))
     for c in placeholders:
-        changed[c] = F.when(tx.is_missing_word(quoted(c).cast("string")), F.lit(tx.UNKNOWN)).otherwise(quoted(c))
+        changed[c] = F.when(missing_word(df, c), F.lit(tx.UNKNOWN)).otherwise(quoted(c).cast("string"))
     return project(df, **changed)
 
 
@@ -94,13 +96,9 @@ def any_unknown(df: DataFrame) -> Column:
     return F.coalesce(F.exists(cells, lambda x: x.isNotNull() & (x == tx.UNKNOWN)), F.lit(False))
 
 
-def any_missing(df: DataFrame, kinds: dict[str, str]) -> Column:
-    """True for rows in which any cell is missing, or will be once its column is coerced."""
-    def cell(c: str) -> Column:
-        hidden = kinds.get(c, "date") != "date"
-        return (tx.to_number(quoted(c)) if hidden else quoted(c)).cast("string")
-
-    return F.coalesce(F.exists(F.array(*[cell(c) for c in df.columns]), tx.is_missing_word), F.lit(False))
+def any_missing(df: DataFrame) -> Column:
+    """True for rows in which any cell is missing."""
+    return reduce(lambda a, b: a | b, [missing_word(df, c) for c in df.columns])
 
 
 def split_rows(df: DataFrame, bad: Column) -> tuple[DataFrame, DataFrame]:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
-from .profile import duplicate_counts, quoted
+from .profile import duplicate_counts, missing, missing_word, quoted
 
 # --- fixed values: the two-table model and its required columns ---------------------------------
 DIMENSIONS = ["completeness", "uniqueness", "validity", "consistency", "integrity", "key_hygiene"]
@@ -121,14 +121,18 @@ def scorecard(customers: DataFrame, orders: DataFrame) -> DataFrame:
 def generic_counts(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Cells, missing cells, rows, distinct rows and checked / good cells of the kind columns."""
     cells = df.agg(F.count(F.lit(1)).alias("n_rows"),
-                   _sum([F.count_if(tx.is_missing(quoted(c).cast("string"))) for c in df.columns]).alias("n_missing"),
-                   _sum([F.count(quoted(c)) for c in kinds] or [F.lit(0)]).cast("bigint").alias("n_checked"),
-                   _sum([F.count_if(_is_valid(quoted(c), kind)) for c, kind in kinds.items()]
-                        or [F.lit(0)]).cast("bigint").alias("n_valid"))
+                   _sum([F.count_if(missing(df, c)) for c in df.columns]).alias("n_missing"), *valid_counts(kinds))
     both = cells.unionByName(duplicate_counts(df).select("n_distinct"), allowMissingColumns=True)
     return both.agg(*[F.sum(n).alias(n) for n in ("n_rows", "n_missing", "n_checked", "n_valid", "n_distinct")])
 
 
+def valid_counts(kinds: dict[str, str]) -> list[Column]:
+    """Aggregates: non-null cells of the kind columns, and those already in clean form."""
+    return [_sum([F.count(quoted(c)) for c in kinds] or [F.lit(0)]).cast("bigint").alias("n_checked"),
+            _sum([F.count_if(_is_valid(quoted(c), kind)) for c, kind in kinds.items()] or [F.lit(0)])
+            .cast("bigint").alias("n_valid")]
+
+
 def _is_valid(c: Column, kind: str) -> Column:
     return tx.is_iso_date(c) if kind == "date" else tx.parse_number(c).isNotNull()
 
@@ -151,6 +155,6 @@ def generic_score(df: DataFrame, kinds: dict[str, str], inconsistent: bool) -> D
 
 def missing_share(df: DataFrame) -> DataFrame:
     """Cells that a repair would have to invent: missing cells, all cells and their ratio."""
-    counted = df.agg(_sum([F.count_if(tx.is_missing_word(quoted(c).cast("string"))) for c in df.columns])
-                     .alias("n_missing"), (F.count(F.lit(1)) * len(df.columns)).alias("n_cells"))
+    counted = df.agg(_sum([F.count_if(missing_word(df, c)) for c in df.columns]).alias("n_missing"),
+                     (F.count(F.lit(1)) * len(df.columns)).alias("n_cells"))
     return counted.withColumn("share", F.col("n_missing") / F.greatest(F.col("n_cells"), F.lit(1)))

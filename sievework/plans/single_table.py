@@ -12,7 +12,7 @@ from ..operators import order_stats
 from ..operators import profile as pf
 from ..operators import repair as rp
 from ..operators import score as sc
-from ..session import materialize
+from ..session import materialize, spread
 
 # --- fixed values: thresholds that decide the results --------------------------------------------
 NUMERIC_SHARE = 0.6
@@ -23,9 +23,13 @@ MAX_IMPUTED_SHARE = 0.10
 
 @dataclass
 class Repair:
-    """A repaired table with what was done to it, as (step, column, action, n_changed) rows."""
+    """A repaired table with what was done to it, as (step, column, action, n_changed) rows.
+
+    ``recovered`` is the table before anything was invented: its missing cells are still missing.
+    """
 
     table: DataFrame
+    recovered: DataFrame
     profile: pf.TableProfile
     steps: list[tuple[int, str, str, int]] = field(default_factory=list)
     n_imputed: int = 0
@@ -49,33 +53,32 @@ def _sentence(column: str, action: str, n: int) -> str:
 def repair(df: DataFrame, profile: pf.TableProfile | None = None, final_dedupe: bool = False) -> Repair:
     """Trim, drop copies, coerce kinds, unify spellings and fill what is missing, in that order.
 
-    Scans: one aggregate over the input (trimmed cells, kinds), one shuffle that drops copies and
-    whose result is written once; the remaining counts and medians read only the columns they use.
+    The one shuffle that moves whole rows is the one that drops copies; its result, already coerced
+    and unified, is written once.  Counts and medians then read only the columns they use, and
+    filling is a projection over those files.
     """
     profile = profile or pf.profile_table(df)
-    texts = pf.text_columns(df)
-    trimmed = df.agg(*[F.count_if(~pf.quoted(c).eqNullSafe(tx.strip(pf.quoted(c)))).alias(f"c{i}")
-                       for i, c in enumerate(texts)]).first() if texts else ()
-    unique = materialize(rp.drop_copies(rp.trim_text(df)), "unique")
-    n_unique = unique.count()
-    done = Repair(unique, profile)
-    _log(done, 1, "", "trimmed", sum(trimmed))
-    _log(done, 2, "", "deduplicated", profile.n_rows - n_unique)
-
-    gate = pf.aggregate_columns(unique, texts, pf.spelling_measures)
-    spellings = pf.read_spellings(unique, [c for c in pf.gated(gate) if c not in profile.kinds])
-    fixed = rp.apply_spellings(rp.coerce_kinds(unique, profile.kinds), spellings)
     dates = [c for c, kind in profile.kinds.items() if kind == "date"]
-    rewritten = pf.aggregate_columns(unique, dates, lambda name, c: {"n": F.count_if(~c.eqNullSafe(tx.to_iso(c)))})
+    unique = rp.drop_copies(rp.trim_text(df))
+    marks = [(~pf.quoted(c).eqNullSafe(tx.to_iso(pf.quoted(c)))).alias(f"__rewritten_{i}") for i, c in enumerate(dates)]
+    spellings = {c: m for c, m in profile.trimmed_spellings.items() if c not in profile.kinds}
+    fixed = rp.apply_spellings(rp.coerce_kinds(unique.select("*", *marks), profile.kinds), spellings)
+    stored = materialize(fixed, "recovered")
+    recovered = stored.select(*[pf.quoted(c) for c in df.columns])
+    counts = stored.agg(F.count(F.lit(1)), *[F.count_if(f"__rewritten_{i}") for i in range(len(dates))]).first()
+
+    done = Repair(recovered, recovered, profile)
+    _log(done, 1, "", "trimmed", sum(profile.trimmed.values()))
+    _log(done, 2, "", "deduplicated", profile.n_rows - counts[0])
+    rewritten = dict(zip(dates, counts[1:]))
     for c, kind in profile.kinds.items():
         if kind == "date":
-            _log(done, 3, c, "date", rewritten[c]["n"])
+            _log(done, 3, c, "date", rewritten[c])
         else:
-            done.steps.append((3, c, kind, n_unique))
+            done.steps.append((3, c, kind, counts[0]))
     for c, mapping in spellings.items():
         _log(done, 4, c, "canonicalised", len(mapping))
-
-    done.table, done.n_imputed = impute(fixed, n_unique)
+    done.table, done.n_imputed = impute(recovered, counts[0])
     _log(done, 5, "", "imputed", done.n_imputed)
     if final_dedupe:
         done.table = rp.drop_copies(done.table)
@@ -90,7 +93,7 @@ def _log(done: Repair, step: int, column: str, action: str, n: int) -> None:
 def impute(df: DataFrame, n_rows: int) -> tuple[DataFrame, int]:
     """Fill missing cells: exact median where most of a column is numeric, else the placeholder."""
     measured = pf.aggregate_columns(df, df.columns, lambda name, c: {
-        "missing": F.count_if(tx.is_missing_word(c.cast("string"))),
+        "missing": F.count_if(pf.missing_word(df, name)),
         "numeric": F.count(rp.as_number(df, name))})
     holes = {c: m for c, m in measured.items() if m["missing"]}
     numeric = {c: m["numeric"] for c, m in holes.items() if m["numeric"] / n_rows > NUMERIC_SHARE}
@@ -102,16 +105,23 @@ def impute(df: DataFrame, n_rows: int) -> tuple[DataFrame, int]:
 
 
 def score(df: DataFrame, profile: pf.TableProfile) -> dict[str, float]:
-    """The four dimensions and their mean for a table whose profile is known."""
-    return sc.generic_score(df, profile.kinds, bool(profile.spellings)).first().asDict()
+    """The four dimensions and their mean.
+
+    Missing cells and copies are known from the profile; only the kind columns are read again, to
+    count the cells that already are in clean form.
+    """
+    checked, valid = df.agg(*sc.valid_counts(profile.kinds)).first() if profile.kinds else (0, 0)
+    rows, cells = max(profile.n_rows, 1), max(profile.n_rows * len(profile.columns), 1)
+    parts = {"completeness": 100.0 * (cells - profile.n_missing) / cells,
+             "uniqueness": 100.0 * (rows - profile.n_duplicates) / rows,
+             "validity": 100.0 * valid / checked if checked else 100.0,
+             "consistency": 0.0 if profile.spellings else 100.0}
+    return {**parts, "overall": sum(parts.values()) / len(parts)}
 
 
 def rescore(df: DataFrame) -> dict[str, float]:
     """Score a repaired table on what a fresh look finds in it."""
-    measured = pf.aggregate_columns(df, pf.text_columns(df), lambda name, c:
-                                    pf.kind_measures(name, c) | pf.spelling_measures(name, c))
-    kinds = {c: pf.kind_of(m) for c, m in measured.items() if pf.kind_of(m)}
-    return sc.generic_score(df, kinds, bool(pf.read_spellings(df, pf.gated(measured)))).first().asDict()
+    return score(df, pf.profile_table(df))
 
 
 @dataclass
@@ -128,58 +138,57 @@ class LoopReport:
     escalated: bool = False
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """The input as files in the shared folder: parsed once, and spread over all cores."""
+    return materialize(spread(df), "input")
+
+
 def run_once(df: DataFrame) -> LoopReport:
     """Profile, score, repair and score again."""
+    df = stage(df)
     profile = pf.profile_table(df)
-    before = score(df, profile)
     fixed = repair(df, profile)
-    table = materialize(fixed.table, "repaired")
-    return LoopReport(table, profile, before, rescore(table), fixed.changelog, fixed.steps)
+    return LoopReport(fixed.table, profile, score(df, profile), rescore(fixed.table), fixed.changelog, fixed.steps)
 
 
 def run_trusted(df: DataFrame, mode: str = "mask") -> LoopReport:
     """Repair, and escalate when the score is poor or rests on invented values.
 
     Escalation sets aside the rows that could not be recovered and repairs the rest once more.
-    ``mode="mask"`` sets aside every row that had a missing cell; ``mode="reference"`` those in which
-    the placeholder word stands, whether it was put there or was in the data.  The history keeps,
-    for the second pass, the share of cells of the kept rows that the first pass had to invent.
+    ``mode="mask"`` sets aside every row that had a missing cell, as it was recovered and without
+    invented values; ``mode="reference"`` those in which the placeholder word stands, whether it was
+    put there or was in the data.  ``imputed_share`` in the history is measured on what a pass reads,
+    so a second pass over invented values reports none.
     """
     if mode not in ("mask", "reference"):
         raise ValueError(f"unknown mode {mode!r}")
-    marker = "__invented"
+    df = stage(df)
     profile = pf.profile_table(df)
-    before = score(df, profile)
-    share = sc.missing_share(df).first()["share"]
+    share = profile.hole_share
     fixed = repair(df, profile)
-    table = materialize(fixed.table, "pass-1")
-    after = rescore(table)
-    report = LoopReport(table, profile, before, after, [f"[pass 1, conservative] {s}" for s in fixed.changelog],
-                        fixed.steps, [_pass(1, "conservative", after, share, share)])
+    after = rescore(fixed.table)
+    report = LoopReport(fixed.table, profile, score(df, profile), after,
+                        [f"[pass 1, conservative] {s}" for s in fixed.changelog], fixed.steps,
+                        [_pass(1, "conservative", after, share)])
     if after["overall"] >= TARGET_SCORE and share <= MAX_IMPUTED_SHARE:
         return report
 
     report.escalated = True
-    if mode == "mask":
-        table = rp.drop_copies(rp.trim_text(df))
-        bad = rp.any_missing(table, profile.kinds)
-    else:
-        bad = rp.any_unknown(table)
-    split = materialize(table.withColumn(marker, bad), "split")
-    kept, report.quarantine = (t.drop(marker) for t in rp.split_rows(split, F.col(marker)))
+    source = fixed.table if mode == "reference" else fixed.recovered
+    bad = rp.any_unknown(source) if mode == "reference" else rp.any_missing(source)
+    kept, report.quarantine = rp.split_rows(source, bad)
     report.n_quarantined = report.quarantine.count()
     report.changelog.append(
         f"[escalation] Quarantined {report.n_quarantined} unrecoverable row(s) for human review."
         if report.n_quarantined else "[escalation] No unrecoverable rows found to quarantine.")
-    share = sc.missing_share(kept).first()["share"]
-    second = repair(kept)
-    report.table = materialize(second.table, "pass-2")
-    report.after = rescore(report.table)
+    second_profile = pf.profile_table(kept)
+    share = second_profile.hole_share
+    second = repair(kept, second_profile)
+    report.table, report.after = second.table, rescore(second.table)
     report.changelog += [f"[pass 2, aggressive] {s}" for s in second.changelog]
-    report.history.append(_pass(2, "aggressive", report.after, share, 0.0 if mode == "mask" else None))
+    report.history.append(_pass(2, "aggressive", report.after, share))
     return report
 
 
-def _pass(attempt: int, strategy: str, scores: dict[str, float], share: float, raw_share: float | None):
-    return {"attempt": attempt, "strategy": strategy, "score": scores["overall"],
-            "imputed_share": share, "raw_missing_share": raw_share}
+def _pass(attempt: int, strategy: str, scores: dict[str, float], share: float) -> dict[str, object]:
+    return {"attempt": attempt, "strategy": strategy, "score": scores["overall"], "imputed_share": share}

@@ -61,6 +61,16 @@ def work_path(spark: SparkSession, label: str) -> str:
     return f"{shared_dir(spark)}/sievework/{label}-{uuid.uuid4().hex}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Deal the rows of a scan over all cores where its files give fewer tasks than that.
+
+    A few large row groups would otherwise keep most cores idle for every later pass.  A table of
+    many files is left as it is.  Meant for plain scans and projections of them.
+    """
+    tasks = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(tasks) if df.rdd.getNumPartitions() < tasks else df
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and read it back.
 

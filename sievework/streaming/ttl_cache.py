@@ -25,7 +25,7 @@ from ..session import materialize
 TTL_SECONDS = 3600
 # -------------------------------------------------------------------------------------------------------
 
-SEGMENT_SECONDS = 24 * 3600
+SEGMENT_ROWS = 200_000  # distinct request times of a key worked on in one piece
 _NONE = np.iinfo("int64").min
 
 
@@ -65,17 +65,34 @@ def _misses(times: np.ndarray, open_until: int, ttl: int) -> np.ndarray:
     return np.array(found, dtype="int64")
 
 
-def classify(requests: DataFrame, ttl: int = TTL_SECONDS, segment: int = SEGMENT_SECONDS) -> DataFrame:
+def _segments(times: DataFrame, ttl_us: int, rows: int) -> DataFrame:
+    """(request_key, first_us, width_us): a cold key is one segment, a hot one as many as it needs.
+
+    A segment is at least one lifetime long.
+    """
+    spans = times.groupBy("request_key").agg(F.count(F.lit(1)).alias("n"), F.min("micros").alias("first_us"),
+                                             F.max("micros").alias("last_us"))
+    width = F.ceil((F.col("last_us") - F.col("first_us") + 1) / F.ceil(F.col("n") / rows))
+    return spans.select("request_key", "first_us", F.greatest(width, F.lit(ttl_us)).cast("bigint").alias("width_us"))
+
+
+def classify(requests: DataFrame, ttl: int = TTL_SECONDS, segment_rows: int = SEGMENT_ROWS) -> DataFrame:
     """Add ``is_miss`` to requests (event_id, request_key, micros), ordered by (micros, event_id)."""
-    ttl_us, segment_us = ttl * 1_000_000, segment * 1_000_000
+    ttl_us = ttl * 1_000_000
     key_type = requests.schema["request_key"].dataType.simpleString()
-    cut = requests.withColumn("segment", F.floor(F.col("micros") / segment_us).cast("bigint"))
 
-    # equal times of a key collapse in each task: the timeline needs every time once
-    times = cut.select("request_key", "segment", "micros").distinct()
+    # Equal times of a key collapse in each task: the timeline needs every time once, with the id of
+    # its first request.
+    firsts = requests.groupBy("request_key", "micros").agg(F.min("event_id").alias("event_id"))
+    segments = _segments(firsts, ttl_us, segment_rows)
+    number = F.floor((F.col("micros") - F.col("first_us")) / F.col("width_us")).cast("bigint")
+    times = materialize(
+        firsts.join(segments, "request_key").withColumn("segment", number)
+        .withColumn("start_us", F.col("first_us") + F.col("segment") * F.col("width_us"))
+        .select("request_key", "segment", "start_us", "micros", "event_id"), "request-times")
 
     def report(keys: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        found = _report(rows["micros"], keys[1] * segment_us, ttl_us)
+        found = _report(rows["micros"], int(rows["start_us"].iloc[0]), ttl_us)
         return found.assign(request_key=keys[0], segment=keys[1])
 
     reports = times.groupBy("request_key", "segment").applyInPandas(
@@ -92,18 +109,17 @@ def classify(requests: DataFrame, ttl: int = TTL_SECONDS, segment: int = SEGMENT
 
     starts = reports.groupBy("request_key").applyInPandas(
         chain, f"request_key {key_type}, segment bigint, open_until bigint")
-    starts = materialize(starts, "segment-starts")
-
-    def resolve(keys: tuple, left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        t = np.sort(left["micros"].to_numpy())
-        missed = _misses(t, int(right["open_until"].iloc[0]), ttl_us)
-        return pd.DataFrame({"request_key": keys[0], "micros": missed})
-
-    missed = (times.groupBy("request_key", "segment").cogroup(starts.groupBy("request_key", "segment"))
-              .applyInPandas(resolve, f"request_key {key_type}, micros bigint"))
-    first = requests.groupBy("request_key", "micros").agg(F.min("event_id").alias("event_id"))
-    misses = first.join(missed, ["request_key", "micros"]).select("event_id", F.lit(True).alias("__miss"))
-    return requests.join(misses, "event_id", "left").withColumn("is_miss", F.col("__miss").isNotNull()).drop("__miss")
+
+    def resolve(rows: pd.DataFrame) -> pd.DataFrame:
+        rows = rows.sort_values("micros")
+        missed = _misses(rows["micros"].to_numpy(), int(rows["open_until"].iloc[0]), ttl_us)
+        return rows.loc[rows["micros"].isin(missed), ["event_id"]].assign(missed=True)
+
+    known = times.join(starts, ["request_key", "segment"])
+    id_type = requests.schema["event_id"].dataType.simpleString()
+    misses = known.groupBy("request_key", "segment").applyInPandas(resolve, f"event_id {id_type}, missed boolean")
+    return (requests.join(misses, "event_id", "left").withColumn("is_miss", F.col("missed").isNotNull())
+            .drop("missed"))
 
 
 def classify_stream(requests: DataFrame, ttl: int = TTL_SECONDS, late: str = "2 hours") -> DataFrame:
