@@ -21,9 +21,11 @@ def main() -> None:
     for name, op in registry.operations().items():
         if names and name not in names:
             continue
-        start = time.time()
+        start, took = time.time(), 0.0
         try:
             df = op.runner(spark, sf_dir)
+            df.write.format("noop").mode("overwrite").save()
+            took = time.time() - start
             problems = oracle.differences(df, con, op.sql) if op.sql else []
             state = ("ok" if not problems else "DIFF") if op.sql else f"rows={df.count()}"
         except Exception as e:
@@ -31,7 +33,7 @@ def main() -> None:
             if names:
                 traceback.print_exc()
         bad += bool(problems)
-        print(f"{time.time() - start:6.2f}s {state:8} {name} {op.covers}", flush=True)
+        print(f"{took:6.2f}s {time.time() - start:6.2f}s {state:8} {name} {op.covers}", flush=True)
         for p in problems:
             print("        ", p, flush=True)
     print("problems:", bad)

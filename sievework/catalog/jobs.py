@@ -21,7 +21,8 @@ def _two(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
 @operation("JOB-1", uses=_TWO, sql=q.REPAIRED + "SELECT * FROM c_fixed")
 def repaired_customers(spark: SparkSession, sf: str) -> DataFrame:
     """Customers after the two-table repair."""
-    return two_table.repair_customers(fixture(spark, sf, "dirty_customers"))
+    customers = fixture(spark, sf, "dirty_customers")
+    return two_table.repair_customers(customers).select(*customers.columns)
 
 
 @operation("JOB-1", uses=_TWO, sql=q.REPAIRED + "SELECT * EXCLUDE (is_orphan) FROM o_all WHERE NOT is_orphan")
@@ -53,7 +54,7 @@ UNION ALL SELECT 5, 'amount', 'set unreadable amounts to zero', count(*) FILTER
 UNION ALL SELECT 7, 'customer_id', 'quarantined orphaned orders', count(*) FILTER (WHERE is_orphan) FROM o_all""")
 def repair_changelog(spark: SparkSession, sf: str) -> DataFrame:
     """What the two-table repair changed, with counts."""
-    return two_table.repair(*_two(spark, sf)).changelog.withColumnRenamed("column", "column_name")
+    return two_table.repair(*_two(spark, sf)).changelog().withColumnRenamed("column", "column_name")
 
 
 def _metric(table: str, column: str, metric: str, value: str, source: str) -> str:

@@ -195,7 +195,8 @@ def _one(df: DataFrame, *more: DataFrame) -> DataFrame:
 def score_completeness(spark: SparkSession, sf: str) -> DataFrame:
     """Filled required cells of both tables."""
     customers, orders = _two(spark, sf)
-    return _one(sc.completeness(customers, sc.REQUIRED_CUSTOMER), sc.completeness(orders, sc.REQUIRED_ORDER))
+    return _one(sc.measured(customers, sc.completeness(customers, sc.REQUIRED_CUSTOMER)),
+                sc.measured(orders, sc.completeness(orders, sc.REQUIRED_ORDER)))
 
 
 @operation("AGG-13 SET-3", uses=_TWO, sql=_dimension("uniqueness"))
@@ -208,7 +209,7 @@ def score_uniqueness(spark: SparkSession, sf: str) -> DataFrame:
 @operation("AGG-14", uses=_TWO, sql=_dimension("validity"))
 def score_validity(spark: SparkSession, sf: str) -> DataFrame:
     """ISO dates and clean amounts of the orders."""
-    return _one(sc.validity(fixture(spark, sf, "dirty_orders")))
+    return _one(sc.measured(fixture(spark, sf, "dirty_orders"), sc.validity()))
 
 
 @operation("AGG-15", uses=_TWO, sql=_dimension("consistency"))
@@ -222,7 +223,7 @@ def score_consistency(spark: SparkSession, sf: str) -> DataFrame:
 def score_key_hygiene(spark: SparkSession, sf: str) -> DataFrame:
     """Clean keys of both tables."""
     customers, orders = _two(spark, sf)
-    return _one(sc.key_hygiene(customers), sc.key_hygiene(orders))
+    return _one(sc.measured(customers, sc.key_hygiene()), sc.measured(orders, sc.key_hygiene()))
 
 
 @operation("AGG-17", uses=_TWO, sql=q.scorecard_wide(_PARTS))

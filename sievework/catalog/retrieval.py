@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..operators import chunking as ck
 from ..operators import retrieval as rt
 from ..registry import operation
+from ..session import spread
 from ..sources import files
 from ..sources.tables import fixture, table
 
@@ -142,7 +143,7 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return _documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
+    return spread(_documents(spark, sf).select(F.col("doc_id").alias("id"), "text"))
 
 
 @operation("RET-3", sql=_ALL_DOCS + " docs AS (SELECT doc_id AS id, text FROM documents),"

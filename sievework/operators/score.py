@@ -25,21 +25,43 @@ def percent(good: Column, total: Column, empty: float = 100.0) -> Column:
     return F.when(total > 0, F.lit(100.0) * good / total).otherwise(F.lit(empty))
 
 
+Measure = tuple[str, Column, Column]  # dimension, aggregate of good cases, aggregate of checked cases
+
+
 def _part(df: DataFrame, dimension: str, good: Column, total: Column) -> DataFrame:
     return df.select(F.lit(dimension).alias("dimension"), good.cast("bigint").alias("good"),
                      total.cast("bigint").alias("total"))
 
 
+def measured(df: DataFrame, *measures: Measure) -> DataFrame:
+    """(dimension, good, total) rows of several measures from one aggregate over one scan."""
+    wide = df.agg(*[F.struct(F.lit(d).alias("dimension"), good.cast("bigint").alias("good"),
+                             total.cast("bigint").alias("total")).alias(f"m{i}")
+                    for i, (d, good, total) in enumerate(measures)])
+    return wide.select(F.inline(F.array(*[F.col(f"m{i}") for i in range(len(measures))])))
+
+
 def _sum(columns: list[Column]) -> Column:
     return reduce(lambda a, b: a + b, columns)
 
 
-def completeness(df: DataFrame, required: list[str]) -> DataFrame:
+def completeness(df: DataFrame, required: list[str]) -> Measure:
     """Filled cells over the required columns."""
     present = [c for c in required if c in df.columns]
-    filled = [F.count_if(~tx.is_missing(quoted(c))) for c in present]
-    return _part(df.agg(_sum(filled).alias("good"), (F.count(F.lit(1)) * len(present)).alias("total")),
-                 "completeness", F.col("good"), F.col("total"))
+    return ("completeness", _sum([F.count_if(~tx.is_missing(quoted(c))) for c in present]),
+            F.count(F.lit(1)) * len(present))
+
+
+def validity() -> Measure:
+    """ISO dates and clean amounts over the non-null dates and amounts of the orders."""
+    date, amount = F.col("order_date"), F.col("amount")
+    return ("validity", F.count_if(tx.is_iso_date(tx.strip(date))) + F.count_if(tx.is_clean_number(amount)),
+            F.count(date) + F.count(amount))
+
+
+def key_hygiene(key: str = "customer_id") -> Measure:
+    """Clean keys over non-null keys."""
+    return "key_hygiene", F.count_if(~tx.is_noisy_key(quoted(key))), F.count(quoted(key))
 
 
 def uniqueness(df: DataFrame) -> DataFrame:
@@ -47,15 +69,6 @@ def uniqueness(df: DataFrame) -> DataFrame:
     return _part(duplicate_counts(df), "uniqueness", F.col("n_distinct"), F.col("n_rows"))
 
 
-def validity(orders: DataFrame) -> DataFrame:
-    """ISO dates and clean amounts over the non-null dates and amounts."""
-    date, amount = F.col("order_date"), F.col("amount")
-    measured = orders.agg(
-        (F.count_if(tx.is_iso_date(tx.strip(date))) + F.count_if(tx.is_clean_number(amount))).alias("good"),
-        (F.count(date) + F.count(amount)).alias("total"))
-    return _part(measured, "validity", F.col("good"), F.col("total"))
-
-
 def consistency(df: DataFrame, column: str) -> DataFrame:
     """Groups written in one way over groups that differ only in case or outer blanks."""
     values = df.where(quoted(column).isNotNull()).select(quoted(column).cast("string").alias("value")).distinct()
@@ -83,37 +96,28 @@ def matched_key_counts(orders: DataFrame, customers: DataFrame, key: str = "cust
 
 def integrity(orders: DataFrame, customers: DataFrame) -> DataFrame:
     """Orders whose customer exists over orders with a customer key."""
-    measured = matched_key_counts(orders, customers).agg(
-        F.coalesce(F.sum(F.when(F.col("found"), F.col("n"))), F.lit(0)).alias("good"),
-        F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    return _part(measured, "integrity", F.col("good"), F.col("total"))
-
-
-def key_hygiene(df: DataFrame, key: str = "customer_id") -> DataFrame:
-    """Clean keys over non-null keys."""
-    c = quoted(key)
-    measured = df.agg(F.count_if(~tx.is_noisy_key(c)).alias("good"), F.count(c).alias("total"))
-    return _part(measured, "key_hygiene", F.col("good"), F.col("total"))
+    found = matched_key_counts(orders, customers)
+    good, total = F.sum(F.when(F.col("found"), F.col("n"))), F.sum("n")
+    return measured(found, ("integrity", F.coalesce(good, F.lit(0)), F.coalesce(total, F.lit(0))))
 
 
 def dimension_counts(customers: DataFrame, orders: DataFrame) -> DataFrame:
     """(dimension, good, total) over both tables, one row per dimension."""
-    parts = [completeness(customers, REQUIRED_CUSTOMER), completeness(orders, REQUIRED_ORDER),
-             uniqueness(customers), uniqueness(orders), validity(orders),
-             consistency(customers, "state"), consistency(orders, "status"),
-             integrity(orders, customers), key_hygiene(customers), key_hygiene(orders)]
+    parts = [measured(customers, completeness(customers, REQUIRED_CUSTOMER), key_hygiene()),
+             measured(orders, completeness(orders, REQUIRED_ORDER), validity(), key_hygiene()),
+             uniqueness(customers), uniqueness(orders), consistency(customers, "state"),
+             consistency(orders, "status"), integrity(orders, customers)]
     return (reduce(DataFrame.unionByName, parts).groupBy("dimension")
             .agg(F.sum("good").alias("good"), F.sum("total").alias("total")))
 
 
 def scorecard(customers: DataFrame, orders: DataFrame) -> DataFrame:
-    """The six dimensions and their mean in one row, with the counts behind them."""
-    counts = dimension_counts(customers, orders)
-    wide = counts.agg(*[F.sum(F.when(F.col("dimension") == d, F.col(x))).alias(f"{d}_{x}")
-                        for d in DIMENSIONS for x in ("good", "total")])
-    for d in DIMENSIONS:
-        wide = wide.withColumn(d, percent(F.col(f"{d}_good"), F.col(f"{d}_total")))
-    return wide.withColumn("overall", _sum([F.col(d) for d in DIMENSIONS]) / len(DIMENSIONS))
+    """The six dimensions and their mean in one row."""
+    score = percent(F.col("good"), F.col("total"))
+    scored = dimension_counts(customers, orders).select("dimension", score.alias("score"))
+    each = [F.max(F.when(F.col("dimension") == d, F.col("score"))).alias(d) for d in DIMENSIONS]
+    return scored.agg(*each).select(*DIMENSIONS, (_sum([F.col(d) for d in DIMENSIONS]) / len(DIMENSIONS))
+                                    .alias("overall"))
 
 
 # --- one table --------------------------------------------------------------------------------------

@@ -78,85 +78,89 @@ def inspect(customers: DataFrame, orders: DataFrame) -> DataFrame:
 
 @dataclass
 class TwoTableRepair:
+    """Repaired tables, the orders set aside, and what is needed to tell what was done."""
+
     customers: DataFrame
     orders: DataFrame
     quarantine: DataFrame
-    changelog: DataFrame
-
+    inputs: tuple[DataFrame, DataFrame]
+    marked: tuple[DataFrame, DataFrame]
+
+    def changelog(self) -> DataFrame:
+        """(step, column, action, n_changed) rows.
+
+        The repaired tables carry a mark for every rewritten cell, so most counts come from one scan
+        of marks; the inputs are read again for their rows and keys only.
+        """
+        customers, orders = self.inputs
+        marked_customers, marked_orders = self.marked
+        key = F.col("customer_id")
+        noisy = F.count_if(~key.eqNullSafe(tx.norm_key(key)))
+        return reduce(DataFrame.unionByName, [
+            _steps(customers, [(1, "customer_id", "normalised customer keys", noisy)]),
+            _dropped(customers, marked_customers, "dropped duplicate customers"),
+            _dropped(orders, marked_orders, "dropped duplicate orders"),
+            _steps(marked_customers, [(3, "signup_date", "rewrote dates to ISO", F.count_if("__date")),
+                                      (4, "state", "canonicalised categories", F.count_if("__category")),
+                                      (6, "name", "filled missing names", F.count_if("__filled"))]),
+            _steps(marked_orders, [(3, "order_date", "rewrote dates to ISO", F.count_if("__date")),
+                                   (4, "status", "lower-cased categories", F.count_if("__category")),
+                                   (5, "amount", "set unreadable amounts to zero", F.count_if("__filled")),
+                                   (7, "customer_id", "quarantined orphaned orders", F.count_if("is_orphan"))])])
 
-def _norm_keys(df: DataFrame) -> DataFrame:
-    return rp.project(df, customer_id=tx.norm_key(F.col("customer_id")))
 
-
-def repair_customers(customers: DataFrame) -> DataFrame:
-    """Keys, copies, dates, states and required names."""
-    return _fix_customers(rp.drop_copies(_norm_keys(customers)))
+def _steps(df: DataFrame, steps: list[tuple[int, str, str, Column]]) -> DataFrame:
+    """Changelog rows from one aggregate."""
+    counted = df.agg(*[n.cast("bigint").alias(f"s{i}") for i, (_, _, _, n) in enumerate(steps)])
+    rows = [F.struct(F.lit(step).cast("bigint").alias("step"), F.lit(column).alias("column"),
+                     F.lit(action).alias("action"), F.col(f"s{i}").alias("n_changed"))
+            for i, (step, column, action, _) in enumerate(steps)]
+    return counted.select(F.inline(F.array(*rows)))
 
 
-def _fix_customers(df: DataFrame) -> DataFrame:
-    return rp.project(df, signup_date=tx.rewrite_date(F.col("signup_date")),
-                      state=rp.canonical_category(F.col("state")), name=rp.required_text(F.col("name")))
+def _dropped(before: DataFrame, after: DataFrame, action: str) -> DataFrame:
+    """Changelog row for the rows that are gone."""
+    sizes = before.agg(F.count(F.lit(1)).alias("n")).unionByName(after.agg((-F.count(F.lit(1))).alias("n")))
+    return _steps(sizes, [(2, "", action, F.sum("n"))])
 
 
-def repair_orders(orders: DataFrame) -> DataFrame:
-    """Keys, copies, dates, statuses and amounts; orphans are still among them."""
-    return _fix_orders(rp.drop_copies(_norm_keys(orders)))
+def _norm_keys(df: DataFrame) -> DataFrame:
+    return rp.project(df, customer_id=tx.norm_key(F.col("customer_id")))
 
 
-def _fix_orders(df: DataFrame) -> DataFrame:
-    return rp.project(df, order_date=tx.rewrite_date(F.col("order_date")),
-                      status=tx.spelling(F.col("status")), amount=rp.filled_amount(F.col("amount")))
+def _marked(df: DataFrame, date: str, category: str, filled: Column, **fixes: Column) -> DataFrame:
+    """Apply the fixes, with a mark per row for the date, category and filled cell they change."""
+    marks = [(~F.col(date).eqNullSafe(fixes[date])).alias("__date"),
+             (~F.col(category).eqNullSafe(fixes[category])).alias("__category"), filled.alias("__filled")]
+    return df.select(*[fixes[c].alias(c) if c in fixes else pf.quoted(c) for c in df.columns], *marks)
 
 
-def _changed(c: Column, fixed: Column) -> Column:
-    return F.count_if(~c.eqNullSafe(fixed))
+def repair_customers(customers: DataFrame) -> DataFrame:
+    """Keys, copies, dates, states and required names, with marks for what was changed."""
+    return _marked(rp.drop_copies(_norm_keys(customers)), "signup_date", "state", tx.is_missing(F.col("name")),
+                   signup_date=tx.rewrite_date(F.col("signup_date")), state=rp.canonical_category(F.col("state")),
+                   name=rp.required_text(F.col("name")))
 
 
-def _steps(df: DataFrame, steps: list[tuple[int, str, str, Column]]) -> DataFrame:
-    """Changelog rows (step, column, action, n_changed) from one aggregate."""
-    counted = df.agg(*[n.cast("bigint").alias(f"s{i}") for i, (_, _, _, n) in enumerate(steps)])
-    rows = [F.struct(F.lit(step).cast("bigint").alias("step"), F.lit(column).alias("column"),
-                     F.lit(action).alias("action"), F.col(f"s{i}").alias("n_changed"))
-            for i, (step, column, action, _) in enumerate(steps)]
-    return counted.select(F.inline(F.array(*rows)))
+def repair_orders(orders: DataFrame) -> DataFrame:
+    """Keys, copies, dates, statuses and amounts, with marks; orphans are still among them."""
+    return _marked(rp.drop_copies(_norm_keys(orders)), "order_date", "status",
+                   tx.to_number(F.col("amount")).isNull(), order_date=tx.rewrite_date(F.col("order_date")),
+                   status=tx.spelling(F.col("status")), amount=rp.filled_amount(F.col("amount")))
 
 
 def repair(customers: DataFrame, orders: DataFrame) -> TwoTableRepair:
     """Repair both tables and set orders without a customer aside.
 
-    The deduplicated tables are written once, since four results read them.
+    Each table is written once, after its one whole-row shuffle (and, for orders, the join that
+    tells orphans); kept and quarantined orders are filters over those files.
     """
-    customers_in = materialize(rp.drop_copies(_norm_keys(customers)), "customers")
-    orders_in = materialize(rp.drop_copies(_norm_keys(orders)), "orders")
-    fixed_customers = _fix_customers(customers_in)
-    flagged = materialize(rp.flag_orphans(_fix_orders(orders_in), customers_in), "orders-flagged")
-    kept = flagged.where("NOT is_orphan").drop("is_orphan")
-    lost = flagged.where("is_orphan").drop("is_orphan")
-
-    amount, name = F.col("amount"), F.col("name")
-    key = F.col("customer_id")
-    parts = [
-        _steps(customers, [(1, "customer_id", "normalised customer keys", _changed(key, tx.norm_key(key)))]),
-        _copies(pf.duplicate_counts(_norm_keys(customers)), 2, "dropped duplicate customers"),
-        _copies(pf.duplicate_counts(_norm_keys(orders)), 2, "dropped duplicate orders"),
-        _steps(customers_in, [
-            (3, "signup_date", "rewrote dates to ISO",
-             _changed(F.col("signup_date"), tx.rewrite_date(F.col("signup_date")))),
-            (4, "state", "canonicalised categories", _changed(F.col("state"), rp.canonical_category(F.col("state")))),
-            (6, "name", "filled missing names", F.count_if(tx.is_missing(name)))]),
-        _steps(orders_in, [
-            (3, "order_date", "rewrote dates to ISO",
-             _changed(F.col("order_date"), tx.rewrite_date(F.col("order_date")))),
-            (4, "status", "lower-cased categories", _changed(F.col("status"), tx.spelling(F.col("status")))),
-            (5, "amount", "set unreadable amounts to zero", F.count_if(tx.to_number(amount).isNull()))]),
-        _steps(flagged, [(7, "customer_id", "quarantined orphaned orders", F.count_if(F.col("is_orphan")))]),
-    ]
-    return TwoTableRepair(fixed_customers, kept, lost, reduce(DataFrame.unionByName, parts))
-
-
-def _copies(counts: DataFrame, step: int, action: str) -> DataFrame:
-    return counts.select(F.lit(step).cast("bigint").alias("step"), F.lit("").alias("column"),
-                         F.lit(action).alias("action"), F.col("n_duplicates").alias("n_changed"))
+    fixed_customers = materialize(repair_customers(customers), "customers")
+    fixed_orders = materialize(rp.flag_orphans(repair_orders(orders), fixed_customers), "orders")
+    plain = orders.columns
+    return TwoTableRepair(
+        fixed_customers.select(*customers.columns), fixed_orders.where("NOT is_orphan").select(*plain),
+        fixed_orders.where("is_orphan").select(*plain), (customers, orders), (fixed_customers, fixed_orders))
 
 
 def before_after(customers: DataFrame, orders: DataFrame) -> DataFrame:
