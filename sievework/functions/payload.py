@@ -5,18 +5,31 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import text as tx
+
 # --- fixed values ---------------------------------------------------------------------------------
 MAX_PAYLOAD_BYTES = 1024 * 1024
 # ----------------------------------------------------------------------------------------------------
 
 
+def is_json(text: Column) -> Column:
+    """True for a text that is one JSON value and nothing after it.
+
+    The parser stops at the end of the first value and would let trailing text pass.  Put into an
+    array before a mark the text cannot contain, its own digest, a single value leaves the mark in
+    second place and anything else does not.
+    """
+    mark = F.md5(text)
+    parsed = F.try_parse_json(F.concat(F.lit("["), text, F.lit(',"'), mark, F.lit('"]')))
+    return F.coalesce(F.try_variant_get(parsed, "$[1]", "string") == mark, F.lit(False))
+
+
 def payload_kind(body: Column) -> Column:
     """object, payload (other JSON), raw (not JSON), empty or too_large."""
-    parsed = F.try_parse_json(body)
     return (F.when(F.octet_length(body) > MAX_PAYLOAD_BYTES, "too_large")
             .when(body.isNull() | (body == ""), "empty")
-            .when(parsed.isNull(), "raw")
-            .when(F.schema_of_variant(parsed).startswith("OBJECT"), "object")
+            .when(~is_json(body), "raw")
+            .when(F.btrim(body, F.lit(" \t\r\n")).startswith("{"), "object")
             .otherwise("payload"))
 
 
@@ -30,11 +43,11 @@ def envelope(body: Column, kind: Column) -> Column:
 
 def extract_object(text: Column) -> Column:
     """JSON object inside a model's answer, as text: first brace to last, or null if it does not parse."""
-    bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    bare = tx.strip(text)
     unfenced = F.when(bare.startswith("```"),
                       F.regexp_replace(bare, r"(?s)^```(?:json)?\s*|\s*```$", "")).otherwise(bare)
     candidate = F.regexp_extract(unfenced, r"(?s)\{.*\}", 0)
-    return F.when((candidate != "") & F.try_parse_json(candidate).isNotNull(), candidate)
+    return F.when((candidate != "") & is_json(candidate), candidate)
 
 
 def content_hash(*columns: Column) -> Column:

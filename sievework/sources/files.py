@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.payload import is_json
 from ..operators import chunking as ck
 from .state import read_or_empty
 
@@ -45,7 +46,7 @@ def decode(content: Column) -> Column:
 
 def json_text(text: Column) -> Column:
     """JSON text written again; null when it does not parse."""
-    return F.to_json(F.try_parse_json(text))
+    return F.when(is_json(text), F.to_json(F.try_parse_json(text)))
 
 
 def read_files(files: DataFrame) -> DataFrame:
