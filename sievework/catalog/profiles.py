@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..operators import profile as pf
 from ..operators import score as sc
+from ..plans.single_table import stage
 from ..registry import operation
 from ..sources.tables import fixture
 from . import snippets as q
@@ -108,14 +109,14 @@ UNION ALL SELECT 'kind', column_name, CASE WHEN cur / n > 0.5 THEN 'currency' WH
 UNION ALL SELECT 'spelling_variants', 'flag', CAST(v.n - g.n AS varchar) FROM v, g WHERE v.n > g.n""")
 def table_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Profile of the items as (metric, column, value) rows."""
-    profile = pf.profile_table(fixture(spark, sf, "dirty_items"))
+    profile = pf.profile_table(stage(fixture(spark, sf, "dirty_items")))
     return spark.createDataFrame(pf.profile_metrics(profile), "metric string, column_name string, value string")
 
 
 @operation("AGG-9 SRT-2")
 def table_issues(spark: SparkSession, sf: str) -> DataFrame:
     """Issues of the items as sentences, worst missing columns last."""
-    profile = pf.profile_table(fixture(spark, sf, "dirty_items"))
+    profile = pf.profile_table(stage(fixture(spark, sf, "dirty_items")))
     return spark.createDataFrame(list(enumerate(profile.issues, 1)), "position int, issue string")
 
 
@@ -138,7 +139,7 @@ _MISSING = " + ".join(f"count(*) FILTER (WHERE {q.is_missing(c)})" for c in q.IT
     "SELECT count(price) + count(discount) + count(ship_date) FROM dirty_items", 0.0))
 def table_score(spark: SparkSession, sf: str) -> DataFrame:
     """Completeness, uniqueness, validity and consistency of the items as they are."""
-    items = fixture(spark, sf, "dirty_items")
+    items = stage(fixture(spark, sf, "dirty_items"))
     profile = pf.profile_table(items)
     scored = sc.generic_score(items, profile.kinds, bool(profile.spellings))
     return scored.select(*[F.round(c, 6).alias(c) for c in
@@ -153,7 +154,7 @@ SELECT t.n AS n_rows, t.n - d.n AS duplicate_rows, t.m AS missing_cells,
   round((100.0 * (1 - t.m / (t.n * 6.0)) + 100.0 * (1 - (t.n - d.n) / t.n)) / 2, 6) AS overall FROM t, d""")
 def quick_profile(spark: SparkSession, sf: str) -> DataFrame:
     """Short profile of the items."""
-    p = pf.quick_profile(fixture(spark, sf, "dirty_items"))
+    p = pf.quick_profile(stage(fixture(spark, sf, "dirty_items")))
     row = (p["rows"], p["duplicate_rows"], p["missing_cells"], *[round(p[k], 6) for k in
                                                                ("completeness", "uniqueness", "overall")])
     return spark.createDataFrame([row], "n_rows bigint, duplicate_rows bigint, missing_cells bigint, "
@@ -163,7 +164,7 @@ def quick_profile(spark: SparkSession, sf: str) -> DataFrame:
 @operation("AGG-11 SRT-2")
 def quick_profile_issues(spark: SparkSession, sf: str) -> DataFrame:
     """At most eight issues of the items."""
-    issues = pf.quick_profile(fixture(spark, sf, "dirty_items"))["issues"]
+    issues = pf.quick_profile(stage(fixture(spark, sf, "dirty_items")))["issues"]
     return spark.createDataFrame(list(enumerate(issues, 1)), "position int, issue string")
 
 

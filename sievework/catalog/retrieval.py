@@ -15,7 +15,7 @@ from ..sources.tables import fixture, table
 
 
 def _documents(spark: SparkSession, sf: str) -> DataFrame:
-    return table(spark, sf, "documents")
+    return spread(table(spark, sf, "documents"))
 
 
 def _passages(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,9 +72,7 @@ SELECT token, count(*) AS n, count(DISTINCT doc_id) AS n_docs FROM
   (SELECT doc_id, unnest({_TOKENS}) AS token FROM documents) GROUP BY token""")
 def token_counts(spark: SparkSession, sf: str) -> DataFrame:
     """How often every token occurs, and in how many documents."""
-    tokens = _documents(spark, sf).select("doc_id", F.explode(tx.tokens(F.col("text"))).alias("token"))
-    per_doc = tokens.groupBy("doc_id", "token").agg(F.count(F.lit(1)).alias("n"))
-    return per_doc.groupBy("token").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("n_docs"))
+    return rt.token_statistics(rt.tokenized(_docs(spark, sf)))
 
 
 @operation("TXT-5", sql="""
@@ -143,7 +141,7 @@ def _asked(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _docs(spark: SparkSession, sf: str) -> DataFrame:
-    return spread(_documents(spark, sf).select(F.col("doc_id").alias("id"), "text"))
+    return _documents(spark, sf).select(F.col("doc_id").alias("id"), "text")
 
 
 @operation("RET-3", sql=_ALL_DOCS + " docs AS (SELECT doc_id AS id, text FROM documents),"
@@ -249,4 +247,4 @@ def listed_passages(spark: SparkSession, sf: str) -> DataFrame:
 @operation("SNK-4", sql="SELECT count(*) AS n FROM documents")
 def passage_count(spark: SparkSession, sf: str) -> DataFrame:
     """Number of passages in the store."""
-    return _documents(spark, sf).agg(F.count(F.lit(1)).alias("n"))
+    return table(spark, sf, "documents").agg(F.count(F.lit(1)).alias("n"))

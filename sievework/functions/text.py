@@ -174,6 +174,15 @@ def tokens(c: Column) -> Column:
     return F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(TOKEN), F.lit(0))
 
 
+def each(c: Column) -> Column:
+    """One row per element, and one null row for an empty array; callers drop that row.
+
+    A plain explode makes the optimizer filter on the size of the array first, which evaluates the
+    expression that builds it, here a pass over the text, twice.
+    """
+    return F.explode_outer(c)
+
+
 def words(c: Column) -> Column:
     """White-space separated words; an empty array for blank text."""
     return F.filter(F.split(F.coalesce(c, F.lit("")), r"(?U)\s+"), lambda w: w != "")

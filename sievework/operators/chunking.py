@@ -44,8 +44,8 @@ def explode_chunks(df: DataFrame, chunks: Column, *keep: str) -> DataFrame:
     """One row per chunk with its number from 1 and the number of chunks of its text."""
     return (df.select(*keep, chunks.alias("__chunks"))
             .select(*keep, F.size("__chunks").cast("bigint").alias("n_chunks"),
-                    F.posexplode("__chunks").alias("chunk_no", "chunk"))
-            .withColumn("chunk_no", (F.col("chunk_no") + 1).cast("bigint")))
+                    F.posexplode_outer("__chunks").alias("chunk_no", "chunk"))
+            .where("chunk IS NOT NULL").withColumn("chunk_no", (F.col("chunk_no") + 1).cast("bigint")))
 
 
 def passage_id(source: Column, chunk_no: Column, text: Column) -> Column:

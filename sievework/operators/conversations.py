@@ -12,6 +12,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 # --- fixed values: sizes and texts -------------------------------------------------------------------
 KEEP_RECENT = 6
 CHARS_PER_TOKEN = 4
@@ -66,14 +68,13 @@ def rough_sizes(messages: DataFrame, cap_tokens: int) -> DataFrame:
     return sized.withColumn("needs_no_action", F.col("n_chars") < GATE_CHARS_PER_TOKEN * cap_tokens)
 
 
-def _suffix_blocks(messages: DataFrame, size: Column) -> DataFrame:
-    """(conv_id, block, after): characters in the blocks that follow each block of turns.
+def _suffix_blocks(sized: DataFrame) -> DataFrame:
+    """(conv_id, block, chars, after): characters in a block of turns and in the blocks that follow.
 
     Two levels of blocks: the inner window sees at most BLOCK blocks, the outer one a millionth of
     the turns.
     """
-    block = F.floor(F.col("turn") / BLOCK)
-    blocks = messages.groupBy("conv_id", block.alias("block")).agg(F.sum(size).alias("chars"))
+    blocks = sized.groupBy("conv_id", "block").agg(F.sum("size").alias("chars"))
     outer = F.floor(F.col("block") / BLOCK)
     groups = blocks.groupBy("conv_id", outer.alias("outer")).agg(F.sum("chars").alias("outer_chars"))
     later = Window.partitionBy("conv_id").orderBy(F.desc("outer")).rowsBetween(Window.unboundedPreceding, -1)
@@ -90,26 +91,29 @@ def trim_starts(messages: DataFrame, cap_tokens: int) -> DataFrame:
     Oldest messages go until the remaining characters / 4 fit; the last message always stays, and a
     trimmed conversation does not begin with an answer to a tool call unless nothing else is left.
     Conversations whose characters are fewer than three times the budget are left alone.
+
+    The texts are read once, for their lengths; everything after works on (conv_id, turn, size).
     """
     cap_chars = CHARS_PER_TOKEN * cap_tokens
-    size = F.length(F.coalesce("text", F.lit("")))
-    blocks = _suffix_blocks(messages, size)
+    sized = materialize(messages.select(
+        "conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).alias("size"), _orphan(messages).alias("is_orphan"),
+        F.floor(F.col("turn") / BLOCK).alias("block")), "message-sizes")
+    blocks = materialize(_suffix_blocks(sized), "message-blocks")
     # The newest block whose own rows cross the budget decides; blocks after it are kept whole.
     totals = blocks.groupBy("conv_id").agg(
         F.sum("chars").alias("n_chars"),
         F.max(F.when(F.col("after") + F.col("chars") > cap_chars, F.col("block"))).alias("edge"))
     edge = totals.where("edge IS NOT NULL").join(blocks.select("conv_id", F.col("block").alias("edge"), "after"),
                                                  ["conv_id", "edge"])
-    in_edge = (messages.select("conv_id", "turn", size.alias("size"), F.floor(F.col("turn") / BLOCK).alias("edge"))
-               .join(edge.select("conv_id", "edge", "after"), ["conv_id", "edge"]))
+    in_edge = sized.withColumnRenamed("block", "edge").join(edge.select("conv_id", "edge", "after"),
+                                                            ["conv_id", "edge"])
     newest = Window.partitionBy("conv_id").orderBy(F.desc("turn"))
     running = in_edge.withColumn("tail", F.col("after") + F.sum("size").over(newest))
     fits = running.groupBy("conv_id").agg(F.max(F.when(F.col("tail") > cap_chars, F.col("turn"))).alias("too_old"))
 
-    marked = messages.select("conv_id", "turn", _orphan(messages).alias("__orphan"))
-    bounds = marked.join(fits, "conv_id", "left").groupBy("conv_id").agg(
+    bounds = sized.join(fits, "conv_id", "left").groupBy("conv_id").agg(
         F.min("turn").alias("oldest"), F.max("turn").alias("newest"),
-        F.min(F.when((F.col("turn") > F.col("too_old")) & ~F.col("__orphan"), F.col("turn"))).alias("head"),
+        F.min(F.when((F.col("turn") > F.col("too_old")) & ~F.col("is_orphan"), F.col("turn"))).alias("head"),
         F.max("too_old").alias("too_old"))
     start = (F.when((F.col("n_chars") < GATE_CHARS_PER_TOKEN * cap_tokens) | F.col("too_old").isNull(),
                     F.col("oldest")).otherwise(F.coalesce("head", "newest")))
@@ -166,12 +170,11 @@ def condense(messages: DataFrame, summaries: DataFrame, keep: int = KEEP_RECENT)
     without a summary, stay as they are.  Positions count from -2 for the pair and follow the turns.
     """
     starts = recent_starts(messages, keep)
-    olds = messages.join(starts.select("conv_id", "split_turn"), "conv_id").where("turn < split_turn").groupBy(
-        "conv_id").agg(F.count(F.lit(1)).alias("n_old"))
-    pairs = olds.join(summaries, "conv_id").join(starts.select("conv_id", "split_turn"), "conv_id")
+    # turns are numbered from 0, so the turn at which the kept part begins is the number of old ones
+    pairs = starts.where("split_turn > 0").select("conv_id", "split_turn").join(summaries, "conv_id")
     header = pairs.select("conv_id", F.inline(F.array(
         F.struct(F.lit(-2).cast("bigint").alias("position"), F.lit("user").alias("role"),
-                 F.concat(F.lit("[Summary of "), F.col("n_old").cast("string"), F.lit(" earlier turns]\n\n"),
+                 F.concat(F.lit("[Summary of "), F.col("split_turn").cast("string"), F.lit(" earlier turns]\n\n"),
                           F.col("summary")).alias("text")),
         F.struct(F.lit(-1).cast("bigint").alias("position"), F.lit("assistant").alias("role"),
                  F.lit(SUMMARY_REPLY).alias("text")))))

@@ -285,6 +285,19 @@ def tokenized(passages: DataFrame) -> DataFrame:
             .withColumn("n_tokens", F.size("tokens").cast("bigint")))
 
 
+def token_statistics(docs: DataFrame) -> DataFrame:
+    """(token, n, n_docs): occurrences and documents of every token.
+
+    A document adds a row per occurrence and one per distinct token, and both are summed per task
+    before the shuffle; pairs of document and token never travel.
+    """
+    said = F.transform("tokens", lambda t: F.struct(t.alias("token"), F.lit(1).alias("n"), F.lit(0).alias("n_docs")))
+    kinds = F.transform(F.array_distinct("tokens"),
+                        lambda t: F.struct(t.alias("token"), F.lit(0).alias("n"), F.lit(1).alias("n_docs")))
+    return (docs.select(F.inline_outer(F.concat(said, kinds))).where("token IS NOT NULL").groupBy("token")
+            .agg(F.sum("n").alias("n"), F.sum("n_docs").alias("n_docs")))
+
+
 EVERY_DOCUMENT = ""  # never a token; stands for the corpus as a whole in the statistics
 
 
@@ -295,7 +308,7 @@ def term_statistics(docs: DataFrame) -> tuple[DataFrame, float]:
     Words are counted per task before the shuffle, so a word found in every document is one row per
     task.
     """
-    counted = (docs.select("n_tokens", F.explode(F.array_append(F.array_distinct("tokens"), F.lit(EVERY_DOCUMENT)))
+    counted = (docs.select("n_tokens", tx.each(F.array_append(F.array_distinct("tokens"), F.lit(EVERY_DOCUMENT)))
                            .alias("term"))
                .groupBy("term").agg(F.count(F.lit(1)).alias("df"),
                                     F.sum(F.when(F.col("term") == EVERY_DOCUMENT, F.col("n_tokens"))).alias("tokens")))
@@ -313,7 +326,7 @@ def term_statistics(docs: DataFrame) -> tuple[DataFrame, float]:
 
 def query_terms(queries: DataFrame) -> DataFrame:
     """(query_id, term, n_asked): repeated words of a query count each time."""
-    return (queries.select("query_id", F.explode(tx.tokens(F.col("text"))).alias("term"))
+    return (queries.select("query_id", tx.each(tx.tokens(F.col("text"))).alias("term")).where("term IS NOT NULL")
             .groupBy("query_id", "term").agg(F.count(F.lit(1)).alias("n_asked")))
 
 
@@ -328,7 +341,7 @@ def keyword_scores(queries: DataFrame, passages: DataFrame, broadcast_terms: int
     wanted = weights.select("term").distinct()
     small = asked.count() <= broadcast_terms
 
-    found = docs.select("id", "n_tokens", F.explode("tokens").alias("term"))
+    found = docs.select("id", "n_tokens", tx.each(F.col("tokens")).alias("term"))
     found = found.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
     # one shuffle, by document: counting words and, with the queries sent along, adding up the scores
     # of a document then both happen where its words are
