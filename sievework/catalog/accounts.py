@@ -64,7 +64,9 @@ def conversation_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return ac.conversation_tokens(fixture(spark, sf, "usage_log"))
 
 
-@operation("JOB-8 AGG-20")
+@operation("JOB-8 AGG-20", uses=["usage_log"], sql=f"""+ {_COSTS}
+SELECT c.model, format('{{}}: {{:,}} calls | {{:,}} in / {{:,}} out | ~${{:.4f}}', c.model, c.calls, input_tokens, output_tokens,
+  cost_usd) AS line FROM c JOIN m ON c.model = m.model""")
 def usage_text(spark: SparkSession, sf: str) -> DataFrame:
     """Usage per model as text lines."""
     usage = fixture(spark, sf, "usage_log")
@@ -105,7 +107,10 @@ def gate_summary(spark: SparkSession, sf: str) -> DataFrame:
     return ac.gate_summary(fixture(spark, sf, "eval_scores"))
 
 
-@operation("AGG-24 SNK-5")
+@operation("AGG-24", uses=["eval_scores"], sql="""
+SELECT example_id, metric AS gate, substr(text, 1, 48) || ' — ' || metric || '=' || coalesce(CAST(score AS varchar), 'None')
+  AS line FROM eval_scores JOIN documents ON doc_id = example_id
+WHERE metric IN ('faithfulness', 'relevance') AND coalesce(score, 0) < 0.7""")
 def gate_failure_lines(spark: SparkSession, sf: str) -> DataFrame:
     """Failing examples as text lines."""
     questions = table(spark, sf, "documents").select(F.col("doc_id").alias("example_id"), F.col("text").alias("question"))
@@ -179,12 +184,3 @@ SELECT event_id, sha256('{"request_key":"' || request_key || '"}') AS content_ha
 def content_hashes(spark: SparkSession, sf: str) -> DataFrame:
     """SHA-256 of the canonical JSON of every request."""
     return fixture(spark, sf, "requests").select("event_id", pl.content_hash(F.col("request_key")).alias("content_hash"))
-
-
-@operation("UDF-1")
-def operation_listing(spark: SparkSession, sf: str) -> DataFrame:
-    """The catalogue of operations with the usage each would read, one row per operation."""
-    from ..registry import listing
-
-    events = table(spark, sf, "events").agg(F.count(F.lit(1)).alias("n_events"))
-    return listing(spark).withColumn("n_events", F.lit(events.first()[0]))

@@ -23,9 +23,9 @@ def _types(table: str, columns: list[str]) -> str:
             f"WHEN dates / n > 0.8 THEN 'date' ELSE 'text' END AS inferred_type FROM ({counted})")
 
 
-_FEEDS = ["feed_v1", "feed_v2"]
-_BOTH = f"+ f1 AS ({_types('feed_v1', _V1)}), f2 AS ({_types('feed_v2', _V2)}) "
-_DIFF = """SELECT coalesce(f1.column_name, f2.column_name) AS column_name, CASE WHEN f1.column_name IS NULL THEN 'added'
+FEEDS = ["feed_v1", "feed_v2"]
+BOTH = f"+ f1 AS ({_types('feed_v1', _V1)}), f2 AS ({_types('feed_v2', _V2)}) "
+DIFF = """SELECT coalesce(f1.column_name, f2.column_name) AS column_name, CASE WHEN f1.column_name IS NULL THEN 'added'
   WHEN f2.column_name IS NULL THEN 'removed' ELSE 'type_changed' END AS change, f1.inferred_type AS was,
   f2.inferred_type AS now FROM f1 FULL JOIN f2 ON f1.column_name = f2.column_name
 WHERE f1.inferred_type IS DISTINCT FROM f2.inferred_type"""
@@ -47,13 +47,13 @@ def items_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     return drift.fingerprint(fixture(spark, sf, "dirty_items")).withColumnRenamed("column", "column_name")
 
 
-@operation("JOIN-5", uses=_FEEDS, sql=_BOTH + _DIFF)
+@operation("JOIN-5", uses=FEEDS, sql=BOTH + DIFF)
 def schema_changes(spark: SparkSession, sf: str) -> DataFrame:
     """Columns added, removed or of another type between two feeds."""
     return drift.schema_diff(*_prints(spark, sf)).withColumnRenamed("column", "column_name")
 
 
-@operation("SET-2", uses=_FEEDS, sql=_BOTH + """
+@operation("SET-2", uses=FEEDS, sql=BOTH + """
 SELECT column_name, 'added' AS side FROM (SELECT column_name FROM f2 EXCEPT SELECT column_name FROM f1)
 UNION ALL SELECT column_name, 'removed' FROM (SELECT column_name FROM f1 EXCEPT SELECT column_name FROM f2)
 UNION ALL SELECT column_name, 'shared' FROM (SELECT column_name FROM f1 INTERSECT SELECT column_name FROM f2)""")
@@ -69,9 +69,9 @@ def _checked(spark: SparkSession, sf: str) -> tuple[Baselines, list]:
     return baselines, [first, second]
 
 
-@operation("JOB-6", uses=_FEEDS, sql=_BOTH + f"""
+@operation("JOB-6", uses=FEEDS, sql=BOTH + f"""
 SELECT CAST(1 AS BIGINT) AS check_no, TRUE AS first_run, CAST(NULL AS varchar) AS column_name, 'none' AS change
-UNION ALL SELECT 2, FALSE, column_name, change FROM ({_DIFF})""")
+UNION ALL SELECT 2, FALSE, column_name, change FROM ({DIFF})""")
 def drift_checks(spark: SparkSession, sf: str) -> DataFrame:
     """Two checks of a feed: the first saves the baseline, the second reports what changed."""
     _, reports = _checked(spark, sf)
@@ -83,7 +83,7 @@ def drift_checks(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(rows, "check_no bigint, first_run boolean, column_name string, change string")
 
 
-@operation("JOB-6 SRT-5", uses=_FEEDS, sql="""
+@operation("JOB-6 SRT-5", uses=FEEDS, sql="""
 SELECT 'orders feed' AS name, CAST(5 AS BIGINT) AS n_columns UNION ALL SELECT 'parts feed', 4""")
 def baseline_listing(spark: SparkSession, sf: str) -> DataFrame:
     """Baselines by name with their number of columns, after accepting, replacing and removing some."""

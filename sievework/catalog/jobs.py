@@ -245,7 +245,11 @@ def _injected(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
     return two_table.inject_defects(customers, orders)
 
 
-@operation("JOB-8")
+@operation("JOB-8", uses=_TWO, sql=q.REPAIRED + f", {_BEFORE_AFTER}, "
+           f"b AS ({q.scorecard_wide(q.scorecard('dirty_customers', 'dirty_orders'))}), "
+           f"a AS ({q.scorecard_wide(q.scorecard('c_fixed', 'o_fixed'))})" + " UNION ALL ".join(
+               f" SELECT {i} AS position, printf('%-16s%8.1f%8.1f', '{d}', b.{d}, a.{d}) AS line FROM a, b"
+               for i, d in enumerate([*sc.DIMENSIONS, "overall"], 1)))
 def scorecard_text(spark: SparkSession, sf: str) -> DataFrame:
     """Scorecard of the two tables as text lines."""
     return reports.scorecard_lines(two_table.before_after(*_two(spark, sf)), [*sc.DIMENSIONS, "overall"])

@@ -113,7 +113,40 @@ def table_profile(spark: SparkSession, sf: str) -> DataFrame:
     return spark.createDataFrame(pf.profile_metrics(profile), "metric string, column_name string, value string")
 
 
-@operation("AGG-9 SRT-2")
+_MISSING_ROWS = q.per_column("dirty_items", q.ITEM_COLUMNS, n=lambda c: f"count(*) FILTER (WHERE {q.is_missing(c)})")
+
+
+def _issues(kinds: str, spellings: bool, copies: str, limit: int) -> str:
+    """Numbered sentences: kinds in column order, spelling variants, copies, worst missing columns."""
+    variants = """
+UNION ALL SELECT 2, 0, '''flag'' has inconsistent categorical variants (' ||
+  string_agg('''' || value || '''→''' || canonical || '''', ', ' ORDER BY value) || ')'
+  FROM (SELECT value, canonical FROM best WHERE value <> canonical ORDER BY value LIMIT 2) HAVING count(*) > 0"""
+    return f"""+
+k AS ({_KIND_COUNTS}), m AS ({_MISSING_ROWS}),
+counts AS (SELECT lower(trim(flag)) AS norm, flag AS value, count(*) AS n FROM dirty_items
+           WHERE flag IS NOT NULL GROUP BY 1, 2),
+best AS (SELECT *, first_value(value) OVER (PARTITION BY norm ORDER BY n DESC, value) AS canonical FROM counts),
+d AS (SELECT count(*) - (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_items)) AS n FROM dirty_items),
+s(part, place, issue) AS (
+SELECT 1, ordinal, '''' || column_name || ''' stores ' || kind || ' as text (e.g. "' || example || '") — ' FROM
+  (SELECT *, {kinds} AS kind FROM k) WHERE kind IS NOT NULL{variants if spellings else ''}
+UNION ALL SELECT 3, 0, n || '{copies}' FROM d WHERE n > 0
+UNION ALL SELECT 4, row_number() OVER (ORDER BY n DESC, ordinal), n || ' missing values in ''' || column_name || ''''
+  FROM (SELECT * FROM m WHERE n > 0 ORDER BY n DESC, ordinal LIMIT 5))
+SELECT CAST(row_number() OVER (ORDER BY part, place) AS INTEGER) AS position,
+  CASE WHEN part = 1 THEN issue || '{'needs coercion' if spellings else 'needs numeric coercion'}' ELSE issue END AS issue
+FROM s ORDER BY 1 LIMIT {limit}"""
+
+
+_DOLLARS = f"(SELECT count(*) FILTER (WHERE regexp_matches(price, {q.DOLLAR_ONLY})) / count(price) FROM dirty_items)"
+_PERCENTS = f"(SELECT count(*) FILTER (WHERE regexp_matches(discount, {q.PERCENT_TIGHT})) / count(discount) FROM dirty_items)"
+
+
+@operation("AGG-9", uses=["dirty_items"], sql=_issues("""CASE WHEN cur / n > 0.5 THEN 'currency'
+  WHEN pct / n > 0.5 THEN 'percentages' WHEN com / n > 0.5 THEN 'comma-formatted numbers'
+  WHEN column_name LIKE '%date%' AND iso / n < 0.99 AND parsed / n > 0.7 THEN 'non-ISO dates' END""",
+    True, " exact duplicate rows", 100))
 def table_issues(spark: SparkSession, sf: str) -> DataFrame:
     """Issues of the items as sentences, worst missing columns last."""
     profile = pf.profile_table(stage(fixture(spark, sf, "dirty_items")))
@@ -161,7 +194,9 @@ def quick_profile(spark: SparkSession, sf: str) -> DataFrame:
                                         "completeness double, uniqueness double, overall double")
 
 
-@operation("AGG-11 SRT-2")
+@operation("AGG-11 SRT-2", uses=["dirty_items"], sql=_issues(f"""CASE WHEN column_name = 'price' AND {_DOLLARS} > 0.5
+  THEN 'currency' WHEN column_name = 'discount' AND {_PERCENTS} > 0.5 THEN 'percentages' END""",
+    False, " duplicate rows", 8))
 def quick_profile_issues(spark: SparkSession, sf: str) -> DataFrame:
     """At most eight issues of the items."""
     issues = pf.quick_profile(stage(fixture(spark, sf, "dirty_items")))["issues"]

@@ -35,7 +35,8 @@ def gzip_csv_missing(spark: SparkSession, sf: str) -> DataFrame:
     return pf.missing_counts(csv.read_text_table(spark, path)).withColumnRenamed("column", "column_name")
 
 
-@operation("SRC-2")
+@operation("SRC-2", uses=["dirty_customers"], sql="""
+SELECT least(count(*), 100) AS n_rows, count(*) > 100 AS truncated FROM dirty_customers""")
 def capped_read(spark: SparkSession, sf: str) -> DataFrame:
     """A capped read of the customers with its flag telling that there were more rows."""
     capped = csv.read_capped(spark, _written_csv(spark, sf, "dirty_customers"), 100)
@@ -50,9 +51,8 @@ def folder_profiles(spark: SparkSession, sf: str) -> DataFrame:
     folder = work_path(spark, "feeds")
     for feed in ("feed_v1", "feed_v2"):
         csv.write_table(fixture(spark, sf, feed), f"{folder}/{feed}")
-    rows = [(path.split("/")[-2], p["rows"], p["completeness"]) for path, p in csv.profile_folder(spark, folder).items()]
-    profiles = spark.createDataFrame(rows, "feed string, n_rows bigint, completeness double")
-    return profiles.groupBy("feed").agg(F.sum("n_rows").alias("n_rows"), F.min("completeness").alias("completeness"))
+    feed = F.regexp_extract("file", r"([^/]*)/[^/]*$", 1).alias("feed")
+    return csv.profile_folder(spark, folder).groupBy(feed).agg(F.sum("n_rows").alias("n_rows"), F.min("completeness").alias("completeness"))
 
 
 @operation("SRC-3", uses=["dirty_customers"], sql="SELECT count(*) AS n_rows FROM dirty_customers")

@@ -11,6 +11,7 @@ from ..session import work_path
 from ..sources import csv
 from ..sources.tables import fixture, table
 from ..streaming import drift_stream, payloads, ttl_cache, usage
+from .drift import BOTH, DIFF, FEEDS
 
 _ENVELOPES = """
 SELECT event_id, CASE WHEN octet_length(encode(body)) > 1048576 THEN 'too_large' WHEN body = '' THEN 'empty'
@@ -112,11 +113,9 @@ def cache_outcomes_stream(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema("event_id bigint, request_key string, is_miss boolean").parquet(path)
 
 
-@operation("STR-2 SRC-1", uses=["feed_v1"], sql="""
+@operation("STR-2 SRC-1", uses=FEEDS, sql=BOTH + f"""
 SELECT 'delivery-1' AS delivery, 'parts feed' AS name, TRUE AS first_run, CAST(NULL AS varchar) AS column_name, 'none' AS change
-UNION ALL SELECT 'delivery-2', 'parts feed', FALSE, 'brand', 'added'
-UNION ALL SELECT 'delivery-2', 'parts feed', FALSE, 'kind', 'removed'
-UNION ALL SELECT 'delivery-2', 'parts feed', FALSE, 'size', 'type_changed'""")
+UNION ALL SELECT 'delivery-2', 'parts feed', FALSE, column_name, change FROM ({DIFF})""")
 def drift_stream_log(spark: SparkSession, sf: str) -> DataFrame:
     """Drift reports of two CSV deliveries of the parts feed landing in a watched folder."""
     landing, log = work_path(spark, "landing"), work_path(spark, "drift-log")

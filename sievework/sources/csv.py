@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.profile import quick_profile, quoted
+from ..operators.profile import quoted, text_columns
 from ..operators.repair import project
 
 # --- fixed values: cells read as missing ---------------------------------------------------------------
@@ -18,24 +19,26 @@ CSV_SUFFIXES = r"(?i)\.csv(\.gz)?$"
 # ---------------------------------------------------------------------------------------------------------
 
 
-def _reader(spark: SparkSession):
-    return spark.read.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=True,
+def _reader(spark: SparkSession, multi_line: bool = True):
+    return spark.read.options(header=True, inferSchema=False, quote='"', escape='"', multiLine=multi_line,
                               enforceSchema=False)
 
 
 def null_words(df: DataFrame) -> DataFrame:
     """Null every cell that holds one of the words for a missing value."""
-    return project(df, **{c: F.when(~quoted(c).isin(NA_WORDS), quoted(c)) for c in df.columns})
+    return project(df, **{c: F.when(~quoted(c).isin(NA_WORDS), quoted(c)) for c in text_columns(df)})
 
 
-def read_text_table(spark: SparkSession, *paths: str, max_rows: int | None = None) -> DataFrame:
+def read_text_table(spark: SparkSession, *paths: str, max_rows: int | None = None,
+                    multi_line: bool = True) -> DataFrame:
     """CSV files (plain or gzip) with a header as one table of text columns.
 
-    Quoted cells may span lines, so a file is read by one task; a delivery of many files is read by
-    many.  A gzip file cannot be split either: its rows are spread again before further work.
-    ``max_rows`` keeps the first rows only; by default the whole file is read.
+    Quoted cells may span lines, so by default a file is read by one task and a delivery of many
+    files by many.  With ``multi_line=False`` large files without such cells are split as well.  A
+    gzip file cannot be split: its rows are spread again before further work.  ``max_rows`` keeps
+    the first rows only; by default everything is read.
     """
-    df = null_words(_reader(spark).csv(list(paths)))
+    df = null_words(_reader(spark, multi_line).csv(list(paths)))
     if any(p.lower().endswith(".gz") for p in paths):
         df = df.repartition(spark.sparkContext.defaultParallelism)
     return df.limit(max_rows) if max_rows else df
@@ -53,16 +56,42 @@ def read_capped(spark: SparkSession, path: str, max_rows: int) -> CappedTable:
     return CappedTable(read_text_table(spark, path, max_rows=max_rows), more)
 
 
-def csv_paths(spark: SparkSession, folder: str) -> list[str]:
-    """CSV files below a folder, by path only; contents are not read."""
-    files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(folder).select("path")
-             .where(F.col("path").rlike(CSV_SUFFIXES)).orderBy("path"))
-    return [r["path"] for r in files.collect()]
+def headers(spark: SparkSession, folder: str) -> DataFrame:
+    """(header, files): the CSV files below a folder by their first line."""
+    lines = spark.read.option("recursiveFileLookup", "true").text(folder).select(
+        F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"), "value",
+        F.monotonically_increasing_id().alias("position"))
+    first = (lines.where(F.col("file").rlike(CSV_SUFFIXES) & (F.col("start") == 0))
+             .groupBy("file").agg(F.min_by("value", "position").alias("header")))
+    return first.groupBy("header").agg(F.sort_array(F.collect_list("file")).alias("files"))
 
 
-def profile_folder(spark: SparkSession, folder: str) -> dict[str, dict[str, object]]:
-    """Short profile of every CSV file below a folder, one distributed job per file."""
-    return {path: quick_profile(read_text_table(spark, path)) for path in csv_paths(spark, folder)}
+def profile_files(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """Short profile of every file of one schema, in one job: a row per file.
+
+    (file, n_rows, duplicate_rows, missing_cells, completeness, uniqueness, overall)
+    """
+    raw = _reader(spark).csv(paths).select("*", F.col("_metadata.file_path").alias("__file"))
+    columns = raw.columns[:-1]
+    table = null_words(raw)
+    copies = table.groupBy(*[quoted(c) for c in table.columns]).agg(F.count(F.lit(1)).alias("__n"))
+    holes = reduce(lambda a, b: a + b, [F.when(quoted(c).isNull(), 1).otherwise(0) for c in columns])
+    per_file = copies.groupBy(F.col("__file").alias("file")).agg(
+        F.sum("__n").alias("n_rows"), F.sum(F.col("__n") - 1).alias("duplicate_rows"),
+        F.sum(holes * F.col("__n")).alias("missing_cells"))
+    complete = F.lit(100.0) * (1 - F.col("missing_cells") / (F.col("n_rows") * len(columns)))
+    unique = F.lit(100.0) * (1 - F.col("duplicate_rows") / F.col("n_rows"))
+    return (per_file.withColumn("completeness", complete).withColumn("uniqueness", unique)
+            .withColumn("overall", (complete + unique) / 2))
+
+
+def profile_folder(spark: SparkSession, folder: str) -> DataFrame:
+    """Short profile of every CSV file below a folder: one distributed job per schema, not per file."""
+    groups = [profile_files(spark, row["files"]) for row in headers(spark, folder).orderBy("header").collect()]
+    if not groups:
+        return spark.createDataFrame([], "file string, n_rows bigint, duplicate_rows bigint, missing_cells bigint, "
+                                         "completeness double, uniqueness double, overall double")
+    return reduce(DataFrame.unionByName, groups)
 
 
 def file_row_counts(spark: SparkSession, folder: str) -> DataFrame:

@@ -39,3 +39,11 @@ def test_unknown_operation_lists_known_ones(spark, sf_dir):
 
 def test_every_operation_is_described():
     assert all(op.description and op.covers for op in OPERATIONS.values())
+
+
+def test_listing_names_every_operation(spark):
+    assert {r["name"] for r in registry.listing(spark).collect()} == set(OPERATIONS)
+
+
+def test_listing_names_every_operation(spark):
+    assert {r["name"] for r in registry.listing(spark).collect()} == set(OPERATIONS)

@@ -28,7 +28,11 @@ def test_quoted_cells_gzip_and_cap(spark, tmp_path):
     capped = csv.read_capped(spark, path, 2)
     assert capped.truncated and capped.table.count() == 2
     assert not csv.read_capped(spark, path, 3).truncated
-    assert list(csv.profile_folder(spark, str(tmp_path)).values())[0]["rows"] == 3
+    (tmp_path / "u.csv").write_text("x\n1\n1\nNA\n")
+    (tmp_path / "v.csv").write_text("x\n7\n")
+    profiles = {r["file"].rsplit("/", 1)[-1]: r for r in csv.profile_folder(spark, str(tmp_path)).collect()}
+    assert {f: p["n_rows"] for f, p in profiles.items()} == {"t.csv.gz": 3, "u.csv": 3, "v.csv": 1}
+    assert (profiles["u.csv"]["duplicate_rows"], profiles["u.csv"]["missing_cells"]) == (1, 1)
 
 
 def test_writers_skip_empty_quarantine(spark, tmp_path):
