@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -10,7 +12,7 @@ from ..operators import profile as pf
 from ..operators import repair as rp
 from ..operators import score as sc
 from ..plans import single_table, two_table
-from ..registry import operation
+from ..registry import operation, run
 from ..sources.tables import fixture
 from . import snippets as q
 
@@ -265,3 +267,15 @@ def key_match_ratio(spark: SparkSession, sf: str) -> DataFrame:
 def distinct_customers(spark: SparkSession, sf: str) -> DataFrame:
     """Customers without exact copies."""
     return rp.drop_copies(fixture(spark, sf, "dirty_customers"))
+
+
+@operation("UDF-1", uses=["dirty_customers", "dirty_orders"], sql=f"""
+SELECT 'distinct_customers' AS name, (SELECT count(*) FROM (SELECT DISTINCT * FROM dirty_customers)) AS n_rows
+UNION ALL SELECT 'matched_orders', count(*) FILTER (WHERE {q.norm_key('customer_id')} IN {_KNOWN}) FROM dirty_orders
+UNION ALL SELECT 'orphan_orders', count(*) FILTER (WHERE customer_id IS NULL OR {q.norm_key('customer_id')} NOT IN {_KNOWN})
+FROM dirty_orders""")
+def runs_by_name(spark: SparkSession, sf: str) -> DataFrame:
+    """Rows given by three operations that are looked up and run by their names."""
+    results = [run(name, spark, sf).agg(F.count(F.lit(1)).alias("n_rows")).select(F.lit(name).alias("name"), "n_rows")
+               for name in ("distinct_customers", "matched_orders", "orphan_orders")]
+    return reduce(DataFrame.unionByName, results)

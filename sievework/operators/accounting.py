@@ -15,6 +15,8 @@ RECENT_LESSONS = 12
 FOUND_LESSONS = 5
 QUESTION_CHARS = 300
 MIN_TERM_CHARS = 4
+FAILURE_LINE = "%s — %s=%s"
+DIGEST_ITEM = "(%d) %s"
 # ------------------------------------------------------------------------------------------------------
 
 TOTAL = "(all)"
@@ -102,8 +104,7 @@ def failure_lines(failures: DataFrame, questions: DataFrame) -> DataFrame:
     """Failures as text; questions: (example_id, question)."""
     shown = F.coalesce(F.col("score").cast("string"), F.lit("None"))
     return failures.join(questions, "example_id").select(
-        "example_id", "gate", F.concat(F.substring("question", 1, 48), F.lit(" — "), F.col("gate"), F.lit("="),
-                                       shown).alias("line"))
+        "example_id", "gate", F.format_string(FAILURE_LINE, F.substring("question", 1, 48), "gate", shown).alias("line"))
 
 
 # --- notes ---------------------------------------------------------------------------------------------------
@@ -135,7 +136,7 @@ def recent_lessons(lessons: DataFrame, n: int = RECENT_LESSONS) -> DataFrame:
 def lesson_digest(lessons: DataFrame, n: int = RECENT_LESSONS) -> DataFrame:
     """The last n lessons as one numbered line."""
     numbered = recent_lessons(lessons, n).withColumn(
-        "item", F.concat(F.lit("("), F.col("position").cast("string"), F.lit(") "), "lesson"))
+        "item", F.format_string(DIGEST_ITEM, "position", "lesson"))
     items = F.sort_array(F.collect_list(F.struct("position", "item")))
     return numbered.agg(F.array_join(F.transform(items, lambda r: r["item"]), "; ").alias("digest"))
 

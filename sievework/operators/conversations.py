@@ -26,7 +26,11 @@ FLAGGED = "User feedback flagged an issue: "
 THIN = "Answer was thin — likely under-explained."
 NO_CRITIC = "(No LLM critic available — heuristic review only.)"
 PLAIN_LESSON = "Prefer verified, tool-backed answers over assertions; be specific and complete."
+LESSON_FROM_FEEDBACK = "When asked something like '%s', verify with tools first and address the user's feedback directly."
+SUMMARY_NOTE = "[Summary of %d earlier turns]\n\n%s"
 SUMMARY_REPLY = "Understood — continuing from that summary."
+TRANSCRIPT_LINE = "%s: %s"
+CALLED_TOOL, TOOL_RESULT, IMAGE = "[called tool: %s]", "[tool result: %s]", "[image]"
 # -------------------------------------------------------------------------------------------------------
 
 BLOCK = 1_024            # turns per block of a running sum
@@ -129,8 +133,8 @@ def trim_to_budget(messages: DataFrame, cap_tokens: int) -> DataFrame:
 
 def transcript_lines(messages: DataFrame) -> DataFrame:
     """(conv_id, turn, line) with lines ``ROLE: body``."""
-    return messages.select("conv_id", "turn", F.concat(F.upper(F.coalesce("role", F.lit("unknown"))), F.lit(": "),
-                                                       F.coalesce("text", F.lit(""))).alias("line"))
+    line = F.format_string(TRANSCRIPT_LINE, F.upper(F.coalesce("role", F.lit("unknown"))), F.coalesce("text", F.lit("")))
+    return messages.select("conv_id", "turn", line.alias("line"))
 
 
 def block_text(blocks: Column) -> Column:
@@ -140,10 +144,9 @@ def block_text(blocks: Column) -> Column:
         short = F.when(F.length(result) > TOOL_RESULT_CHARS,
                        F.concat(F.substring(result, 1, TOOL_RESULT_CHARS), F.lit("…"))).otherwise(result)
         return (F.when(b["type"] == "text", F.coalesce(b["text"], F.lit("")))
-                .when(b["type"] == "tool_use", F.concat(F.lit("[called tool: "), F.coalesce(b["name"], F.lit("?")),
-                                                        F.lit("]")))
-                .when(b["type"] == "tool_result", F.concat(F.lit("[tool result: "), short, F.lit("]")))
-                .when(b["type"] == "image", F.lit("[image]")).otherwise(F.lit("")))
+                .when(b["type"] == "tool_use", F.format_string(CALLED_TOOL, F.coalesce(b["name"], F.lit("?"))))
+                .when(b["type"] == "tool_result", F.format_string(TOOL_RESULT, short))
+                .when(b["type"] == "image", F.lit(IMAGE)).otherwise(F.lit("")))
 
     return F.array_join(F.filter(F.transform(blocks, body), lambda t: t != ""), "\n")
 
@@ -174,8 +177,7 @@ def condense(messages: DataFrame, summaries: DataFrame, keep: int = KEEP_RECENT)
     pairs = starts.where("split_turn > 0").select("conv_id", "split_turn").join(summaries, "conv_id")
     header = pairs.select("conv_id", F.inline(F.array(
         F.struct(F.lit(-2).cast("bigint").alias("position"), F.lit("user").alias("role"),
-                 F.concat(F.lit("[Summary of "), F.col("split_turn").cast("string"), F.lit(" earlier turns]\n\n"),
-                          F.col("summary")).alias("text")),
+                 F.format_string(SUMMARY_NOTE, "split_turn", "summary").alias("text")),
         F.struct(F.lit(-1).cast("bigint").alias("position"), F.lit("assistant").alias("role"),
                  F.lit(SUMMARY_REPLY).alias("text")))))
     body = (messages.join(pairs.select("conv_id", "split_turn"), "conv_id", "left")
@@ -207,9 +209,8 @@ def critique(pairs: DataFrame) -> DataFrame:
         F.when(gave_up, F.lit(GAVE_UP)),
         F.when(feedback != "", F.concat(F.lit(FLAGGED), F.substring(feedback, 1, 200))),
         F.when(F.length(answer) < THIN_ANSWER, F.lit(THIN))))
-    lesson = F.when(feedback != "", F.concat(
-        F.lit("When asked something like '"), F.substring(F.coalesce("question", F.lit("")), 1, 80),
-        F.lit("', verify with tools first and address the user's feedback directly."))).otherwise(F.lit(PLAIN_LESSON))
+    asked = F.substring(F.coalesce("question", F.lit("")), 1, 80)
+    lesson = F.when(feedback != "", F.format_string(LESSON_FROM_FEEDBACK, asked)).otherwise(F.lit(PLAIN_LESSON))
     weak = F.size("__found") > 0
     return (pairs.withColumn("__found", found)
             .withColumn("rating", F.when(weak, 4).otherwise(6).cast("bigint"))

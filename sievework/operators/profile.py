@@ -27,6 +27,13 @@ TOP_MISSING = 5
 MAX_ISSUES = 8
 KIND_WORDS = {"currency": "currency", "percent": "percentages",
               "comma_number": "comma-formatted numbers", "date": "non-ISO dates"}
+KIND_ISSUE = "'{column}' stores {kind} as text (e.g. \"{example}\") — needs coercion"
+SPELLING_ISSUE = "'{column}' has inconsistent categorical variants ({pairs})"
+SPELLING_PAIR = "'{value}'→'{canonical}'"
+COPIES_ISSUE = "{n} exact duplicate rows"
+MISSING_ISSUE = "{n} missing values in '{column}'"
+QUICK_KIND_ISSUE = "'{column}' stores {kind} as text (e.g. \"{example}\") — needs numeric coercion"
+QUICK_COPIES_ISSUE = "{n} duplicate rows"
 # -----------------------------------------------------------------------------------------------
 
 COLUMNS_PER_AGGREGATE = 50  # keeps one generated method below the JVM's size limit
@@ -251,18 +258,18 @@ class TableProfile:
 
     @property
     def issues(self) -> list[str]:
-        found = [f"'{c}' stores {KIND_WORDS[k]} as text (e.g. \"{self.examples[c]}\") — needs coercion"
+        found = [KIND_ISSUE.format(column=c, kind=KIND_WORDS[k], example=self.examples[c])
                  for c, k in self.kinds.items()]
-        for column, pairs in self.spellings.items():
-            shown = ", ".join(f"'{a}'→'{b}'" for a, b in list(pairs.items())[:2])
-            found.append(f"'{column}' has inconsistent categorical variants ({shown})")
+        for column, variants in self.spellings.items():
+            shown = [SPELLING_PAIR.format(value=a, canonical=b) for a, b in list(variants.items())[:2]]
+            found.append(SPELLING_ISSUE.format(column=column, pairs=", ".join(shown)))
         if self.n_duplicates:
-            found.append(f"{self.n_duplicates} exact duplicate rows")
+            found.append(COPIES_ISSUE.format(n=self.n_duplicates))
         return found + self.missing_issues()
 
     def missing_issues(self) -> list[str]:
         worst = sorted(self.missing.items(), key=lambda item: -item[1])[:TOP_MISSING]
-        return [f"{n} missing values in '{c}'" for c, n in worst if n]
+        return [MISSING_ISSUE.format(n=n, column=c) for c, n in worst if n]
 
 
 def read_spellings(df: DataFrame, columns: list[str]) -> dict[str, dict[str, str]]:
@@ -335,10 +342,10 @@ def quick_profile(df: DataFrame, truncated: bool = False) -> dict[str, object]:
     for c, m in measured.items():
         for kind, word in (("currency", "currency"), ("percent", "percentages")):
             if m["values"] and m[kind] / m["values"] > KIND_SHARE:
-                issues.append(f"'{c}' stores {word} as text (e.g. \"{m['example']}\") — needs numeric coercion")
+                issues.append(QUICK_KIND_ISSUE.format(column=c, kind=word, example=m["example"]))
                 break
     if profile.n_duplicates:
-        issues.append(f"{profile.n_duplicates} duplicate rows")
+        issues.append(QUICK_COPIES_ISSUE.format(n=profile.n_duplicates))
     issues += profile.missing_issues()
     cells = profile.n_rows * len(df.columns)
     completeness = 100.0 * (1 - profile.n_missing / cells) if cells else 100.0

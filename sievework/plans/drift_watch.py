@@ -16,6 +16,15 @@ from ..operators import drift
 from ..session import materialize
 from ..sources.state import read_or_empty
 
+# --- fixed values: report lines --------------------------------------------------------------------
+FIRST_RUN = "No baseline existed for '{name}' — saved the current schema as the baseline ({n} columns: {columns})."
+UNCHANGED = "No schema drift for '{name}' — {n} columns, unchanged."
+DRIFTED = "Schema drift detected for '{name}':"
+ADDED = "  added columns: {columns}"
+REMOVED = "  removed columns: {columns}"
+TYPE_CHANGED = "  '{column}' type changed: {was} -> {now}"
+# -----------------------------------------------------------------------------------------------------
+
 SCHEMA = "name string, version bigint, ordinal bigint, `column` string, inferred_type string, removed boolean"
 
 
@@ -94,13 +103,10 @@ def render(report: DriftReport) -> list[str]:
     """The report as lines of text."""
     n = len(report.columns)
     if report.first_run:
-        return [f"No baseline existed for '{report.name}' — saved the current schema as the baseline "
-                f"({n} columns: {', '.join(report.columns)})."]
+        return [FIRST_RUN.format(name=report.name, n=n, columns=", ".join(report.columns))]
     if not report.drifted:
-        return [f"No schema drift for '{report.name}' — {n} columns, unchanged."]
-    lines = [f"Schema drift detected for '{report.name}':"]
-    if report.added:
-        lines.append(f"  added columns: {', '.join(report.added)}")
-    if report.removed:
-        lines.append(f"  removed columns: {', '.join(report.removed)}")
-    return lines + [f"  '{c}' type changed: {was} -> {now}" for c, was, now in report.type_changed]
+        return [UNCHANGED.format(name=report.name, n=n)]
+    lines = [DRIFTED.format(name=report.name)]
+    lines += [line.format(columns=", ".join(names))
+              for line, names in ((ADDED, report.added), (REMOVED, report.removed)) if names]
+    return lines + [TYPE_CHANGED.format(column=c, was=was, now=now) for c, was, now in report.type_changed]

@@ -7,6 +7,18 @@ from pyspark.sql import functions as F
 
 from . import single_table as st
 
+# --- fixed values: report lines --------------------------------------------------------------------
+SCORE_LINE = "%-16s%8.1f%8.1f"
+ROWS_LINE = "  rows: {rows}, columns: {columns}"
+TOTAL_LINE = "  score: {before:.1f} -> {after:.1f} (target {target})"
+PASSES_LINE = "  passes run: {passes}"
+PASS_LINE = "    pass {attempt} ({strategy}): score {score:.1f}, {share:.1f}% of cells imputed"
+ESCALATED_LINE = ("  escalated: the first score was inflated by imputation, so {n} unrecoverable row(s) were quarantined "
+                  "and the data re-scored.")
+EARNED_LINE = "  no escalation needed: the score was earned, not imputed."
+USAGE_LINE = "%s: %,d calls | %,d in / %,d out | ~$%.4f"
+# -----------------------------------------------------------------------------------------------------
+
 
 def scorecard_lines(phases: DataFrame, columns: list[str]) -> DataFrame:
     """(position, line) with one line per dimension from a (phase, dimensions...) table of two rows."""
@@ -16,25 +28,22 @@ def scorecard_lines(phases: DataFrame, columns: list[str]) -> DataFrame:
     wide = long.groupBy("position", "dimension").agg(
         F.max(F.when(F.col("phase") == "before", F.col("score"))).alias("before"),
         F.max(F.when(F.col("phase") == "after", F.col("score"))).alias("after"))
-    return wide.select("position", F.format_string("%-16s%8.1f%8.1f", "dimension", "before", "after").alias("line"))
+    return wide.select("position", F.format_string(SCORE_LINE, "dimension", "before", "after").alias("line"))
 
 
 def loop_lines(name: str, report: st.LoopReport) -> list[str]:
     """Report of a loop run as lines."""
-    lines = [f"Quality loop on {name}",
-             f"  rows: {report.profile.n_rows}, columns: {len(report.profile.columns)}",
-             f"  score: {report.before['overall']:.1f} -> {report.after['overall']:.1f} (target {st.TARGET_SCORE})",
-             f"  passes run: {len(report.history)}"]
-    lines += [f"    pass {h['attempt']} ({h['strategy']}): score {h['score']:.1f}, "
-              f"{h['imputed_share'] * 100:.1f}% of cells imputed" for h in report.history]
-    lines.append("  escalated: the first score was inflated by imputation, so "
-                 f"{report.n_quarantined} unrecoverable row(s) were quarantined and the data re-scored."
-                 if report.escalated else "  no escalation needed: the score was earned, not imputed.")
+    lines = [f"Quality loop on {name}", ROWS_LINE.format(rows=report.profile.n_rows, columns=len(report.profile.columns)),
+             TOTAL_LINE.format(before=report.before["overall"], after=report.after["overall"], target=st.TARGET_SCORE),
+             PASSES_LINE.format(passes=len(report.history))]
+    lines += [PASS_LINE.format(attempt=h["attempt"], strategy=h["strategy"], score=h["score"],
+                               share=100 * h["imputed_share"]) for h in report.history]
+    lines.append(ESCALATED_LINE.format(n=report.n_quarantined) if report.escalated else EARNED_LINE)
     return lines + [f"    {line}" for line in report.changelog]
 
 
 def usage_lines(totals: DataFrame, costs: DataFrame) -> DataFrame:
     """(model, line) of per-model usage with its cost."""
     return totals.join(costs.select("model", "cost_usd"), "model").select(
-        "model", F.format_string("%s: %,d calls | %,d in / %,d out | ~$%.4f", "model", "calls", "input_tokens",
+        "model", F.format_string(USAGE_LINE, "model", "calls", "input_tokens",
                                  "output_tokens", "cost_usd").alias("line"))

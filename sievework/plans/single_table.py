@@ -18,6 +18,19 @@ from ..session import materialize, spread
 NUMERIC_SHARE = 0.6
 TARGET_SCORE = 95.0
 MAX_IMPUTED_SHARE = 0.10
+SENTENCES = {
+    "trimmed": "Trimmed whitespace from {n} cells across all text columns.",
+    "deduplicated": "Dropped {n} exact duplicate rows.",
+    "date": "Standardised {n} '{column}' values to ISO dates.",
+    "currency": "Coerced '{column}' from currency text to numeric.",
+    "percent": "Coerced '{column}' from percent text to numeric.",
+    "comma_number": "Coerced '{column}' from comma-number text to numeric.",
+    "canonicalised": "Canonicalised {n} inconsistent variant(s) in '{column}'.",
+    "imputed": "Imputed {n} missing values (numeric→median, text→'UNKNOWN') — disclosed, not silent.",
+}
+PASS_PREFIX = "[pass {attempt}, {strategy}] "
+QUARANTINED = "[escalation] Quarantined {n} unrecoverable row(s) for human review."
+NOTHING_QUARANTINED = "[escalation] No unrecoverable rows found to quarantine."
 # ---------------------------------------------------------------------------------------------------
 
 
@@ -36,18 +49,7 @@ class Repair:
 
     @property
     def changelog(self) -> list[str]:
-        return [_sentence(column, action, n) for _, column, action, n in self.steps]
-
-
-def _sentence(column: str, action: str, n: int) -> str:
-    texts = {
-        "trimmed": f"Trimmed whitespace from {n} cells across all text columns.",
-        "deduplicated": f"Dropped {n} exact duplicate rows.",
-        "date": f"Standardised {n} '{column}' values to ISO dates.",
-        "canonicalised": f"Canonicalised {n} inconsistent variant(s) in '{column}'.",
-        "imputed": f"Imputed {n} missing values (numeric→median, text→'{tx.UNKNOWN}') — disclosed, not silent.",
-    }
-    return texts.get(action) or f"Coerced '{column}' from {action.replace('_', '-')} text to numeric."
+        return [SENTENCES[action].format(column=column, n=n) for _, column, action, n in self.steps]
 
 
 def repair(df: DataFrame, profile: pf.TableProfile | None = None, final_dedupe: bool = False) -> Repair:
@@ -168,7 +170,7 @@ def run_trusted(df: DataFrame, mode: str = "mask") -> LoopReport:
     fixed = repair(df, profile)
     after = rescore(fixed.table)
     report = LoopReport(fixed.table, profile, score(df, profile), after,
-                        [f"[pass 1, conservative] {s}" for s in fixed.changelog], fixed.steps,
+                        _prefixed(1, "conservative", fixed), fixed.steps,
                         [_pass(1, "conservative", after, share)])
     if after["overall"] >= TARGET_SCORE and share <= MAX_IMPUTED_SHARE:
         return report
@@ -178,17 +180,19 @@ def run_trusted(df: DataFrame, mode: str = "mask") -> LoopReport:
     bad = rp.any_unknown(source) if mode == "reference" else rp.any_missing(source)
     kept, report.quarantine = rp.split_rows(source, bad)
     report.n_quarantined = report.quarantine.count()
-    report.changelog.append(
-        f"[escalation] Quarantined {report.n_quarantined} unrecoverable row(s) for human review."
-        if report.n_quarantined else "[escalation] No unrecoverable rows found to quarantine.")
+    report.changelog.append(QUARANTINED.format(n=report.n_quarantined) if report.n_quarantined else NOTHING_QUARANTINED)
     second_profile = pf.profile_table(kept)
     share = second_profile.hole_share
     second = repair(kept, second_profile)
     report.table, report.after = second.table, rescore(second.table)
-    report.changelog += [f"[pass 2, aggressive] {s}" for s in second.changelog]
+    report.changelog += _prefixed(2, "aggressive", second)
     report.history.append(_pass(2, "aggressive", report.after, share))
     return report
 
 
+def _prefixed(attempt: int, strategy: str, done: Repair) -> list[str]:
+    return [PASS_PREFIX.format(attempt=attempt, strategy=strategy) + line for line in done.changelog]
+
+
 def _pass(attempt: int, strategy: str, scores: dict[str, float], share: float) -> dict[str, object]:
     return {"attempt": attempt, "strategy": strategy, "score": scores["overall"], "imputed_share": share}
