@@ -49,16 +49,18 @@ def is_missing_word(c: Column) -> Column:
     return c.isNull() | c.isin(MISSING_WORDS)
 
 
+# Where a pattern needs a certain sign, the cells without it are ruled out by a plain search first.
+
 def is_currency(c: Column) -> Column:
-    return c.rlike(CURRENCY)
+    return (c.contains("$") | c.contains("£") | c.contains("€")) & c.rlike(CURRENCY)
 
 
 def is_percent(c: Column) -> Column:
-    return c.rlike(PERCENT)
+    return c.contains("%") & c.rlike(PERCENT)
 
 
 def is_comma_number(c: Column) -> Column:
-    return c.rlike(COMMA_NUMBER)
+    return c.contains(",") & c.rlike(COMMA_NUMBER)
 
 
 def is_iso_date(c: Column) -> Column:
@@ -66,11 +68,11 @@ def is_iso_date(c: Column) -> Column:
 
 
 def is_dollar_only(c: Column) -> Column:
-    return c.rlike(DOLLAR_ONLY)
+    return c.contains("$") & c.rlike(DOLLAR_ONLY)
 
 
 def is_percent_tight(c: Column) -> Column:
-    return c.rlike(PERCENT_TIGHT)
+    return c.contains("%") & c.rlike(PERCENT_TIGHT)
 
 
 def is_plain_number(c: Column) -> Column:

@@ -164,12 +164,17 @@ def repair(customers: DataFrame, orders: DataFrame) -> TwoTableRepair:
 
 
 def before_after(customers: DataFrame, orders: DataFrame) -> DataFrame:
-    """Scorecards before and after the repair, as (phase, six dimensions, overall)."""
-    fixed = repair(customers, orders)
+    """Scorecards before and after the repair, as (phase, six dimensions, overall).
+
+    Each scorecard is one row and is computed on its own: one plan holding both would be replanned
+    as a whole after each of its many small shuffles.
+    """
     columns = [*sc.DIMENSIONS, "overall"]
-    after = sc.scorecard(fixed.customers, rp.project(fixed.orders, amount=F.col("amount").cast("string")))
-    return (sc.scorecard(customers, orders).select(F.lit("before").alias("phase"), *columns)
-            .unionByName(after.select(F.lit("after").alias("phase"), *columns)))
+    before = sc.scorecard(customers, orders).first()
+    fixed = repair(customers, orders)
+    after = sc.scorecard(fixed.customers, rp.project(fixed.orders, amount=F.col("amount").cast("string"))).first()
+    rows = [("before", *[before[c] for c in columns]), ("after", *[after[c] for c in columns])]
+    return customers.sparkSession.createDataFrame(rows, "phase string, " + ", ".join(f"{c} double" for c in columns))
 
 
 def inject_defects(customers: DataFrame, orders: DataFrame) -> tuple[DataFrame, DataFrame]:
