@@ -7,8 +7,9 @@ In batch, a key may hold a large part of all requests, so its timeline is cut in
 worked on independently: whatever window is still open when a segment begins, the segment's misses
 follow from where its first miss falls.  Each segment reports, for every possible first miss, when
 the last window it leads to ends; chaining these small reports gives each segment its true start.
-A segment is never shorter than one lifetime, so it is a lifetime's worth of requests that bounds
-what one task holds for a very busy key.
+A segment is never shorter than one lifetime, so a task may hold a lifetime's worth of a key's
+requests.  The reports of a key are chained in one task; they are short where different starts soon
+lead to the same windows, and grow with the requests of a key so dense that they never do.
 """
 
 from __future__ import annotations
