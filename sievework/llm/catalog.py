@@ -8,7 +8,13 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
 from ..sources.tables import table
-from . import op2_substrings
+from . import op1_pieces, op2_substrings, op3_token_counts, op9_jaccard
+
+def _vocabulary(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -27,7 +33,25 @@ def query(sql: str | None = None):
     return register
 
 
+@query()
+def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece identifiers of every text and the digest of what they decode to."""
+    return op1_pieces.encoded_digest(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
+
+
 @query()
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after removing 50-word windows that start in a document of smaller id."""
     return op2_substrings.kept_digest(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op3_token_counts_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and byte-pair tokens of every text."""
+    return op3_token_counts.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
+
+
+@query()
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents whose 4-word shingles overlap by 85 per cent."""
+    return op9_jaccard.similar_groups(table(spark, sf_dir, "documents"), size=4, percent=85)
