@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
 from ..sources.tables import table
-from . import op1_pieces, op2_substrings, op3_token_counts, op9_jaccard
+from . import op1_pieces, op2_substrings, op3_token_counts, op4_secrets, op6_quality, op8_benchmark, op9_jaccard
 
 def _vocabulary(name: str) -> str:
     import public_tokenizers
@@ -51,6 +51,24 @@ def op3_token_counts_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_token_counts.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
+@query()
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Secrets in every text, told apart by how many owners carry them."""
+    return op4_secrets.scan_digest(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base statistics of every text and the verdict of rules and robust outliers."""
+    return op6_quality.judged(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that contain a benchmark item, with the item and the share of its shingles."""
+    return op8_benchmark.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query()
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingles overlap by 85 per cent."""

@@ -238,3 +238,15 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     return known.join(parts, known["rep"] == parts["node"], "left").select(
         "doc_id", "n_shingles",
         F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep", "doc_id")).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
+    """One row of each group of similar documents, that of the smallest ``doc_id``, with its columns.
+
+    Of several rows under that ``doc_id`` the one of smallest text stays.  Rows with a null ``doc_id`` all stay.
+    """
+    first = similar_groups(docs, size, percent).where("doc_id = component_id").select(F.col("doc_id").alias("first_")).distinct()
+    named = docs.where("doc_id IS NOT NULL").join(first, F.col("doc_id").cast("long") == F.col("first_"), "left_semi")
+    one = named.groupBy(F.col("doc_id").alias("doc_")).agg(
+        F.min_by(F.struct(*docs.columns), F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("row_"))
+    return one.select("row_.*").unionByName(docs.where("doc_id IS NULL"))
