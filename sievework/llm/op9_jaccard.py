@@ -6,13 +6,14 @@ signatures on their own.  Frequent tokens fall into subclasses, and a signature
 of one subclass; a subclass of m prefix tokens then survives all but m - 1 missing ones.  A
 prefix is extended until the tokens a linked document may lack cannot cover all signatures, so no link is
 lost.  Documents of different size classes have their own number of subclasses, and sizes near a
-border take part on both sides.  Which tokens are frequent is read from counts of 65,536 hash buckets over
+border take part on both sides.  Which tokens are frequent is read from counts of 262,144 hash buckets over
 the whole table; it only steers the cost, never the result.
 
 Documents with equal token sets are one class and its smallest ``doc_id`` stands for them.  Links are
-verified on the texts.  In a large group of documents that share a signature the smallest is
-compared with all others first.  What has become one component needs no further comparison, the rest goes on
-without that document, and as soon as the pairs left are few for the number of documents, all are compared.
+verified on the texts.  Up to 16 documents that share a signature are compared pair by pair.  Larger groups are
+joined to clusters; the documents of a cluster are laid out by size in blocks, and two blocks meet in one task if
+their sizes allow a link, where all overlaps come from one matrix product.  Such a task hands on a spanning
+forest of its links, so neither pairs nor links of a large group are ever listed.
 
 Null texts and texts without words have no token and link with nothing.  Rows with a null ``doc_id`` are
 left alone, their component is null.  Repeated rows give their result each; texts under one ``doc_id``
@@ -25,21 +26,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .components import components
 from .words import Words, _mix, slices
 
-BUCKETS = 1 << 16
+BUCKETS = 1 << 18
 _CHUNK = 1024
-#: A bucket is frequent at this many times the mean, and from this count on.
-FREQUENT_TIMES, FREQUENT_LEAST = 2, 64
+#: A bucket is frequent at this many standard deviations above the mean of evenly spread tokens, and from this count on.
+FREQUENT_DEVIATIONS, FREQUENT_LEAST = 8, 32
 #: Largest token set of the first size class, and the ratio of each class to the one before.
 FIRST_SIZE, SIZE_RATIO = 20, 5
-#: Pairs a document, on average, from which on large groups are taken hub by hub.
-PAIRS_EACH = 8
+#: Documents under one signature up to which their pairs are listed; more are compared block by block.
+SMALL_GROUP = 16
+BLOCK = 256
+_COLUMNS = 4096
 
 _U = np.uint64
 
@@ -73,9 +76,7 @@ def _shapes(size: int):
         for part in (p for b in batches for p in slices(b)):
             rows = []
             for doc, tokens in zip(part.column("doc_id").to_pylist(), _tokens(part, size)):
-                counts += np.bincount((tokens >> _U(48)).astype(np.int64), minlength=BUCKETS) if len(tokens) > BUCKETS else 0
-                if len(tokens) <= BUCKETS:
-                    np.add.at(counts, (tokens >> _U(48)).astype(np.int64), 1)
+                np.add.at(counts, (tokens >> _U(46)).astype(np.int64), 1)
                 rows.append((doc, len(tokens), *_digests(tokens), None))
             if rows:
                 yield batch(rows)
@@ -89,7 +90,7 @@ def _signatures(tokens: np.ndarray, frequent: np.ndarray, percent: int) -> np.nd
     """Signatures of a token set under every size class it takes part in."""
     n = len(tokens)
     may_lack = n - -(-percent * n // 100)
-    is_frequent = frequent[(tokens >> _U(48)).astype(np.int64)]
+    is_frequent = frequent[(tokens >> _U(46)).astype(np.int64)]
     rare, common = tokens[~is_frequent], tokens[is_frequent]
     out, below, upto, scheme = [], 0, FIRST_SIZE, 0
     while 100 * n >= percent * below:
@@ -156,49 +157,82 @@ def _linked(size: int, percent: int):
     return run
 
 
-def _all_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame | None:
+def _within(size: int, percent: int):
+    """Enough links to connect what is linked among the documents of one visit."""
+    def run(visit: pa.Table) -> pa.Table:
+        docs = visit.column("doc_id").to_numpy()
+        sets = [t for part in visit.combine_chunks().to_batches() for p in slices(part) for t in _tokens(p, size)]
+        lengths = np.array([len(t) for t in sets])
+        _, ids, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        rows = np.repeat(np.arange(len(sets)), lengths)
+        rows, ids = rows[times[ids] > 1], ids[times[ids] > 1]
+        order = np.argsort(ids, kind="stable")
+        rows, ids = rows[order], np.unique(ids[order], return_inverse=True)[1]
+        both = np.zeros((len(sets), len(sets)), np.float32)
+        for at in range(0, int(ids[-1]) + 1 if len(ids) else 0, _COLUMNS):
+            lo, hi = np.searchsorted(ids, [at, at + _COLUMNS])
+            held = np.zeros((len(sets), _COLUMNS), np.float32)
+            held[rows[lo:hi], ids[lo:hi] - at] = 1
+            both += held @ held.T
+        both = both.astype(np.int64)
+        linked = 100 * both >= percent * (lengths[:, None] + lengths[None, :] - both)
+        waiting, a, b = np.ones(len(sets), bool), [], []
+        for root in range(len(sets)):
+            if not waiting[root]:
+                continue
+            waiting[root], open_ = False, [root]
+            while open_:
+                node = open_.pop()
+                new = np.flatnonzero(linked[node] & waiting)
+                waiting[new] = False
+                a += [docs[node]] * len(new)
+                b += docs[new].tolist()
+                open_ += new.tolist()
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+    return run
+
+
+def _cluster_links(members: DataFrame, clusters: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links inside clusters: blocks of documents of similar size meet wherever their sizes allow a link."""
+    sized = members.select("doc_id", "n_shingles").distinct().join(
+        clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+    before = Window.partitionBy("cluster").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)
+    spread = sized.groupBy("cluster", "n_shingles").agg(F.count("*").alias("c")).withColumn(
+        "before", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    placed = materialize(sized.join(spread, ["cluster", "n_shingles"]).select(
+        "cluster", "doc_id", "n_shingles",
+        F.floor((F.col("before") + F.pmod(F.xxhash64("doc_id"), F.col("c"))) / BLOCK).alias("block")), "blocks")
+    ranges = placed.groupBy("cluster", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    x, y = ranges.alias("x"), ranges.alias("y")
+    meets = x.join(y, F.expr(f"x.cluster = y.cluster AND x.block <= y.block AND {percent} * y.lo <= 100 * x.hi")).select(
+        F.col("x.cluster").alias("cluster"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
+    visits = meets.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    return (placed.select("cluster", "block", "doc_id").join(visits, ["cluster", "block"]).join(texts.select("doc_id", "text"), "doc_id")
+            .select("cluster", "i", "j", "doc_id", "text").groupBy("cluster", "i", "j")
+            .applyInArrow(_within(size, percent), "a long, b long"))
+
+
+def _all_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Enough links between class representatives to give all components.
 
     ``members`` has signature, doc_id and n_shingles for signatures of two documents at least.
     """
-    links = tested = labels = None
-    n_docs = members.select("doc_id").distinct().count()
-    while True:
-        named = members.withColumn("part", F.col("doc_id")) if labels is None else (
-            members.join(labels, members["doc_id"] == labels["node"], "left")
-            .select("signature", "doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("part")))
-        groups = named.groupBy("signature").agg(
-            F.count("*").alias("n"), F.min("doc_id").alias("hub"), F.min_by("part", "doc_id").alias("hub_part"),
-            F.min_by("n_shingles", "doc_id").alias("hub_size"),
-            F.min("part").alias("p1"), F.max("part").alias("p2")).where("p1 < p2")
-        left = materialize(named.join(groups.drop("p1", "p2"), "signature"), "open-groups")
-        n_pairs = left.agg(F.sum((F.col("n") - 1) / 2)).first()[0]
-        if not n_pairs:
-            return links
-        last = n_pairs <= PAIRS_EACH * n_docs
-        if last:
-            x, y = left.alias("x"), left.alias("y")
-            pairs = x.join(y, F.expr("x.signature = y.signature AND x.doc_id < y.doc_id AND x.part <> y.part")).select(
-                F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b"),
-                F.col("x.n_shingles").alias("size_a"), F.col("y.n_shingles").alias("size_b"))
-        else:
-            pairs = left.where("doc_id <> hub AND part <> hub_part").select(
-                F.col("hub").alias("a"), F.col("doc_id").alias("b"), F.col("hub_size").alias("size_a"),
-                F.col("n_shingles").alias("size_b"))
-        pairs = pairs.where(100 * F.least("size_a", "size_b") >= percent * F.greatest("size_a", "size_b")).select("a", "b").distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "pairs")
-        tested = pairs if tested is None else tested.unionByName(pairs)
-        found = materialize(
-            pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-            .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-            .select("a", "b", "text_a", "text_b").mapInArrow(_linked(size, percent), "a long, b long"), "links")
-        links = found if links is None else links.unionByName(found)
-        if last:
-            return links
-        labels = materialize(components(links), "parts")
-        members = left.where("doc_id <> hub").select("signature", "doc_id", "n_shingles")
+    counts = members.groupBy("signature").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub"))
+    stars = members.join(counts.where(F.col("n") > SMALL_GROUP).select("signature", "hub"), "signature").select(
+        F.col("hub").alias("a"), F.col("doc_id").alias("b"))
+    clusters = materialize(components(stars, "stars"), "clusters")
+    named = members.join(clusters, members["doc_id"] == clusters["node"], "left").join(
+        counts.where(F.col("n") <= SMALL_GROUP).select("signature"), "signature").select(
+        "signature", "doc_id", "n_shingles", F.coalesce(F.col("component").cast("string"), F.concat(F.lit("d"), "doc_id")).alias("cluster"))
+    named = materialize(named, "small-groups")
+    pairs = materialize(named.alias("x").join(named.alias("y"), F.expr(
+        "x.signature = y.signature AND x.doc_id < y.doc_id AND x.cluster <> y.cluster "
+        f"AND 100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)")).select(
+        F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "pairs")
+    found = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
+             .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+             .select("a", "b", "text_a", "text_b").mapInArrow(_linked(size, percent), "a long, b long"))
+    return found.unionByName(_cluster_links(members, clusters, texts, size, percent))
 
 
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -217,8 +251,8 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     counts = table.where("n_shingles < 0").select("n_shingles", F.posexplode("counts").alias("place", "c")).groupBy(
         "n_shingles", "place").agg(F.sum("c").alias("c"))
     mean = (counts.agg(F.sum("c")).first()[0] or 0) / BUCKETS
-    flags = np.zeros(BUCKETS, bool)      # 8 KB for any input
-    for r in counts.where(F.col("c") >= max(FREQUENT_LEAST, FREQUENT_TIMES * mean)).collect():
+    flags = np.zeros(BUCKETS, bool)      # 32 KB for any input
+    for r in counts.where(F.col("c") >= max(FREQUENT_LEAST, mean + FREQUENT_DEVIATIONS * mean ** 0.5)).collect():
         flags[(-1 - r["n_shingles"]) * _CHUNK + r["place"]] = True
 
     classes = shapes.where("n_shingles > 0 AND doc_id IS NOT NULL").groupBy("d1", "d2", "n_shingles").agg(F.min("doc_id").alias("doc_id"))
@@ -232,8 +266,6 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     needed = materialize(texts.join(members.select("doc_id").distinct(), "doc_id"), "texts")
     links = _all_links(members, needed, size, percent)
     known = shapes.join(classes.withColumnRenamed("doc_id", "rep"), ["d1", "d2", "n_shingles"], "left")
-    if links is None:
-        return known.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("rep", "doc_id")).alias("component_id"))
     parts = materialize(components(links), "components")
     return known.join(parts, known["rep"] == parts["node"], "left").select(
         "doc_id", "n_shingles",
