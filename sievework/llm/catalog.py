@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
 from ..sources.tables import table
-from . import op1_pieces, op2_substrings, op3_token_counts, op4_secrets, op6_quality, op8_benchmark, op9_jaccard
+from . import (op1_pieces, op2_substrings, op3_token_counts, op4_secrets, op5_private, op6_quality, op7_template,
+               op8_benchmark, op9_jaccard, op10_language)
 
 def _vocabulary(name: str) -> str:
     import public_tokenizers
@@ -57,12 +58,24 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op4_secrets.scan_digest(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every text: base patterns and what the random field adds."""
+    return op5_private.find_digest(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op6_quality_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base statistics of every text and the verdict of rules and robust outliers."""
     return op6_quality.judged(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page by the template of its host."""
+    return op7_template.extract(table(spark, sf_dir, "pages"))
+
+
 @query()
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item, with the item and the share of its shingles."""
@@ -73,3 +86,9 @@ def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingles overlap by 85 per cent."""
     return op9_jaccard.similar_groups(table(spark, sf_dir, "documents"), size=4, percent=85)
+
+
+@query()
+def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every text by string kernels learned from the rows that are not held out."""
+    return op10_language.identify(table(spark, sf_dir, "documents"))
