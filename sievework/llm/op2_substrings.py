@@ -6,6 +6,8 @@ whole window: two equal whole windows have equal anchors, so nothing is lost and
 positions are shuffled instead of all.  The second level hashes only whole windows whose anchor
 occurs in two documents.  :func:`longer_repeats` goes on doubling until no window survives.
 
+Texts meet these short lists of places at the scan when the lists are small, and by a shuffle otherwise.
+
 Exact copies of a text are one class.  Only its smallest ``doc_id`` enters the search, the other copies
 are covered whole.  Classes and windows are compared by 128-bit hashes.
 
@@ -24,6 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize
+from .sides import narrow
 from .words import Words, slices, smallest
 
 _LOW = np.uint64(0xFFFFFFFF)
@@ -79,33 +82,37 @@ def _windows(window: int):
     return run
 
 
-def _cut(window: int):
+def _spans(window: int):
+    """Places of covered windows as ascending pairs: first word, word after the last."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in (p for b in batches for p in slices(b)):
-            n_words, n_removed, kept_text = [], [], []
-            for text, copy, places in zip(part.column("text").to_pylist(), part.column("copy").to_pylist(),
-                                          part.column("places")):
-                words = (text or "").encode().split()      # bytes split at exactly the six separators
-                n = len(words)
-                if copy:
-                    kept = []
-                elif not places.is_valid:
-                    kept = words
-                else:
-                    edge = np.zeros(n + 1, np.int64)
-                    at = places.values.to_numpy()
-                    np.add.at(edge, at, 1)
-                    np.add.at(edge, at + window, -1)
-                    kept = [words[i] for i in np.flatnonzero(np.cumsum(edge[:n]) == 0)]
-                n_words.append(n)
-                n_removed.append(n - len(kept))
-                kept_text.append(b" ".join(kept).decode())
+        for part in batches:
+            spans = []
+            for places in part.column("places"):
+                at = np.sort(places.values.to_numpy())
+                new = np.flatnonzero(np.diff(at) > window) + 1
+                spans.append(np.stack([at[np.concatenate([[0], new])], at[np.concatenate([new - 1, [len(at) - 1]])] + window], 1).ravel())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
-                 pa.array(kept_text, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+                [part.column("doc_id"), part.column("tkey"), pa.array(spans, pa.list_(pa.int32()))], ["doc_id", "tkey", "spans"])
     return run
 
 
+def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for part in (p for b in batches for p in slices(b)):
+        n_words, n_removed, kept_text = [], [], []
+        for text, copy, spans in zip(part.column("text").to_pylist(), part.column("copy").to_pylist(), part.column("spans").to_pylist()):
+            words = (text or "").encode().split()      # bytes split at exactly the six separators
+            kept = [] if copy else words
+            if spans and not copy:
+                edges = [0, *spans, len(words)]
+                kept = [w for k in range(0, len(edges), 2) for w in words[edges[k]:edges[k + 1]]]
+            n_words.append(len(words))
+            n_removed.append(len(words) - len(kept))
+            kept_text.append(b" ".join(kept).decode())
+        yield pa.RecordBatch.from_arrays(
+            [part.column("doc_id"), pa.array(n_words, pa.int64()), pa.array(n_removed, pa.int64()),
+             pa.array(kept_text, pa.string())], ["doc_id", "n_words", "n_removed", "kept_text"])
+
+
 def _keyed(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"),
                        F.xxhash64("text").alias("tkey"), F.col("text").cast("string").alias("text"))
@@ -124,13 +131,13 @@ def _search(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFra
         _anchors(window), "doc_id long, tkey long, n_words long, d1 long, d2 long, hashes array<long>, places array<int>"),
         "anchors").where(F.col("n_words") >= window)
     classes = table.groupBy("d1", "d2", "n_words").agg(F.min("doc_id").alias("doc_id"))
-    originals = table.join(classes, ["d1", "d2", "n_words", "doc_id"], "left_semi")
-    copies = table.join(classes, ["d1", "d2", "n_words", "doc_id"], "left_anti").select(*_KEY).distinct()
-    anchors = originals.select(*_KEY, F.explode(F.arrays_zip("hashes", "places")).alias("a")).select(
+    copies = materialize(table.join(classes, ["d1", "d2", "n_words", "doc_id"], "left_anti").select(*_KEY).distinct(), "copies")
+    anchors = table.join(narrow(copies), _KEY, "left_anti").select(
+        *_KEY, F.explode(F.arrays_zip("hashes", "places")).alias("a")).select(
         *_KEY, F.col("a.hashes").alias("half"), F.col("a.places").alias("place"))
-    survivors = (anchors.join(_repeated(anchors, ["half"]), "half", "left_semi")
-                 .groupBy(*_KEY).agg(F.collect_set("place").alias("places")))
-    windows = texts.join(survivors, _KEY).mapInArrow(
+    survivors = materialize(anchors.join(_repeated(anchors, ["half"]), "half", "left_semi")
+                            .groupBy(*_KEY).agg(F.collect_set("place").alias("places")), "survivors")
+    windows = texts.join(narrow(survivors), _KEY).mapInArrow(
         _windows(window), "doc_id long, tkey long, place int, h1 long, h2 long")
     return texts, copies, windows
 
@@ -144,12 +151,11 @@ def cut_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     texts, copies, windows = _search(docs, window)
     covered = (windows.join(_repeated(windows, ["h1", "h2"]), ["h1", "h2"]).where("doc_id > first_doc")
                .groupBy(*_KEY).agg(F.collect_set("place").alias("places")))
-    marks = (covered.withColumn("copy", F.lit(False))
-             .unionByName(copies.select(*_KEY, F.lit(None).cast("array<int>").alias("places"), F.lit(True).alias("copy"))))
-    nameless = _keyed(docs).where("doc_id IS NULL").select(
-        *_KEY, "text", F.lit(None).cast("array<int>").alias("places"), F.lit(None).cast("boolean").alias("copy"))
-    return texts.join(marks, _KEY, "left").select(*_KEY, "text", "places", "copy").unionByName(nameless).mapInArrow(
-        _cut(window), "doc_id long, n_words long, n_removed long, kept_text string")
+    spans = covered.mapInArrow(_spans(window), "doc_id long, tkey long, spans array<int>").withColumn("copy", F.lit(False))
+    marks = materialize(spans.unionByName(
+        copies.select(*_KEY, F.lit(None).cast("array<int>").alias("spans"), F.lit(True).alias("copy"))), "marks")
+    return _keyed(docs).join(narrow(marks), _KEY, "left").select("doc_id", "text", "spans", "copy").mapInArrow(
+        _cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
 def longer_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
