@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize
 from .components import components
+from .sides import narrow
 from .words import Words, _mix, slices
 
 BUCKETS = 1 << 18
@@ -41,7 +42,7 @@ FREQUENT_DEVIATIONS, FREQUENT_LEAST = 8, 32
 FIRST_SIZE, SIZE_RATIO = 20, 5
 #: Documents under one signature up to which their pairs are listed; more are compared block by block.
 SMALL_GROUP = 16
-BLOCK = 256
+BLOCK = 512
 _COLUMNS = 4096
 
 _U = np.uint64
@@ -229,6 +230,9 @@ def _all_links(members: DataFrame, texts: DataFrame, size: int, percent: int) ->
         "x.signature = y.signature AND x.doc_id < y.doc_id AND x.cluster <> y.cluster "
         f"AND 100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)")).select(
         F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "pairs")
+    needed = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(
+        clusters.select(F.col("node").alias("doc_id"))).distinct(), "needed")
+    texts = materialize(texts.join(narrow(needed), "doc_id", "left_semi"), "texts")
     found = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
              .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
              .select("a", "b", "text_a", "text_b").mapInArrow(_linked(size, percent), "a long, b long"))
@@ -259,12 +263,13 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
     signed = texts.where("doc_id IS NOT NULL").mapInArrow(
         _signed(size, percent, np.packbits(flags).tobytes()),
         "doc_id long, n_shingles long, d1 long, d2 long, signatures array<long>")
-    rows = signed.join(classes, ["d1", "d2", "n_shingles", "doc_id"], "left_semi").select(
+    copies = materialize(shapes.where("n_shingles > 0 AND doc_id IS NOT NULL").join(
+        classes, ["d1", "d2", "n_shingles", "doc_id"], "left_anti").select("doc_id", "d1", "d2").distinct(), "copies")
+    rows = signed.join(narrow(copies), ["doc_id", "d1", "d2"], "left_anti").select(
         "doc_id", "n_shingles", F.explode("signatures").alias("signature"))
-    shared = rows.groupBy("signature").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi")
+    shared = rows.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
     members = materialize(rows.join(shared, "signature", "left_semi").distinct(), "members")
-    needed = materialize(texts.join(members.select("doc_id").distinct(), "doc_id"), "texts")
-    links = _all_links(members, needed, size, percent)
+    links = _all_links(members, texts, size, percent)
     known = shapes.join(classes.withColumnRenamed("doc_id", "rep"), ["d1", "d2", "n_shingles"], "left")
     parts = materialize(components(links), "components")
     return known.join(parts, known["rep"] == parts["node"], "left").select(
