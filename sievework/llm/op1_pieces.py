@@ -18,10 +18,12 @@ as in the library.  Other columns are ignored; an empty table gives no rows.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,17 +50,21 @@ class Pieces:
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("pieces that go on over a mark are not supported")
         self.pieces, self.scores, self.unknown, self.byte_ids, self.kind = pieces, scores, unknown, byte_ids, kind
-        loose = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))      # part of no piece: cut there as well
-        self.words = re.compile(f"{MARK}*[^{MARK}{loose}]+|{MARK}+" + (f"|[{loose}]+" if loose else ""))
+        # cuts that no piece crosses: around white space outside the vocabulary, and between letters and what ends a sentence
+        loose = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
+        ends = "".join(c for c in ".,;:!?" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in self.ids))
+        plain = rf"{MARK}*[^\W\d_]+(?=[{re.escape(ends)}])|" if ends else ""
+        self.words = re.compile(plain + f"{MARK}*[^{MARK}{loose}]+|{MARK}+" + (f"|[{loose}]+" if loose else ""))
         self.inner = {p[i:] for p in self.ids for i in range(1, len(p))}      # what a longer piece ends with
         self.rank = {i: -scores[i] if len(p) > 1 else -1.0 for p, i in self.ids.items()}      # when it is merged
         self.halves: dict[int, tuple[int, int]] = {}
         self.floor = min((scores[i] for i in self.ids.values()), default=0.0) - UNKNOWN_PENALTY
         self.apart: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, ...]] = {}
+        self.known: dict[str, bytes] = {}
         self.bytes = [p.replace(MARK, " ").encode() for p in pieces]
         for b, i in enumerate(byte_ids or []):
             self.bytes[i] = bytes([b])
+        self.table = np.array(self.bytes, object)
 
     def _merged(self, text: str, left: int = 1) -> list[str]:
         """The merges on a short text, highest score first, leftmost of equals, until ``left`` parts are left."""
@@ -100,42 +106,10 @@ class Pieces:
             else:
                 limit, same, right = rank[right], True, self._half(right, 0)
 
-    def _steps(self, word: str, end: int, start: list[int], piece: list[int], score: list[float]) -> tuple[int, int, float]:
-        """Where the best piece that ends at ``end`` starts, its identifier or -1, and the score up to here."""
-        get, inner, options = self.ids.get, self.inner, []
-        for j in range(end - 1, -1, -1):
-            part = word[j:end]
-            k = get(part)
-            if k is not None:
-                options.append((j, k))
-            if part not in inner:
-                break
-        if self.kind == "bpe":
-            apart = self.apart
-            for j, k in reversed(options):
-                left = piece[j]
-                if left < 0:
-                    return j, k, 0.0
-                ok = apart.get(left << 32 | k)
-                if ok is None:
-                    if len(apart) >= REMEMBERED_PAIRS:
-                        apart.clear()
-                    ok = apart[left << 32 | k] = self._stay_apart(left, k)
-                if ok:
-                    return j, k, 0.0
-            return end - 1, -1, 0.0
-        if not options or options[0][0] < end - 1:
-            options.insert(0, (end - 1, -1))
-        best = None
-        for j, k in reversed(options):
-            value = score[j] + (self.floor if k < 0 else self.scores[k])
-            if best is None or value > best[2]:
-                best = (j, k, value)
-        return best
-
     def encode_words(self, words: set[str]) -> dict[str, tuple[int, ...]]:
         """Identifiers of distinct marked words, by one depth-first walk of their trie."""
-        found, last, steps = {}, "", self._steps
+        get, inner, apart, found, last = self.ids.get, self.inner, self.apart, {}, ""
+        by_merges, scores, floor = self.kind == "bpe", self.scores, self.floor
         start, piece, score = [0], [-1], [0.0]        # forward state at the end of each prefix
         for word in sorted(words):
             shared, most = 0, min(len(last), len(word))
@@ -143,9 +117,40 @@ class Pieces:
                 shared += 1
             del start[shared + 1:], piece[shared + 1:], score[shared + 1:]
             for end in range(shared + 1, len(word) + 1):
-                at, k, value = steps(word, end, start, piece, score)
+                at, best, value = end - 1, -1, 0.0
+                options, j = [], end - 1
+                part = word[j:end]
+                while True:
+                    k = get(part)
+                    if k is not None:
+                        options.append((j, k))
+                    if j == 0 or part not in inner:
+                        break
+                    j -= 1
+                    part = word[j:end]
+                if by_merges:
+                    for j, k in reversed(options):
+                        left = piece[j]
+                        if left >= 0:
+                            ok = apart.get(left << 32 | k)
+                            if ok is None:
+                                if len(apart) >= REMEMBERED_PAIRS:
+                                    apart.clear()
+                                ok = apart[left << 32 | k] = self._stay_apart(left, k)
+                            if not ok:
+                                continue
+                        at, best = j, k
+                        break
+                else:
+                    if not options or options[0][0] < end - 1:
+                        options.insert(0, (end - 1, -1))
+                    value = None
+                    for j, k in reversed(options):
+                        here = score[j] + (floor if k < 0 else scores[k])
+                        if value is None or here > value:
+                            at, best, value = j, k, here
                 start.append(at)
-                piece.append(k)
+                piece.append(best)
                 score.append(value)
             path, end = [], len(word)
             while end:
@@ -155,8 +160,7 @@ class Pieces:
                 else:
                     path.append(k)
                 end = start[end]
-            path.reverse()
-            found[word] = tuple(path)
+            found[word] = tuple(path[::-1])
             last = word
         return found
 
@@ -164,18 +168,32 @@ class Pieces:
         """Identifiers of a character outside the vocabulary, last first."""
         return [self.byte_ids[b] for b in reversed(part.encode())] if self.byte_ids else [self.unknown]
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
+    def encode_flat(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Identifiers of all texts one after another, and how many each text has."""
         split = [self.words.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
         new = set(chain.from_iterable(split)) - self.known.keys()
         if len(self.known) + len(new) > REMEMBERED_WORDS:
             self.known = {}
             new = set(chain.from_iterable(split))
-        self.known.update(self.encode_words(new))
-        return [list(chain.from_iterable(map(self.known.__getitem__, words))) for words in split]
+        for word, ids in self.encode_words(new).items():
+            self.known[word] = array("i", ids).tobytes()
+        parts = [b"".join(map(self.known.__getitem__, words)) for words in split]
+        return np.frombuffer(b"".join(parts), np.int32), np.array([len(p) // 4 for p in parts], np.int64)
+
+    def decode_flat(self, ids: np.ndarray, counts: np.ndarray) -> list[str]:
+        """Texts of identifiers that stand one after another, less the blank put in front."""
+        pieces, ends, out = self.table[ids].tolist(), np.cumsum(counts).tolist(), []
+        for start, end in zip([0, *ends], ends):
+            text = b"".join(pieces[start:end]).decode("utf-8", "replace")
+            out.append(text[1:] if text.startswith(" ") else text)
+        return out
+
+    def encode(self, texts: list[str]) -> list[list[int]]:
+        ids, counts = self.encode_flat(texts)
+        return [x.tolist() for x in np.split(ids, np.cumsum(counts)[:-1])] if texts else []
 
     def decode(self, ids: list[int]) -> str:
-        text = b"".join(map(self.bytes.__getitem__, ids)).decode("utf-8", "replace")
-        return text[1:] if text.startswith(" ") else text
+        return self.decode_flat(np.array(ids, np.int64), np.array([len(ids)]))[0]
 
 
 @lru_cache(maxsize=2)
@@ -202,10 +220,11 @@ def encode(docs: DataFrame, model: str, kind: str = "bpe") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pieces = load(model, kind)
         for part in (p for b in batches for p in slices(b)):
-            ids = pieces.encode([t or "" for t in part.column("text").to_pylist()])
+            ids, counts = pieces.encode_flat([t or "" for t in part.column("text").to_pylist()])
+            at = pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32())
             yield pa.RecordBatch.from_arrays(
-                [part.column("doc_id"), pa.array(ids, pa.list_(pa.int32())),
-                 pa.array([pieces.decode(x) for x in ids], pa.string())], ["doc_id", "ids", "decoded"])
+                [part.column("doc_id"), pa.ListArray.from_arrays(at, pa.array(ids)),
+                 pa.array(pieces.decode_flat(ids, counts), pa.string())], ["doc_id", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(
         run, "doc_id long, ids array<int>, decoded string")

@@ -1,7 +1,7 @@
 """Secret scans with corpus-wide ownership frequency.
 
-Candidates of every text are hashed and counted over the whole corpus by distinct repositories (documents) and
-owners (sources).  A credential that several owners carry is a widely copied example, one that a single
+Candidates of every text are hashed and counted over the whole corpus by distinct owners (sources) and
+repositories (documents of an owner).  A credential that several owners carry is a widely copied example, one that a single
 owner carries looks live.  Three kinds of span are always reported.  A fourth, long mixed
 strings that nothing announces, is reported only where the counts say that it looks live.
 
