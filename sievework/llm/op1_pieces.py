@@ -32,7 +32,7 @@ from .words import slices
 
 MARK = "▁"
 #: Words and neighbouring pieces a worker remembers before it starts afresh.
-REMEMBERED_WORDS = 200_000
+REMEMBERED_WORDS = 700_000
 REMEMBERED_PAIRS = 500_000
 #: Fixed value: how far below the least score an unknown character stands.
 UNKNOWN_PENALTY = 10.0
@@ -50,11 +50,8 @@ class Pieces:
         if any(re.search(f"[^{MARK}]{MARK}", p) for p in self.ids):
             raise ValueError("pieces that go on over a mark are not supported")
         self.pieces, self.scores, self.unknown, self.byte_ids, self.kind = pieces, scores, unknown, byte_ids, kind
-        # cuts that no piece crosses: around white space outside the vocabulary, and between letters and what ends a sentence
-        loose = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))
-        ends = "".join(c for c in ".,;:!?" if not any(re.search(rf"[^\W\d_]{re.escape(c)}", p) for p in self.ids))
-        plain = rf"{MARK}*[^\W\d_]+(?=[{re.escape(ends)}])|" if ends else ""
-        self.words = re.compile(plain + f"{MARK}*[^{MARK}{loose}]+|{MARK}+" + (f"|[{loose}]+" if loose else ""))
+        loose = "".join(c for c in "\n\t\r" if not any(c in p for p in self.ids))      # part of no piece: cut there as well
+        self.words = re.compile(f"{MARK}*[^{MARK}{loose}]+|{MARK}+" + (f"|[{loose}]+" if loose else ""))
         self.inner = {p[i:] for p in self.ids for i in range(1, len(p))}      # what a longer piece ends with
         self.rank = {i: -scores[i] if len(p) > 1 else -1.0 for p, i in self.ids.items()}      # when it is merged
         self.halves: dict[int, tuple[int, int]] = {}
