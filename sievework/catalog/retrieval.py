@@ -24,10 +24,10 @@ def _passages(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _questions(spark: SparkSession, sf: str) -> DataFrame:
-    """Every benchmark text, with the vector of the same number as its embedding."""
+    """Every benchmark text, with the vector of the same number, if there is one, as its embedding."""
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("query_id"), "embedding")
     texts = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), "text")
-    return texts.join(vectors, "query_id")
+    return texts.join(vectors, "query_id", "left")
 
 
 # --- chunks ----------------------------------------------------------------------------------------------
@@ -152,9 +152,9 @@ def keyword_top(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _HYBRID = f"""
-WITH questions AS (SELECT item_id AS query_id, text FROM benchmark JOIN embeddings ON item_id = vec_id),
-passages AS (SELECT doc_id AS id, text, source, embedding FROM documents JOIN embeddings ON doc_id = vec_id),
-p AS (SELECT id, CAST(embedding AS DOUBLE[]) AS v FROM passages),
+WITH questions AS (SELECT item_id AS query_id, text FROM benchmark),
+passages AS (SELECT doc_id AS id, text, source FROM documents),
+p AS (SELECT vec_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE vec_id IN (SELECT doc_id FROM documents)),
 asked_vectors AS (SELECT item_id AS id, CAST(embedding AS DOUBLE[]) AS v FROM benchmark JOIN embeddings ON item_id = vec_id),
 dense AS ({_dense('asked_vectors', 3)}),
 {_bm25('passages', 3)},
@@ -172,7 +172,7 @@ SELECT query_id, id, round(fused, 6) AS fused, dense_rank, lexical_rank, rank FR
 def fused_ranking(spark: SparkSession, sf: str) -> DataFrame:
     """Dense and keyword lists of every question fused by reciprocal ranks."""
     questions, passages = _questions(spark, sf), _passages(spark, sf)
-    fused = rt.fuse(rt.dense_top(questions, passages, 3), rt.keyword_top(questions, passages, 3))
+    fused = rt.fuse(*rt.ranked_lists(questions, passages, 3))
     return fused.withColumn("fused", F.round("fused", 6))
 
 
@@ -218,7 +218,7 @@ def similarity_edges(spark: SparkSession, sf: str) -> DataFrame:
 
 @operation("RET-7", sql="""
 SELECT doc_id AS id, CASE WHEN length(text) > 80 THEN substr(text, 1, 80) || '...' ELSE text END AS label, source
-FROM documents JOIN embeddings ON doc_id = vec_id""")
+FROM documents""")
 def similarity_nodes(spark: SparkSession, sf: str) -> DataFrame:
     """Nodes of the similarity graph."""
     return rt.graph_nodes(_passages(spark, sf))

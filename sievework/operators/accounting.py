@@ -145,7 +145,9 @@ def term_overlap(query: Column, text: Column) -> Column:
     """Number of distinct longer query words that occur anywhere in the text."""
     found = F.array_distinct(F.filter(F.regexp_extract_all(F.lower(query), F.lit(r"(?U)\w+"), F.lit(0)),
                                       lambda w: F.length(w) >= MIN_TERM_CHARS))
-    return F.size(F.filter(found, lambda w: F.contains(F.lower(text), w))).cast("bigint")
+    # the text is bound once, not lowered again for every word
+    hits = F.transform(F.array(F.lower(text)), lambda t: F.size(F.filter(found, lambda w: F.contains(t, w))))
+    return F.get(hits, F.lit(0)).cast("bigint")
 
 
 def search_lessons(lessons: DataFrame, query: str, n: int = FOUND_LESSONS) -> DataFrame:

@@ -144,6 +144,7 @@ def _dense_top_by_scan(queries: DataFrame, passages: DataFrame, n: int, floor: f
 CELL_ROWS = 4_096  # rows of one side in one block product
 MAX_PIVOTS = 256
 ANGLE_SLACK = 1e-6
+ROUNDING = 10.0 ** -RANK_DECIMALS  # a similarity may be this much smaller than what it is rounded to
 
 
 def _dense_top_without_copies(queries: DataFrame, passages: DataFrame, n: int, floor: float | None,
@@ -247,8 +248,10 @@ def _dense_top_by_cells(queries: DataFrame, passages: DataFrame, n: int, floor:
     home = materialize(top_n(_block_products(asked.select("query_id", "unit", "cell"), members, n, floor, schema),
                              ["query_id"], [F.desc("similarity"), F.asc("id")], n), "home-hits")
     reach = home.groupBy("query_id").agg(F.count(F.lit(1)).alias("n_hits"), F.min("similarity").alias("nth"))
-    widest = F.lit(np.pi if floor is None else float(np.arccos(np.clip(floor, -1.0, 1.0))))
-    bound = F.when(F.col("n_hits") >= n, F.acos(F.greatest(F.least("nth", F.lit(1.0)), F.lit(-1.0)))).otherwise(widest)
+    # whatever still rounds to the n-th similarity, or to the floor, may win by its id
+    widest = F.lit(np.pi if floor is None else float(np.arccos(np.clip(floor - ROUNDING, -1.0, 1.0))))
+    nth = F.col("nth") - ROUNDING
+    bound = F.when(F.col("n_hits") >= n, F.acos(F.greatest(F.least(nth, F.lit(1.0)), F.lit(-1.0)))).otherwise(widest)
     bounded = asked.join(reach, "query_id", "left").select(
         "query_id", "unit", F.col("cell").alias("home"), F.least(bound, widest).alias("bound"))
 
@@ -384,17 +387,22 @@ def fuse(dense: DataFrame, lexical: DataFrame, k: int = FUSION_K) -> DataFrame:
     return both.withColumn("rank", F.row_number().over(order).cast("bigint"))
 
 
+def ranked_lists(queries: DataFrame, passages: DataFrame, n: int) -> tuple[DataFrame, DataFrame]:
+    """The n best passages by cosine, among those with an embedding, and by words, among all."""
+    with_vector = F.col("embedding").isNotNull()
+    return dense_top(queries.where(with_vector), passages.where(with_vector), n), keyword_top(queries, passages, n)
+
+
 def hybrid_top(queries: DataFrame, passages: DataFrame, n: int = 3, pool: int | None = None) -> DataFrame:
     """Dense and keyword ranking fused: (query_id, rank, id, score, similarity).
 
-    queries: (query_id, text, embedding); passages: (id, text, source, embedding).  ``pool`` widens
-    the candidate lists for a later reranking.  A query whose words are found nowhere keeps its
-    cosine scores.
+    queries: (query_id, text, embedding); passages: (id, text, source, embedding).  Passages and
+    queries without an embedding take part by their words alone.  ``pool`` widens the candidate lists
+    for a later reranking.  A query whose words are found nowhere keeps its cosine scores.
     """
     fetch = pool or n
-    dense = dense_top(queries, passages, fetch)
-    dense = materialize(dense, "dense-hits")
-    lexical = materialize(keyword_top(queries, passages, fetch), "keyword-hits")
+    dense, lexical = ranked_lists(queries, passages, fetch)
+    dense, lexical = materialize(dense, "dense-hits"), materialize(lexical, "keyword-hits")
     fused = fuse(dense, lexical).where(F.col("rank") <= n)
     scored = fused.join(dense.select("query_id", "id", "similarity"), ["query_id", "id"], "left")
     with_words = lexical.groupBy("query_id").agg(F.lit(True).alias("has_words"))
@@ -430,6 +438,7 @@ def graph_nodes(passages: DataFrame) -> DataFrame:
 def graph_edges(passages: DataFrame, neighbours: int = GRAPH_NEIGHBOURS,
                 floor: float = GRAPH_MIN_SIMILARITY, **limits: int) -> DataFrame:
     """Undirected edges to each passage's nearest others: (source, target, weight), source < target."""
+    passages = passages.where(F.col("embedding").isNotNull())
     asked = passages.select(F.col("id").alias("query_id"), "embedding")
     pairs = dense_top(asked, passages, neighbours, floor=floor, exclude_self=True, **limits)
     return (pairs.groupBy(F.least("query_id", "id").alias("source"), F.greatest("query_id", "id").alias("target"))

@@ -25,7 +25,8 @@ REMOVED = "  removed columns: {columns}"
 TYPE_CHANGED = "  '{column}' type changed: {was} -> {now}"
 # -----------------------------------------------------------------------------------------------------
 
-SCHEMA = "name string, version bigint, ordinal bigint, `column` string, inferred_type string, removed boolean"
+SCHEMA = ("name string, version bigint, ordinal bigint, `column` string, inferred_type string, removed boolean, "
+          "origin string")
 
 
 @dataclass
@@ -48,18 +49,19 @@ class Baselines:
     def __init__(self, spark: SparkSession, path: str) -> None:
         self.spark, self.path = spark, path
 
-    def log(self) -> DataFrame:
-        """All versions ever written; empty when there are none yet."""
-        return read_or_empty(self.spark, self.path, SCHEMA, "parquet")
+    def log(self, besides: str | None = None) -> DataFrame:
+        """All versions ever written but those of one origin; empty when there are none yet."""
+        log = read_or_empty(self.spark, self.path, SCHEMA, "parquet")
+        return log.where(~F.col("origin").eqNullSafe(F.lit(besides))) if besides else log
 
-    def current(self) -> DataFrame:
+    def current(self, besides: str | None = None) -> DataFrame:
         """Columns of the latest version of every name that has not been removed."""
         newest = Window.partitionBy("name")
-        latest = self.log().withColumn("newest", F.max("version").over(newest))
+        latest = self.log(besides).withColumn("newest", F.max("version").over(newest))
         return latest.where("version = newest AND NOT removed").drop("newest", "removed")
 
-    def get(self, name: str) -> DataFrame:
-        return self.current().where(F.col("name") == name).select("ordinal", "column", "inferred_type")
+    def get(self, name: str, besides: str | None = None) -> DataFrame:
+        return self.current(besides).where(F.col("name") == name).select("ordinal", "column", "inferred_type")
 
     def names(self) -> DataFrame:
         """Sorted listing with the number of columns."""
@@ -68,27 +70,33 @@ class Baselines:
     def _next_version(self, name: str) -> int:
         return (self.log().where(F.col("name") == name).agg(F.max("version")).first()[0] or 0) + 1
 
-    def accept(self, name: str, current: DataFrame) -> None:
-        """Make a fingerprint the baseline of a name."""
+    def accept(self, name: str, current: DataFrame, origin: str | None = None) -> None:
+        """Make a fingerprint the baseline of a name; ``origin`` says which piece of work did so."""
         rows = current.select(F.lit(name).alias("name"), F.lit(self._next_version(name)).cast("bigint").alias("version"),
-                              "ordinal", "column", "inferred_type", F.lit(False).alias("removed"))
+                              "ordinal", "column", "inferred_type", F.lit(False).alias("removed"),
+                              F.lit(origin).cast("string").alias("origin"))
         rows.coalesce(1).write.mode("append").parquet(self.path)
 
     def remove(self, name: str) -> bool:
         """Forget a name; false when there is none."""
         if self.get(name).isEmpty():
             return False
-        rows = [(name, self._next_version(name), None, None, None, True)]
+        rows = [(name, self._next_version(name), None, None, None, True, None)]
         self.spark.createDataFrame(rows, SCHEMA).coalesce(1).write.mode("append").parquet(self.path)
         return True
 
-    def check(self, name: str, table: DataFrame) -> DriftReport:
-        """Compare a table with its baseline; the first check of a name saves the baseline."""
+    def check(self, name: str, table: DataFrame, origin: str | None = None) -> DriftReport:
+        """Compare a table with its baseline; the first check of a name saves the baseline.
+
+        A check that is run again under the same ``origin`` does not see what its first attempt
+        saved, and so reports the same.
+        """
         current = materialize(drift.fingerprint(table), "fingerprint")
         columns = [r["column"] for r in current.orderBy("ordinal").collect()]
-        baseline = self.get(name)
+        baseline = self.get(name, besides=origin)
         if baseline.isEmpty():
-            self.accept(name, current)
+            if not origin or self.get(name).isEmpty():
+                self.accept(name, current, origin)
             return DriftReport(name, True, columns)
         report = DriftReport(name, False, columns)
         for row in drift.schema_diff(baseline, current).orderBy("column").collect():

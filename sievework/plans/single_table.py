@@ -141,8 +141,12 @@ class LoopReport:
 
 
 def stage(df: DataFrame) -> DataFrame:
-    """The input as files in the shared folder: parsed once, and spread over all cores."""
-    return materialize(spread(df), "input")
+    """The input as it is where its files are columnar; text files are parsed once into the shared folder.
+
+    Every pass over columnar files reads only the columns it uses, so a copy would save nothing.
+    """
+    texts = any(path.lower().rsplit("?", 1)[0].endswith((".csv", ".gz", ".json", ".txt")) for path in df.inputFiles())
+    return materialize(spread(df), "input") if texts else df
 
 
 def run_once(df: DataFrame) -> LoopReport:

@@ -27,15 +27,15 @@ def file_name(path: Column) -> Column:
 
 def find_files(spark: SparkSession, folder: str, recursive: bool = True, extensions: list[str] | None = None,
                exclude: list[str] | None = None, with_content: bool = False) -> DataFrame:
-    """(path, length[, content]) of the documents below a folder, in path order.
+    """(path, length[, content]) of the documents below a folder.
 
-    Without the content only the listing is read.
+    Without the content only the listing is read, and it comes in path order; contents are not sorted.
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(folder))
     parts = F.split("path", "/")
     skipped = F.arrays_overlap(parts, F.array(*[F.lit(x) for x in exclude or EXCLUDED_FOLDERS]))
     kept = files.where(suffix(F.col("path")).isin(extensions or EXTENSIONS) & ~skipped)
-    return kept.select("path", "length", *(["content"] if with_content else [])).orderBy("path")
+    return kept.select("path", "length", "content") if with_content else kept.select("path", "length").orderBy("path")
 
 
 def decode(content: Column) -> Column:
@@ -44,6 +44,12 @@ def decode(content: Column) -> Column:
         F.decode(content, "ISO-8859-1"))
 
 
+def tolerant_utf8(content: Column) -> Column:
+    """UTF-8 text without the bytes that are not valid; the replacement character goes with them."""
+    text = content.cast("string")
+    return F.when(F.is_valid_utf8(text), text).otherwise(F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit("")))
+
+
 def json_text(text: Column) -> Column:
     """JSON text written again; null when it does not parse."""
     return F.when(is_json(text), F.to_json(F.try_parse_json(text)))
@@ -69,7 +75,10 @@ def ingest_files(spark: SparkSession, folder: str, recursive: bool = True, max_f
     Sources read ``name (chunk i/n)``.  ``max_files`` keeps the first files in path order.
     """
     listed = find_files(spark, folder, recursive, exclude=exclude, with_content=True)
-    texts = read_files(listed.limit(max_files) if max_files else listed).where("ok")
+    if max_files:
+        first = find_files(spark, folder, recursive, exclude=exclude).select("path").limit(max_files)
+        listed = listed.join(first, "path", "left_semi")
+    texts = read_files(listed).where("ok")
     chunks = ck.explode_chunks(texts, ck.char_chunks(F.col("text")), "name").where(F.col("chunk").rlike(r"(?U)\S"))
     source = F.format_string("%s (chunk %d/%d)", "name", "chunk_no", "n_chunks")
     return as_passages(chunks.select("chunk", source.alias("source"), "chunk_no"))
@@ -82,10 +91,13 @@ def ingest_counts(files: DataFrame) -> DataFrame:
 
 
 def ingest_folder(spark: SparkSession, folder: str, pattern: str = "*.md") -> DataFrame:
-    """Passages of all text files matching a pattern, in word chunks; sources are the file names."""
+    """Passages of all text files matching a pattern, in word chunks; sources are the file names.
+
+    Bytes that are not UTF-8 are dropped, so one bad file does not fail the folder.
+    """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", "true")
              .option("pathGlobFilter", pattern).load(folder))
-    texts = files.select(file_name(F.col("path")).alias("source"), F.decode("content", "UTF-8").alias("text"))
+    texts = files.select(file_name(F.col("path")).alias("source"), tolerant_utf8(F.col("content")).alias("text"))
     chunks = ck.explode_chunks(texts, ck.word_chunks(F.col("text")), "source")
     return as_passages(chunks)
 

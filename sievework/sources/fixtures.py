@@ -106,7 +106,7 @@ SELECT cast(p_partkey AS string) AS id, p_name AS name, concat(cast(p_size AS st
 
 SQL["passages"] = """
 SELECT cast(d.doc_id AS string) AS id, d.text AS text, d.source AS source, e.embedding AS embedding
-FROM documents d JOIN embeddings e ON d.doc_id = e.vec_id
+FROM documents d LEFT JOIN embeddings e ON d.doc_id = e.vec_id
 """
 
 SQL["qa_pairs"] = """

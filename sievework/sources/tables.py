@@ -19,8 +19,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A dirty projection of the given tables (see :mod:`fixtures`)."""
-    text = fixtures.SQL[name]
-    for source in TABLES:
-        if re.search(rf"\b(FROM|JOIN)\s+{source}\b", text):
-            table(spark, sf_dir, source).createOrReplaceTempView(source)
-    return spark.sql(text)
+    read: dict[str, DataFrame] = {}
+
+    def named(found: re.Match) -> str:
+        if found[2] not in TABLES:
+            return found[0]
+        read.setdefault(found[2], table(spark, sf_dir, found[2]))
+        return f"{found[1]} {{{found[2]}}}"
+
+    # tables are handed over by value: no view of the session is touched
+    return spark.sql(re.sub(r"\b(FROM|JOIN)\s+(\w+)\b", named, fixtures.SQL[name]), **read)

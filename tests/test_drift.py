@@ -19,7 +19,8 @@ def test_baseline_life_cycle(spark):
     first = spark.createDataFrame([("1", "a")], "id string, kind string")
     second = first.select(F.lit("x").alias("id"), F.lit("b").alias("brand"))
     assert baselines.names().isEmpty() and not baselines.remove("feed")
-    assert baselines.check("feed", first).first_run
+    assert baselines.check("feed", first, origin="batch 0").first_run
+    assert baselines.check("feed", first, origin="batch 0").first_run      # the same work run again reports the same
     same = baselines.check("feed", first)
     assert not same.drifted and "unchanged" in drift_watch.render(same)[0]
     changed = baselines.check("feed", second)

@@ -43,7 +43,3 @@ def test_every_operation_is_described():
 
 def test_listing_names_every_operation(spark):
     assert {r["name"] for r in registry.listing(spark).collect()} == set(OPERATIONS)
-
-
-def test_listing_names_every_operation(spark):
-    assert {r["name"] for r in registry.listing(spark).collect()} == set(OPERATIONS)

@@ -57,6 +57,26 @@ def test_dense_top_is_exact(spark, limits, copies, floor, exclude_self):
         assert [s for _, s in found[k]] == pytest.approx([s for _, s in expected[k]], abs=2e-6)
 
 
+@pytest.mark.parametrize("floor", [None, 0.999999])
+def test_cells_keep_ties_of_rounded_similarities(spark, floor):
+    """Hundreds of vectors within a hundredth of a radian: ids decide among equal rounded similarities."""
+    rng = np.random.default_rng(7)
+    centre = rng.normal(size=8)
+    rows = [(centre + 10.0 ** -rng.integers(2, 5) * rng.normal(size=8)).tolist() for _ in range(300)]
+    asked, stored = table(spark, rows[:80], "query_id"), table(spark, rows)
+    by_scan, by_cells = (ranked(rt.dense_top(asked, stored, 5, floor, **limits)) for limits in ({}, {"broadcast_components": 0}))
+    assert by_cells == by_scan
+
+
+def test_hybrid_finds_passages_without_a_vector(spark):
+    passages = spark.createDataFrame(
+        [(1, "plain words", "a", [1.0, 0.0]), (2, "rare zebra words", "b", None), (3, "other things", "c", [0.0, 1.0]), (4, "more", "d", None)],
+        "id bigint, text string, source string, embedding array<float>")
+    asked = spark.createDataFrame([(1, "zebra", [1.0, 0.0]), (2, "zebra", None)], "query_id bigint, text string, embedding array<float>")
+    found = {(r["query_id"], r["id"]) for r in rt.hybrid_top(asked, passages, 2).collect()}
+    assert found == {(1, 1), (1, 2), (2, 2)}
+
+
 def test_cells_with_several_blocks_are_exact(spark, monkeypatch):
     monkeypatch.setattr(rt, "CELL_ROWS", 16)
     rows = vectors(150, seed=3, copies=20)

@@ -74,6 +74,13 @@ def test_files_are_found_read_and_ingested(spark, folder):
     assert [tuple(r) for r in files.chunks_per_source(files.ingest_folder(spark, folder)).collect()] == [("b.md", 1)]
 
 
+def test_a_bad_byte_does_not_fail_a_folder(spark, tmp_path):
+    (tmp_path / "good.md").write_text("good words")
+    (tmp_path / "bad.md").write_bytes(b"some \xff\xfe bytes \xe9")
+    found = {r["source"]: r["text"] for r in files.ingest_folder(spark, str(tmp_path)).collect()}
+    assert found == {"good.md": "good words", "bad.md": "some bytes"}
+
+
 def test_appending_twice_adds_nothing(spark, folder):
     store = work_path(spark, "store")
     assert files.read_passages(spark, store).isEmpty()
