@@ -9,11 +9,12 @@ lost.  Documents of different size classes have their own number of subclasses,
 border take part on both sides.  Which tokens are frequent is read from counts of 262,144 hash buckets over
 the whole table; it only steers the cost, never the result.
 
-Documents with equal token sets are one class and its smallest ``doc_id`` stands for them.  Links are
-verified on the texts.  Up to 16 documents that share a signature are compared pair by pair.  Larger groups are
-joined to clusters; the documents of a cluster are laid out by size in blocks, and two blocks meet in one task if
-their sizes allow a link, where all overlaps come from one matrix product.  Such a task hands on a spanning
-forest of its links, so neither pairs nor links of a large group are ever listed.
+Documents with equal token sets are one class and its smallest ``doc_id`` stands for them.  Up to 16 documents
+that share a signature are compared pair by pair, first by sketches that bound the overlap from above, then by their
+texts.  Members of larger groups are laid out in blocks, by the smallest document they share a signature with
+and by size.  Two blocks that share a signature meet in one task if their sizes allow a link, and all overlaps come
+from one matrix product.  Such a task hands on a spanning forest of its links, so neither pairs nor links of a
+large group are ever listed.
 
 Null texts and texts without words have no token and link with nothing.  Rows with a null ``doc_id`` are
 left alone, their component is null.  Repeated rows give their result each; texts under one ``doc_id``
@@ -65,12 +66,17 @@ def _digests(tokens: np.ndarray) -> tuple[int, int]:
     return (int(_mix(tokens).sum(dtype=_U).view(np.int64)), int(_mix(tokens ^ _U(0x5851F42D4C957F2D)).sum(dtype=_U).view(np.int64)))
 
 
+def _sketch(tokens: np.ndarray) -> bytes:
+    """Tokens of the set in each of 256 buckets, 255 standing for that many or more."""
+    return np.minimum(np.bincount((tokens & _U(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+
+
 def _shapes(size: int):
-    """Size and digest of every token set; at the end of a task, its counts of buckets."""
+    """Size, digest and sketch of every token set; at the end of a task, its counts of buckets."""
     def batch(rows):
         return pa.RecordBatch.from_arrays(
-            [pa.array(list(c), t) for c, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.list_(pa.int64())])],
-            ["doc_id", "n_shingles", "d1", "d2", "counts"])
+            [pa.array(list(c), t) for c, t in zip(zip(*rows), [pa.int64()] * 4 + [pa.binary(), pa.list_(pa.int64())])],
+            ["doc_id", "n_shingles", "d1", "d2", "sketch", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(BUCKETS, np.int64)
@@ -78,11 +84,11 @@ def _shapes(size: int):
             rows = []
             for doc, tokens in zip(part.column("doc_id").to_pylist(), _tokens(part, size)):
                 np.add.at(counts, (tokens >> _U(46)).astype(np.int64), 1)
-                rows.append((doc, len(tokens), *_digests(tokens), None))
+                rows.append((doc, len(tokens), *_digests(tokens), _sketch(tokens), None))
             if rows:
                 yield batch(rows)
         if counts.any():
-            yield batch([(None, -1 - k, None, None, counts[k * _CHUNK:(k + 1) * _CHUNK].tolist())
+            yield batch([(None, -1 - k, None, None, None, counts[k * _CHUNK:(k + 1) * _CHUNK].tolist())
                          for k in range(BUCKETS // _CHUNK)])
     return run
 
@@ -147,6 +153,18 @@ def _signed(size: int, percent: int, frequent: bytes):
     return run
 
 
+def _may_link(percent: int):
+    """Pairs whose sketches allow a link: buckets bound the overlap from above, full ones not at all."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("sketch_a", "sketch_b"))
+            least = np.minimum(x, y)
+            most = np.where((least == 255).any(1), np.iinfo(np.int64).max // 1000, least.sum(1, dtype=np.int64))
+            sizes = part.column("size_a").to_numpy() + part.column("size_b").to_numpy()
+            yield part.select(["a", "b"]).filter(pa.array(100 * most >= percent * (sizes - most)))
+    return run
+
+
 def _linked(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in slices(b, "text_a")):
@@ -193,50 +211,51 @@ def _within(size: int, percent: int):
     return run
 
 
-def _cluster_links(members: DataFrame, clusters: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links inside clusters: blocks of documents of similar size meet wherever their sizes allow a link."""
-    sized = members.select("doc_id", "n_shingles").distinct().join(
-        clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
-    before = Window.partitionBy("cluster").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)
-    spread = sized.groupBy("cluster", "n_shingles").agg(F.count("*").alias("c")).withColumn(
-        "before", F.coalesce(F.sum("c").over(before), F.lit(0)))
-    placed = materialize(sized.join(spread, ["cluster", "n_shingles"]).select(
-        "cluster", "doc_id", "n_shingles",
-        F.floor((F.col("before") + F.pmod(F.xxhash64("doc_id"), F.col("c"))) / BLOCK).alias("block")), "blocks")
-    ranges = placed.groupBy("cluster", "block").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
-    x, y = ranges.alias("x"), ranges.alias("y")
-    meets = x.join(y, F.expr(f"x.cluster = y.cluster AND x.block <= y.block AND {percent} * y.lo <= 100 * x.hi")).select(
-        F.col("x.cluster").alias("cluster"), F.col("x.block").alias("i"), F.col("y.block").alias("j"))
-    visits = meets.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    return (placed.select("cluster", "block", "doc_id").join(visits, ["cluster", "block"]).join(texts.select("doc_id", "text"), "doc_id")
-            .select("cluster", "i", "j", "doc_id", "text").groupBy("cluster", "i", "j")
-            .applyInArrow(_within(size, percent), "a long, b long"))
-
-
-def _all_links(members: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _block_links(members: DataFrame, placed: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links under large signatures: blocks meet where they share one and their sizes allow a link."""
+    held = members.join(placed.drop("n_shingles"), "doc_id").groupBy("signature", "home", "block").agg(
+        F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    meets = held.alias("x").join(held.alias("y"), F.expr(
+        "x.signature = y.signature AND (x.home < y.home OR x.home = y.home AND x.block <= y.block) "
+        f"AND {percent} * x.lo <= 100 * y.hi AND {percent} * y.lo <= 100 * x.hi")).select(
+        F.struct("x.home", "x.block").alias("i"), F.struct("y.home", "y.block").alias("j")).distinct()
+    visits = meets.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("at")).select("i", "j", "at.home", "at.block")
+    return (placed.select("home", "block", "doc_id").join(visits, ["home", "block"]).join(texts.select("doc_id", "text"), "doc_id")
+            .select("i", "j", "doc_id", "text").groupBy("i", "j").applyInArrow(_within(size, percent), "a long, b long"))
+
+
+def _all_links(members: DataFrame, shapes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Enough links between class representatives to give all components.
 
     ``members`` has signature, doc_id and n_shingles for signatures of two documents at least.
     """
     counts = members.groupBy("signature").agg(F.count("*").alias("n"), F.min("doc_id").alias("hub"))
-    stars = members.join(counts.where(F.col("n") > SMALL_GROUP).select("signature", "hub"), "signature").select(
-        F.col("hub").alias("a"), F.col("doc_id").alias("b"))
-    clusters = materialize(components(stars, "stars"), "clusters")
-    named = members.join(clusters, members["doc_id"] == clusters["node"], "left").join(
-        counts.where(F.col("n") <= SMALL_GROUP).select("signature"), "signature").select(
-        "signature", "doc_id", "n_shingles", F.coalesce(F.col("component").cast("string"), F.concat(F.lit("d"), "doc_id")).alias("cluster"))
-    named = materialize(named, "small-groups")
-    pairs = materialize(named.alias("x").join(named.alias("y"), F.expr(
-        "x.signature = y.signature AND x.doc_id < y.doc_id AND x.cluster <> y.cluster "
+    large = materialize(members.join(counts.where(F.col("n") > SMALL_GROUP).select("signature", "hub"), "signature"), "large-groups")
+    homes = large.groupBy("doc_id", "n_shingles").agg(F.min("hub").alias("home"))
+    before = Window.partitionBy("home").orderBy("n_shingles").rowsBetween(Window.unboundedPreceding, -1)
+    spread = homes.groupBy("home", "n_shingles").agg(F.count("*").alias("c")).withColumn(
+        "before", F.coalesce(F.sum("c").over(before), F.lit(0)))
+    placed = materialize(homes.join(spread, ["home", "n_shingles"]).select(
+        "home", "doc_id", "n_shingles", F.floor((F.col("before") + F.pmod(F.xxhash64("doc_id"), F.col("c"))) / BLOCK).alias("block")), "blocks")
+
+    small = materialize(members.join(counts.where(F.col("n") <= SMALL_GROUP).select("signature"), "signature"), "small-groups")
+    sketches = shapes.where("n_shingles > 0").groupBy("doc_id", "n_shingles").agg(F.min("sketch").alias("sketch"))
+    pairs = small.alias("x").join(small.alias("y"), F.expr(
+        "x.signature = y.signature AND x.doc_id < y.doc_id "
         f"AND 100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)")).select(
-        F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct(), "pairs")
+        F.col("x.doc_id").alias("a"), F.col("x.n_shingles").alias("size_a"), F.col("y.doc_id").alias("b"),
+        F.col("y.n_shingles").alias("size_b")).distinct()
+    pairs = materialize(pairs.join(sketches.toDF("a", "size_a", "sketch_a"), ["a", "size_a"])
+                        .join(sketches.toDF("b", "size_b", "sketch_b"), ["b", "size_b"])
+                        .select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_may_link(percent), "a long, b long")
+                        .distinct(), "pairs")
     needed = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(
-        clusters.select(F.col("node").alias("doc_id"))).distinct(), "needed")
+        placed.select("doc_id")).distinct(), "needed")
     texts = materialize(texts.join(narrow(needed), "doc_id", "left_semi"), "texts")
     found = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
              .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
              .select("a", "b", "text_a", "text_b").mapInArrow(_linked(size, percent), "a long, b long"))
-    return found.unionByName(_cluster_links(members, clusters, texts, size, percent))
+    return found.unionByName(_block_links(large, placed, texts, size, percent))
 
 
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
@@ -250,7 +269,7 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     table = materialize(texts.mapInArrow(
-        _shapes(size), "doc_id long, n_shingles long, d1 long, d2 long, counts array<long>"), "shapes")
+        _shapes(size), "doc_id long, n_shingles long, d1 long, d2 long, sketch binary, counts array<long>"), "shapes")
     shapes = table.where("n_shingles >= 0").drop("counts")
     counts = table.where("n_shingles < 0").select("n_shingles", F.posexplode("counts").alias("place", "c")).groupBy(
         "n_shingles", "place").agg(F.sum("c").alias("c"))
@@ -267,9 +286,10 @@ def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFra
         classes, ["d1", "d2", "n_shingles", "doc_id"], "left_anti").select("doc_id", "d1", "d2").distinct(), "copies")
     rows = signed.join(narrow(copies), ["doc_id", "d1", "d2"], "left_anti").select(
         "doc_id", "n_shingles", F.explode("signatures").alias("signature"))
-    shared = rows.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature")
+    # written, so that the join below has plain shuffles on both sides and a hot signature is split
+    shared = materialize(rows.groupBy("signature").agg(F.count("*").alias("n")).where("n > 1").select("signature"), "shared")
     members = materialize(rows.join(shared, "signature", "left_semi").distinct(), "members")
-    links = _all_links(members, texts, size, percent)
+    links = _all_links(members, shapes, texts, size, percent)
     known = shapes.join(classes.withColumnRenamed("doc_id", "rep"), ["d1", "d2", "n_shingles"], "left")
     parts = materialize(components(links), "components")
     return known.join(parts, known["rep"] == parts["node"], "left").select(
