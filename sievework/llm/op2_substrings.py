@@ -119,9 +119,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def _repeated(windows: DataFrame, by: list[str]) -> DataFrame:
-    """Keys found in two documents at least, with the smallest of these."""
-    return (windows.groupBy(*by).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
-            .where("first_doc < last_doc").select(*by, "first_doc"))
+    """Keys found in two documents at least, with the smallest of these.
+
+    They are written, so that a join with them has plain shuffles on both sides and hot keys are split.
+    """
+    return materialize(windows.groupBy(*by).agg(F.min("doc_id").alias("first_doc"), F.max("doc_id").alias("last_doc"))
+            .where("first_doc < last_doc").select(*by, "first_doc"), "repeated")
 
 
 def _search(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -137,7 +140,7 @@ def _search(docs: DataFrame, window: int) -> tuple[DataFrame, DataFrame, DataFra
         *_KEY, F.col("a.hashes").alias("half"), F.col("a.places").alias("place"))
     survivors = materialize(anchors.join(_repeated(anchors, ["half"]), "half", "left_semi")
                             .groupBy(*_KEY).agg(F.collect_set("place").alias("places")), "survivors")
-    windows = texts.join(narrow(survivors), _KEY).mapInArrow(
+    windows = texts.join(narrow(survivors, F.size("places")), _KEY).mapInArrow(
         _windows(window), "doc_id long, tkey long, place int, h1 long, h2 long")
     return texts, copies, windows
 
@@ -154,7 +157,7 @@ def cut_repeats(docs: DataFrame, window: int = 50) -> DataFrame:
     spans = covered.mapInArrow(_spans(window), "doc_id long, tkey long, spans array<int>").withColumn("copy", F.lit(False))
     marks = materialize(spans.unionByName(
         copies.select(*_KEY, F.lit(None).cast("array<int>").alias("spans"), F.lit(True).alias("copy"))), "marks")
-    return _keyed(docs).join(narrow(marks), _KEY, "left").select("doc_id", "text", "spans", "copy").mapInArrow(
+    return _keyed(docs).join(narrow(marks, F.coalesce(F.size("spans"), F.lit(0))), _KEY, "left").select("doc_id", "text", "spans", "copy").mapInArrow(
         _cut, "doc_id long, n_words long, n_removed long, kept_text string")
 
 
