@@ -83,7 +83,8 @@ def ownership(found: DataFrame) -> DataFrame:
     each = found.select(F.coalesce("owner", F.lit("")).alias("owner"), F.col("owner").isNull().alias("nameless"), "doc_id",
                         F.explode(F.array_distinct(F.transform("spans", lambda s: s["digest"]))).alias("digest"))
     per_owner = each.distinct().groupBy("digest", "owner", "nameless").agg(F.count("*").alias("n"))
-    return per_owner.groupBy("digest").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories"))
+    # written, so that the join of spans with it has plain shuffles on both sides and a hot secret is split
+    return materialize(per_owner.groupBy("digest").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories")), "owners")
 
 
 def _judged(found: DataFrame) -> DataFrame:
