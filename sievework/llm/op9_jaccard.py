@@ -212,16 +212,26 @@ def _within(size: int, percent: int):
 
 
 def _block_links(members: DataFrame, placed: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links under large signatures: blocks meet where they share one and their sizes allow a link."""
-    held = members.join(placed.drop("n_shingles"), "doc_id").groupBy("signature", "home", "block").agg(
-        F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
-    meets = held.alias("x").join(held.alias("y"), F.expr(
-        "x.signature = y.signature AND (x.home < y.home OR x.home = y.home AND x.block <= y.block) "
+    """Links under large signatures: blocks of one home meet whole, of others only documents that share one.
+
+    Either way only where the sizes allow a link.
+    """
+    at = F.struct("home", "block").alias("at")
+    held = members.join(placed.drop("n_shingles"), "doc_id").select("signature", "doc_id", "n_shingles", at)
+    ranges = held.groupBy("signature", "at").agg(F.min("n_shingles").alias("lo"), F.max("n_shingles").alias("hi"))
+    inside = ranges.alias("x").join(ranges.alias("y"), F.expr(
+        "x.signature = y.signature AND x.at.home = y.at.home AND x.at.block <= y.at.block "
         f"AND {percent} * x.lo <= 100 * y.hi AND {percent} * y.lo <= 100 * x.hi")).select(
-        F.struct("x.home", "x.block").alias("i"), F.struct("y.home", "y.block").alias("j")).distinct()
-    visits = meets.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("at")).select("i", "j", "at.home", "at.block")
-    return (placed.select("home", "block", "doc_id").join(visits, ["home", "block"]).join(texts.select("doc_id", "text"), "doc_id")
-            .select("i", "j", "doc_id", "text").groupBy("i", "j").applyInArrow(_within(size, percent), "a long, b long"))
+        F.col("x.at").alias("i"), F.col("y.at").alias("j")).distinct()
+    whole = placed.select("doc_id", at).join(
+        inside.select("*", F.explode(F.array_distinct(F.array("i", "j"))).alias("at")), "at").select("i", "j", "doc_id")
+    across = held.alias("x").join(ranges.alias("y"), F.expr(
+        "x.signature = y.signature AND x.at.home <> y.at.home "
+        f"AND {percent} * x.n_shingles <= 100 * y.hi AND {percent} * y.lo <= 100 * x.n_shingles")).select(
+        F.least("x.at", "y.at").alias("i"), F.greatest("x.at", "y.at").alias("j"), F.col("x.doc_id").alias("doc_id")).distinct()
+    visits = materialize(whole.unionByName(across), "visits")
+    return visits.join(texts.select("doc_id", "text"), "doc_id").select("i", "j", "doc_id", "text").groupBy("i", "j").applyInArrow(
+        _within(size, percent), "a long, b long")
 
 
 def _all_links(members: DataFrame, shapes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
