@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import prepare
 from ..sources.tables import table
 from . import (op1_pieces, op2_substrings, op3_token_counts, op4_secrets, op5_private, op6_quality, op7_template,
-               op8_benchmark, op9_jaccard, op10_language)
+               op8_benchmark, op9_jaccard, op10_language, oracles)
 
 def _vocabulary(name: str) -> str:
     import public_tokenizers
@@ -40,7 +40,7 @@ def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op1_pieces.encoded_digest(table(spark, sf_dir, "documents"), _vocabulary("piece_bpe_32k.model"))
 
 
-@query()
+@query(oracles.SUBSTRINGS)
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words left after removing 50-word windows that start in a document of smaller id."""
     return op2_substrings.kept_digest(table(spark, sf_dir, "documents"))
@@ -52,7 +52,7 @@ def op3_token_counts_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op3_token_counts.count_tokens(table(spark, sf_dir, "documents"), _vocabulary("byte_bpe_50k.json"))
 
 
-@query()
+@query(oracles.SECRETS)
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Secrets in every text, told apart by how many owners carry them."""
     return op4_secrets.scan_digest(table(spark, sf_dir, "documents"))
@@ -76,13 +76,13 @@ def op7_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return op7_template.extract(table(spark, sf_dir, "pages"))
 
 
-@query()
+@query(oracles.CONTAMINATED)
 def op8_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item, with the item and the share of its shingles."""
     return op8_benchmark.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-@query()
+@query(oracles.JACCARD)
 def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents whose 4-word shingles overlap by 85 per cent."""
     return op9_jaccard.similar_groups(table(spark, sf_dir, "documents"), size=4, percent=85)
