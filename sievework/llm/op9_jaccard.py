@@ -67,8 +67,19 @@ def _digests(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
-    """Tokens of the set in each of 256 buckets, 255 standing for that many or more."""
-    return np.minimum(np.bincount((tokens & _U(255)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes()
+    """Tokens of the set in each of 256 buckets, or 4096 for large sets; 255 stands for that many or more."""
+    buckets = 256 if len(tokens) <= 1024 else 4096
+    return np.minimum(np.bincount((tokens & _U(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
+
+
+def _overlap_bound(x: np.ndarray, y: np.ndarray) -> int:
+    """At least the number of common tokens of two sets, from their sketches."""
+    if x.max() == 255 or y.max() == 255:
+        return np.iinfo(np.int64).max // 1000
+    if len(x) != len(y):
+        short = min(len(x), len(y))
+        x, y = (v.reshape(-1, short).sum(0, dtype=np.int64) for v in (x, y))
+    return int(np.minimum(x, y).sum(dtype=np.int64))
 
 
 def _shapes(size: int):
@@ -154,17 +165,33 @@ def _signed(size: int, percent: int, frequent: bytes):
 
 
 def _may_link(percent: int):
-    """Pairs whose sketches allow a link: buckets bound the overlap from above, full ones not at all."""
+    """Pairs whose sketches allow a link."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in batches:
-            x, y = (np.frombuffer(b"".join(part.column(c).to_pylist()), np.uint8).reshape(-1, 256) for c in ("sketch_a", "sketch_b"))
-            least = np.minimum(x, y)
-            most = np.where((least == 255).any(1), np.iinfo(np.int64).max // 1000, least.sum(1, dtype=np.int64))
+            x, y = ([np.frombuffer(v, np.uint8) for v in part.column(c).to_pylist()] for c in ("sketch_a", "sketch_b"))
+            most = np.array([_overlap_bound(*xy) for xy in zip(x, y)], np.int64)
             sizes = part.column("size_a").to_numpy() + part.column("size_b").to_numpy()
             yield part.select(["a", "b"]).filter(pa.array(100 * most >= percent * (sizes - most)))
     return run
 
 
+def _hopeful(percent: int):
+    """Documents of a visit whose sketch allows a link with one of the other side."""
+    def run(visit: pa.Table) -> pa.Table:
+        sketches = [np.frombuffer(v, np.uint8) for v in visit.column("sketch").to_pylist()]
+        sizes, side = visit.column("n_shingles").to_pylist(), visit.column("side").to_pylist()
+        left, right = ([k for k, s in enumerate(side) if s == want] for want in (True, False))
+        keep = np.zeros(len(sizes), bool)
+        for x in left:
+            for y in right:
+                if not (keep[x] and keep[y]) and 100 * min(sizes[x], sizes[y]) >= percent * max(sizes[x], sizes[y]):
+                    most = _overlap_bound(sketches[x], sketches[y])
+                    if 100 * most >= percent * (sizes[x] + sizes[y] - most):
+                        keep[x] = keep[y] = True
+        return visit.select(["i", "j", "doc_id"]).filter(pa.array(keep))
+    return run
+
+
 def _linked(size: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in (p for b in batches for p in slices(b, "text_a")):
@@ -211,10 +238,10 @@ def _within(size: int, percent: int):
     return run
 
 
-def _block_links(members: DataFrame, placed: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+def _block_links(members: DataFrame, placed: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
     """Links under large signatures: blocks of one home meet whole, of others only documents that share one.
 
-    Either way only where the sizes allow a link.
+    Either way only where the sizes allow a link, and across homes the sketches as well.
     """
     at = F.struct("home", "block").alias("at")
     held = members.join(placed.drop("n_shingles"), "doc_id").select("signature", "doc_id", "n_shingles", at)
@@ -228,7 +255,11 @@ def _block_links(members: DataFrame, placed: DataFrame, texts: DataFrame, size:
     across = held.alias("x").join(ranges.alias("y"), F.expr(
         "x.signature = y.signature AND x.at.home <> y.at.home "
         f"AND {percent} * x.n_shingles <= 100 * y.hi AND {percent} * y.lo <= 100 * x.n_shingles")).select(
-        F.least("x.at", "y.at").alias("i"), F.greatest("x.at", "y.at").alias("j"), F.col("x.doc_id").alias("doc_id")).distinct()
+        F.least("x.at", "y.at").alias("i"), F.greatest("x.at", "y.at").alias("j"), F.col("x.doc_id").alias("doc_id"),
+        F.col("x.n_shingles").alias("n_shingles"), (F.col("x.at") < F.col("y.at")).alias("side")).distinct()
+    place = "struct<home:bigint,block:bigint>"
+    across = across.join(sketches, ["doc_id", "n_shingles"]).groupBy("i", "j").applyInArrow(
+        _hopeful(percent), f"i {place}, j {place}, doc_id long")
     visits = materialize(whole.unionByName(across), "visits")
     return visits.join(texts.select("doc_id", "text"), "doc_id").select("i", "j", "doc_id", "text").groupBy("i", "j").applyInArrow(
         _within(size, percent), "a long, b long")
@@ -265,7 +296,7 @@ def _all_links(members: DataFrame, shapes: DataFrame, texts: DataFrame, size: in
     found = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
              .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
              .select("a", "b", "text_a", "text_b").mapInArrow(_linked(size, percent), "a long, b long"))
-    return found.unionByName(_block_links(large, placed, texts, size, percent))
+    return found.unionByName(_block_links(large, placed, sketches, texts, size, percent))
 
 
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
