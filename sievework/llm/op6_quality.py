@@ -33,8 +33,9 @@ SHRINKAGE = 1.485
 STEPS = 4
 #: 0.9999 quantile of chi-squared with four degrees of freedom.
 CUTOFF = 23.51
-#: Spread below which differences of a statistic mean nothing, in the order of FEATURES.
-FLOORS = [0.3, 0.25, 0.5, 0.4]
+#: Spread below which differences of a statistic mean nothing, in the order of FEATURES.  The last two are such that lines
+#: that are nearly all copies (at most log 11) and words that just pass the base rules (log 3) exceed CUTOFF by themselves.
+FLOORS = [0.3, 0.25, 0.4, 0.22]
 FEATURES = ["x0", "x1", "x2", "x3"]
 #: Words of five letters that every text is taken to have besides its own, for its mean word length.
 PRIOR_WORDS, PRIOR_LETTERS = 50, 5
@@ -57,20 +58,21 @@ def _repeated(h: Column) -> Column:
     return F.when(F.size(F.array_distinct(h)) < F.size(h), let(F.sort_array(indexed), places)).otherwise(F.lit(0))
 
 
-def _line_copies(text: Column) -> Column:
-    return let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")),
-               lambda lines: F.size(lines) - F.size(F.array_distinct(lines)))
+def _lines(text: Column) -> Column:
+    """Number of lines with a word, and how many of them are copies."""
+    return let(F.filter(F.split(text, "\n", -1), lambda x: x.rlike("[^\\x20\\x09-\\x0D]")), lambda lines: F.struct(
+        F.size(lines).cast("long").alias("n"), (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("copies")))
 
 
 def statistics(text: Column) -> Column:
     """Struct of the base statistics of a text."""
     def of(t: Column) -> Column:
-        return let(words(t), lambda w: let(F.translate(t, SEPARATORS, ""), lambda dense: F.struct(
+        return let(words(t), lambda w: let(F.translate(t, SEPARATORS, ""), lambda dense: let(_lines(t), lambda lines: F.struct(
             F.size(w).cast("long").alias("n_words"), F.length(dense).cast("long").alias("word_chars"),
             (F.length(dense) - F.length(F.translate(dense, SYMBOLS, ""))).cast("long").alias("n_symbols"),
-            _line_copies(t).cast("long").alias("n_dup_lines"), F.size(F.split(t, "\n", -1)).cast("long").alias("n_lines"),
+            lines["copies"].alias("n_dup_lines"), lines["n"].alias("n_lines"),
             let(F.transform(upto(F.size(w) - (WINDOW - 1)), lambda i: hashed_window(w, i, WINDOW)), _repeated)
-            .cast("long").alias("n_repeat_words"))))
+            .cast("long").alias("n_repeat_words")))))
 
     return let(F.coalesce(text, F.lit("")), of)
 
