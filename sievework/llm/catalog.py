@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import prepare
 from ..sources.tables import table
 from . import (op1_pieces, op2_substrings, op3_token_counts, op4_secrets, op5_private, op6_quality, op7_template,
-               op8_benchmark, op9_jaccard, op10_language, oracles)
+               op8_benchmark, op9_jaccard, op10_language, op11_centroids, op12_simhash, op13_divergence, oracles)
 
 def _vocabulary(name: str) -> str:
     import public_tokenizers
@@ -92,3 +92,21 @@ def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every text by string kernels learned from the rows that are not held out."""
     return op10_language.identify(table(spark, sf_dir, "documents"))
+
+
+@query(oracles.CENTROIDS)
+def op11_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cluster, distance and inertia of every vector after ten rounds."""
+    return op11_centroids.cluster_digest(table(spark, sf_dir, "embeddings"))
+
+
+@query()
+def op12_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of all texts and components of those within four bits."""
+    return op12_simhash.near_groups(table(spark, sf_dir, "documents"))
+
+
+@query(oracles.DIVERGENCE)
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each source departs from the other sources of its language, and the terms that tell it apart."""
+    return op13_divergence.audit(table(spark, sf_dir, "documents"))

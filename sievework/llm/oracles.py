@@ -89,3 +89,48 @@ SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_acc
   sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_copied, 0) AS n_copied
 FROM documents LEFT JOIN told USING (doc_id)
 """
+
+
+def _centroids(rounds: int = 10) -> str:
+    """Every round is two tables: the vectors' nearest centroids and the centroids' next places."""
+    distance = "list_sum(list_transform(list_zip(v.x, c.x), lambda z: (z[1] - z[2]) * (z[1] - z[2])))"
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""a{k} AS MATERIALIZED (SELECT vec_id, row, x, best.k AS k, best.d AS d FROM
+  (SELECT vec_id, row, v.x AS x, min({{'d': CAST({distance} AS BIGINT), 'k': k}}) AS best FROM v, c{k} c GROUP BY vec_id, row, v.x))""")
+        if k < rounds:
+            steps.append(f"""m{k} AS (SELECT k, list(CAST(s // n - CASE WHEN s % n < 0 THEN 1 ELSE 0 END AS BIGINT) ORDER BY i) AS x FROM
+  (SELECT k, i, sum(y) AS s, count(*) AS n FROM (SELECT k, unnest(x) AS y, unnest(range(64)) AS i FROM a{k}) GROUP BY k, i) GROUP BY k),
+c{k + 1} AS MATERIALIZED (SELECT k, coalesce(m{k}.x, c{k}.x) AS x FROM c{k} LEFT JOIN m{k} USING (k))""")
+    return f"""
+WITH v AS MATERIALIZED (SELECT vec_id, row_number() OVER () AS row, list_transform(CAST(embedding AS DOUBLE[]), lambda e: CAST(floor(1024 * e) AS BIGINT)) AS x
+  FROM embeddings WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda e: e IS NOT NULL AND isfinite(e))) = 64),
+c0 AS MATERIALIZED (SELECT k - 1 AS k, x FROM (SELECT x, row_number() OVER (ORDER BY sha256('3:' || vec_id), x) AS k FROM v) WHERE k <= 8),
+{", ".join(steps)}
+SELECT vec_id, CAST(a.k AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY a.k) AS BIGINT) AS cluster_inertia,
+  CAST(sum(d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.x, ',')) AS centroid_sha256
+FROM a{rounds} a JOIN c{rounds} c ON a.k = c.k
+"""
+
+
+CENTROIDS = _centroids()
+
+DIVERGENCE = r"""
+WITH d AS (SELECT row_number() OVER () AS row, coalesce(lang, '') AS lang, coalesce(source, '') AS source,
+  regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x40\x5B-\x60\x7B-\x7F]+') AS ts FROM documents),
+said AS (SELECT row, lang, source, unnest(ts) AS term FROM d),
+kept AS MATERIALIZED (SELECT lang, term, count(*) AS c FROM said GROUP BY lang, term HAVING count(DISTINCT row) >= 3),
+counts AS MATERIALIZED (SELECT lang, source, term, count(*) AS c FROM said GROUP BY ALL),
+groups AS (SELECT DISTINCT lang, source FROM d),
+every AS (SELECT g.lang, g.source, k.term, coalesce(counts.c, 0) AS c, k.c AS lang_c FROM groups g JOIN kept k USING (lang)
+  LEFT JOIN counts ON counts.lang = g.lang AND counts.source = g.source AND counts.term = k.term),
+shares AS MATERIALIZED (SELECT lang, source, term, c, 1 + (1000000000 * CAST(c + 1 AS HUGEINT)) // (sum(c) OVER g + count(*) OVER g) AS p,
+  1 + (1000000000 * CAST(lang_c + 1 AS HUGEINT)) // (sum(lang_c) OVER g + count(*) OVER g) AS q FROM every WINDOW g AS (PARTITION BY lang, source)),
+pairs AS (SELECT a.lang, a.source, b.source AS item FROM groups a JOIN groups b ON a.lang = b.lang AND a.source <> b.source),
+summed AS (SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+found AS (SELECT lang, source, 'pair' AS part, item, CAST(coalesce(value, 0) AS BIGINT) AS value FROM pairs LEFT JOIN summed USING (lang, source, item)
+  UNION ALL SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM shares WHERE c > 0 AND p > q)
+SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank FROM found)
+WHERE part = 'pair' OR rank <= 200
+"""

@@ -30,7 +30,7 @@ def test_query(spark, sf_dir, con, name):
 
 
 def test_one_query_each():
-    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in catalog.QUERIES) == list(range(1, 14))
     assert all(name.startswith("op") for name in catalog.ORACLE_SQL)
 
 
