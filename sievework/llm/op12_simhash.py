@@ -1,12 +1,13 @@
 """SimHash near duplicates by a segment-popcount embedding and a grid join.
 
 A fingerprint is mapped to the number of set bits in each of its 32 segments of two bits.  The Manhattan distance of two
-such points is never above the number of differing bits.  Of two fingerprints within ``most`` (up to 5) bits, one half of
-the segments, 16 coordinates, is within Manhattan distance 2.  So each half is a grid of unit cells, a fingerprint is
-entered in its own cell and in the cells one step away, some 50 in all, and linked ones meet in a cell in the middle.
-What meets is verified on the bits.  Cells are exact, not hashed.
+such points is never above the number of differing bits.  The coordinates stand in eight blocks of four.  Two points within
+Manhattan distance ``most`` differ in at most so many blocks, so they share a cell in one of the grids that are as
+fine as the counts in ``8 - most`` of the blocks and unbounded in the others; for 4 bits there are 70 grids.  What meets is
+verified on the bits.  Cells are exact, not hashed.
 
-Documents of equal fingerprint are one row of the join.  Inside a cell all members are first compared with its smallest one.
+Documents of equal fingerprint are one row of the join.  A cell is first known by its number of members and its smallest and
+largest one, which settles all cells of two.  In larger cells all members are compared with the smallest one.
 Components of these links are found, and only cells that still hold members of several components go on: there members of different
 components are compared, in a join whose condition is the verification, so that pairs inside a group of
 copies are neither listed nor compared, and a large cell is split by the adaptive skew join.
@@ -21,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +41,8 @@ PIECE_BYTES = 1 << 20
 SEED = 42
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _BLANK = re.compile(rb"[ \t-\r]")
+#: Blocks of four segments.
+BLOCKS = 8
 #: Every second bit of a half.
 _ODD_BITS = 0x55555555
 
@@ -82,17 +86,27 @@ def _fingerprints(size: int):
     return run
 
 
-def cells(mark: Column) -> Column:
-    """Grid cells of a fingerprint: per half its own cell and those one step away along a segment."""
-    found = []
+def counts(mark: Column) -> list[Column]:
+    """The set bits of each segment: eight blocks of four two-bit counts."""
+    blocks = []
     for half in (0, 1):
         bits = F.shiftrightunsigned(mark, 32 * half)
         packed = bits.bitwiseAND(F.lit(_ODD_BITS)) + F.shiftrightunsigned(bits, 1).bitwiseAND(F.lit(_ODD_BITS))
-        found.append(packed + (half << 33))
-        for k in range(0, 32, 2):
-            count = F.shiftright(packed, k).bitwiseAND(F.lit(3).cast("long"))
-            found += [F.when(count < 2, packed + ((half << 33) + (1 << k))), F.when(count > 0, packed + ((half << 33) - (1 << k)))]
-    return F.array(*found)
+        blocks += [F.shiftright(packed, 8 * k).bitwiseAND(F.lit(0xFF).cast("long")) for k in range(4)]
+    return blocks
+
+
+def entered(marks: DataFrame, most: int) -> DataFrame:
+    """mark and cell, a row for each grid: the counts of the blocks the grid is fine in, and the grid's number."""
+    fine = BLOCKS - most
+    blocks = marks.select("mark", *(c.alias(f"b{k}") for k, c in enumerate(counts(F.col("mark")))))
+    found = []
+    for grid, chosen in enumerate(combinations(range(BLOCKS), fine)):
+        cell = F.lit(grid if fine < BLOCKS else 0).cast("long")
+        for k in chosen:
+            cell = F.shiftleft(cell, 8).bitwiseOR(F.col(f"b{k}"))
+        found.append(cell)
+    return blocks.select("mark", F.explode(F.array(*found)).alias("cell"))
 
 
 def _near(x: Column, y: Column, most: int) -> Column:
@@ -101,11 +115,14 @@ def _near(x: Column, y: Column, most: int) -> Column:
 
 def _labels(marks: DataFrame, most: int) -> DataFrame:
     """(mark, label): label is equal for fingerprints that reach each other by links; those without a link may be left out."""
-    entered = marks.select("mark", F.explode(cells(F.col("mark"))).alias("cell")).where("cell IS NOT NULL")
-    shared = materialize(entered.groupBy("cell").agg(F.count("*").alias("n"), F.min("mark").alias("leader")).where("n > 1").drop("n"), "shared-cells")
-    members = materialize(entered.join(narrow(shared), "cell"), "cell-members")
-    to_leader = members.where(_near(F.col("mark"), F.col("leader"), most)).select(F.col("mark").alias("a"), F.col("leader").alias("b"))
-    first = materialize(components(to_leader, "leader-links"), "leader-components")
+    rows = entered(marks, most)
+    shared = materialize(rows.groupBy("cell").agg(F.count("*").alias("n"), F.min("mark").alias("leader"), F.max("mark").alias("last"))
+                         .where("n > 1"), "shared-cells")
+    large = materialize(shared.where("n > 2").select("cell", "leader"), "large-cells")
+    members = materialize(rows.join(narrow(large), "cell"), "cell-members")
+    met = shared.select(F.col("leader").alias("a"), F.col("last").alias("b")).unionByName(
+        members.select(F.col("leader").alias("a"), F.col("mark").alias("b")))
+    first = materialize(components(met.where(_near(F.col("a"), F.col("b"), most)), "leader-links"), "leader-components")
     known = members.join(narrow(first), members["mark"] == first["node"], "left").select(
         "cell", "mark", F.coalesce("component", "mark").alias("label"))
     known = materialize(known, "labelled-members")
@@ -128,8 +145,8 @@ def near_groups(docs: DataFrame, size: int = 4, most: int = 4) -> DataFrame:
 
     Two documents link when their fingerprints over ``size`` lower-cased words differ in at most ``most`` bits.
     """
-    if not 0 <= most <= 5:
-        raise ValueError("most must be between 0 and 5")
+    if not 0 <= most < BLOCKS:
+        raise ValueError(f"most must be between 0 and {BLOCKS - 1}")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     marked = materialize(texts.mapInArrow(_fingerprints(size), "doc_id long, mark long"), "fingerprints")
     classes = materialize(marked.where("doc_id IS NOT NULL").groupBy("mark").agg(F.min("doc_id").alias("first")), "fingerprint-classes")
