@@ -2,6 +2,10 @@
 
 A word is a run of characters other than blank, tab, line feed, vertical tab, form feed and carriage
 return.  All hashes depend on content alone, so tasks and executors agree on them.
+
+Every step of a hash goes through a mixing function, of eight bytes of a word, of two neighbouring windows or of a word and
+its place, so regular texts have no sums or powers in which they could agree.  Words are told apart by 64 bits, sequences of
+words by 128 bits of these.
 """
 
 from __future__ import annotations
@@ -11,15 +15,21 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 
 #: Bytes of text hashed at a time; temporary arrays take some forty times as much.
 SLICE_BYTES = 1 << 21
 
+#: Words of more bytes are hashed one at a time.
+LONG_WORD = 64
+
 _U = np.uint64
-_BASES = (0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
-_POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_ODD = _U(0x9E3779B97F4A7C15)
+_SALTS = (_U(0xD6E8FEB86659FD93), _U(0xA0761D6478BD642F))
 _SPACE = np.zeros(256, bool)
 _SPACE[[9, 10, 11, 12, 13, 32]] = True
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -28,30 +38,30 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> _U(31))
 
 
-_BYTE = _mix(np.arange(1, 257, dtype=_U) * _U(_BASES[0]))
-_LOWER = _BYTE.copy()
-_LOWER[65:91] = _BYTE[97:123]
+def _word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of each of the words raw[start:end]."""
+    length = end - start
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    eight = np.ndarray((len(raw) + 1,), "<u8", padded.data, strides=(1,))      # the eight bytes from each place on
+    out = _mix(length.astype(_U) + _ODD)
+    for at in range(0, min(int(length.max(initial=0)), LONG_WORD), 8):
+        open_ = np.flatnonzero(length > at)
+        left = np.minimum(length[open_] - at, 8).astype(_U)
+        part = eight[start[open_] + at] & (_U(0xFFFFFFFFFFFFFFFF) >> (_U(64) - _U(8) * left))
+        out[open_] = _mix((out[open_] ^ part) * _ODD + _U(at + 1))
+    for k in np.flatnonzero(length > LONG_WORD):
+        out[k] = xxhash.xxh3_64_intdigest(raw[start[k]:end[k]].data)
+    return out
 
 
-def _powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of an odd base and of its inverse, both modulo 2^64."""
-    known = _POWERS.get(base)
-    if known is None or len(known[0]) < n:
-        size, both = max(n, SLICE_BYTES + 4096), []
-        for b in (base, pow(base, -1, 1 << 64)):
-            steps = np.full(size, b, _U)
-            steps[0] = 1
-            both.append(np.cumprod(steps, dtype=_U))
-        _POWERS[base] = known = (both[0], both[1])
-    return known
+def _joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Hash of two neighbouring stretches."""
+    return _mix(_mix(left + _ODD) + right)
 
 
-def _ranges(values: np.ndarray, start: np.ndarray, end: np.ndarray, base: int) -> np.ndarray:
-    """Polynomial hash of values[start:end], independent of where the range stands."""
-    power, inverse = _powers(base, len(values) + 1)
-    sums = np.zeros(len(values) + 1, _U)
-    np.cumsum(values * power[:len(values)], out=sums[1:])
-    return (sums[end] - sums[start]) * inverse[start]
+def _ahead(values: np.ndarray, by: int) -> np.ndarray:
+    """The value so many places on; zero past the end."""
+    return np.concatenate([values[by:], np.zeros(min(by, len(values)), _U)])
 
 
 class Words:
@@ -71,15 +81,20 @@ class Words:
         stops = inside[:-1] & (~inside[1:] | cut)
         start, end = np.flatnonzero(begins), np.flatnonzero(stops)
         self.first = np.searchsorted(start, ends)
-        self.hashes = _mix(_ranges((_LOWER if lower else _BYTE)[raw], start, end, _BASES[0])
-                           + (end - start).astype(_U))
+        self.hashes = _word_hashes(_LOWER[raw] if lower else raw, start, end)
 
     def windows(self, width: int, salt: int = 0) -> np.ndarray:
         """Hash of the ``width`` words from each word on; only ``room(width)`` entries are meaningful."""
-        n = len(self.hashes)
-        start = np.arange(n)
-        values = self.hashes if not salt else _mix(self.hashes + _U(salt))
-        return _mix(_ranges(values, start, np.minimum(start + width, n), _BASES[1]) + _U(width + salt))
+        level = _mix(self.hashes + _SALTS[0] * _U(salt)) if salt else self.hashes
+        found, taken, size = None, 0, 1
+        while True:
+            if width & size:
+                found = level if found is None else _joined(found, _ahead(level, taken))
+                taken += size
+            size *= 2
+            if size > width:
+                return _mix(found + _U(width))
+            level = _joined(level, _ahead(level, size // 2))
 
     def room(self, width: int) -> np.ndarray:
         """Whether that many words of the same row are left from each word on."""
@@ -89,10 +104,12 @@ class Words:
 
     def digests(self) -> tuple[np.ndarray, np.ndarray]:
         """Two independent hashes of the word sequence of each row."""
-        start, end = self.first[:-1], self.first[1:]
-        again = _mix(self.hashes + _U(_BASES[2]))
-        return tuple(_mix(_ranges(v, start, end, b) + (end - start).astype(_U))
-                     for v, b in ((self.hashes, _BASES[1]), (again, _BASES[2])))
+        counts = np.diff(self.first)
+        place = (np.arange(len(self.hashes)) - np.repeat(self.first[:-1], counts)).astype(_U) * _ODD
+        sums = np.zeros((2, len(self.hashes) + 1), _U)
+        for k, salt in enumerate(_SALTS):
+            np.cumsum(_mix(_mix(self.hashes + salt) + place), out=sums[k, 1:])
+        return tuple(_mix(s[self.first[1:]] - s[self.first[:-1]] + counts.astype(_U)) for s in sums)
 
     def rows(self) -> np.ndarray:
         """The row of each word."""
