@@ -9,7 +9,7 @@ lost.  Documents of different size classes have their own number of subclasses,
 border take part on both sides.  Which tokens are frequent is read from counts of 262,144 hash buckets over
 the whole table; it only steers the cost, never the result.
 
-Documents with equal token sets are one class and its smallest ``doc_id`` stands for them.  Up to 16 documents
+Documents with equal token sets are one class and its smallest ``doc_id`` stands for them.  Up to eight documents
 that share a signature are compared pair by pair, first by sketches that bound the overlap from above, then by their
 texts.  Members of larger groups are laid out in blocks, by the smallest document they share a signature with
 and by size.  Two blocks that share a signature meet in one task if their sizes allow a link, and all overlaps come
@@ -41,8 +41,8 @@ _CHUNK = 1024
 FREQUENT_DEVIATIONS, FREQUENT_LEAST = 8, 32
 #: Largest token set of the first size class, and the ratio of each class to the one before.
 FIRST_SIZE, SIZE_RATIO = 20, 5
-#: Documents under one signature up to which their pairs are listed; more are compared block by block.
-SMALL_GROUP = 16
+#: Documents under one signature up to which their pairs are listed, 28 at most; more are compared block by block.
+SMALL_GROUP = 8
 BLOCK = 512
 _COLUMNS = 4096
 
@@ -67,8 +67,8 @@ def _digests(tokens: np.ndarray) -> tuple[int, int]:
 
 
 def _sketch(tokens: np.ndarray) -> bytes:
-    """Tokens of the set in each of 256 buckets, or 4096 for large sets; 255 stands for that many or more."""
-    buckets = 256 if len(tokens) <= 1024 else 4096
+    """Tokens of the set in each bucket, four a bucket in sets of up to 16,384; 255 stands for that many or more."""
+    buckets = min(max(64, 1 << (len(tokens) // 4).bit_length()), 4096)
     return np.minimum(np.bincount((tokens & _U(buckets - 1)).astype(np.int64), minlength=buckets), 255).astype(np.uint8).tobytes()
 
 
@@ -238,10 +238,10 @@ def _within(size: int, percent: int):
     return run
 
 
-def _block_links(members: DataFrame, placed: DataFrame, sketches: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links under large signatures: blocks of one home meet whole, of others only documents that share one.
+def _meetings(members: DataFrame, placed: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """What meets under large signatures: blocks of one home whole, of others only documents that share one.
 
-    Either way only where the sizes allow a link, and across homes the sketches as well.
+    Either way only where the sizes allow a link; whole blocks are (i, j, doc_id), the others have sizes and sides besides.
     """
     at = F.struct("home", "block").alias("at")
     held = members.join(placed.drop("n_shingles"), "doc_id").select("signature", "doc_id", "n_shingles", at)
@@ -257,12 +257,7 @@ def _block_links(members: DataFrame, placed: DataFrame, sketches: DataFrame, tex
         f"AND {percent} * x.n_shingles <= 100 * y.hi AND {percent} * y.lo <= 100 * x.n_shingles")).select(
         F.least("x.at", "y.at").alias("i"), F.greatest("x.at", "y.at").alias("j"), F.col("x.doc_id").alias("doc_id"),
         F.col("x.n_shingles").alias("n_shingles"), (F.col("x.at") < F.col("y.at")).alias("side")).distinct()
-    place = "struct<home:bigint,block:bigint>"
-    across = across.join(sketches, ["doc_id", "n_shingles"]).groupBy("i", "j").applyInArrow(
-        _hopeful(percent), f"i {place}, j {place}, doc_id long")
-    visits = materialize(whole.unionByName(across), "visits")
-    return visits.join(texts.select("doc_id", "text"), "doc_id").select("i", "j", "doc_id", "text").groupBy("i", "j").applyInArrow(
-        _within(size, percent), "a long, b long")
+    return whole, materialize(across, "across-homes")
 
 
 def _all_links(members: DataFrame, shapes: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
@@ -279,24 +274,34 @@ def _all_links(members: DataFrame, shapes: DataFrame, texts: DataFrame, size: in
     placed = materialize(homes.join(spread, ["home", "n_shingles"]).select(
         "home", "doc_id", "n_shingles", F.floor((F.col("before") + F.pmod(F.xxhash64("doc_id"), F.col("c"))) / BLOCK).alias("block")), "blocks")
 
+    whole, across = _meetings(large, placed, percent)
+
     small = materialize(members.join(counts.where(F.col("n") <= SMALL_GROUP).select("signature"), "signature"), "small-groups")
-    sketches = shapes.where("n_shingles > 0").groupBy("doc_id", "n_shingles").agg(F.min("sketch").alias("sketch"))
-    pairs = small.alias("x").join(small.alias("y"), F.expr(
+    pairs = materialize(small.alias("x").join(small.alias("y"), F.expr(
         "x.signature = y.signature AND x.doc_id < y.doc_id "
         f"AND 100 * least(x.n_shingles, y.n_shingles) >= {percent} * greatest(x.n_shingles, y.n_shingles)")).select(
         F.col("x.doc_id").alias("a"), F.col("x.n_shingles").alias("size_a"), F.col("y.doc_id").alias("b"),
-        F.col("y.n_shingles").alias("size_b")).distinct()
+        F.col("y.n_shingles").alias("size_b")).distinct(), "pairs")
+    doubtful = materialize(across.select("doc_id").unionByName(pairs.select(F.col("a").alias("doc_id"))).unionByName(
+        pairs.select(F.col("b").alias("doc_id"))).distinct(), "doubtful")
+    sketches = materialize(shapes.where("n_shingles > 0").join(narrow(doubtful), "doc_id", "left_semi").select(
+        "doc_id", "n_shingles", "sketch").distinct(), "sketches")
+
+    place = "struct<home:bigint,block:bigint>"
+    across = across.join(sketches, ["doc_id", "n_shingles"]).groupBy("i", "j").applyInArrow(
+        _hopeful(percent), f"i {place}, j {place}, doc_id long")
+    visits = materialize(whole.unionByName(across).distinct(), "visits")
     pairs = materialize(pairs.join(sketches.toDF("a", "size_a", "sketch_a"), ["a", "size_a"])
                         .join(sketches.toDF("b", "size_b", "sketch_b"), ["b", "size_b"])
                         .select("a", "b", "size_a", "size_b", "sketch_a", "sketch_b").mapInArrow(_may_link(percent), "a long, b long")
-                        .distinct(), "pairs")
-    needed = materialize(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).unionByName(
-        placed.select("doc_id")).distinct(), "needed")
-    texts = materialize(texts.join(narrow(needed), "doc_id", "left_semi"), "texts")
-    found = (pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-             .join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+                        .distinct(), "hopeful-pairs")
+    texts = texts.select("doc_id", "text")
+    found = (texts.toDF("a", "text_a").join(narrow(pairs), "a")
+             .join(texts.toDF("b", "text_b").join(narrow(pairs.select("b").distinct()), "b", "left_semi"), "b")
              .select("a", "b", "text_a", "text_b").mapInArrow(_linked(size, percent), "a long, b long"))
-    return found.unionByName(_block_links(large, placed, sketches, texts, size, percent))
+    met = texts.join(narrow(visits), "doc_id").select("i", "j", "doc_id", "text").groupBy("i", "j").applyInArrow(
+        _within(size, percent), "a long, b long")
+    return found.unionByName(met)
 
 
 def similar_groups(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:

@@ -182,3 +182,16 @@ def test_contaminated_rows(spark):
     assert sorted(str(r.doc_id) for r in kept.collect()) == ["2", "3", "None"]
     assert op8_benchmark.contaminated(frame(spark, rows), items.limit(0)).count() == 0
     assert op8_benchmark.contaminated(frame(spark, []), items).count() == 0
+
+
+def test_regular_words_and_texts(spark):
+    """Sequences and words that agree in every sum of powers are still told apart."""
+    for n in (1024, 2048):
+        odd = [bin(i).count("1") & 1 for i in range(n)]
+        one, other = (" ".join("no yes".split()[x ^ flip] for x in odd) for flip in (0, 1))
+        long, lengthy = ("".join("ab"[x ^ flip] for x in odd) for flip in (0, 1))
+        head = " ".join(f"w{k}" for k in range(49))
+        texts = [(1, one), (2, other), (3, f"{head} {long}"), (4, f"{head} {lengthy}"), (5, f"x y z {long}"), (6, f"x y z {lengthy}")]
+        cut = {r[0]: tuple(r)[1:] for r in op2_substrings.kept_digest(frame(spark, texts), 50).collect()}
+        assert cut == plain_cut(texts, 50)
+        assert {r[0]: tuple(r)[1:] for r in op9_jaccard.similar_groups(frame(spark, texts), 4, 85).collect()} == plain_groups(texts, 4, 85)
