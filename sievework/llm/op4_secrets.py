@@ -1,13 +1,15 @@
 """Secret scans with corpus-wide ownership frequency.
 
 Candidates of every text are hashed and counted over the whole corpus by distinct owners (sources) and
-repositories (documents of an owner).  A credential that several owners carry is a widely copied example, one that a single
-owner carries looks live.  Three kinds of span are always reported.  A fourth, long mixed
+repositories (different texts; exact copies of a text are one repository, whoever holds them).  A value is a widely
+copied example if ``COPIED_OWNERS`` owners or ``COPIED_REPOSITORIES`` repositories carry it, and looks live
+otherwise.  So a real credential stays live when its document is copied to a second owner, and what stands in many documents
+of one owner does not look live.  Three kinds of span are always reported.  A fourth, long mixed
 strings that nothing announces, is reported only where the counts say that it looks live.
 
 Null texts have no span.  Every input row gives one row, repeated rows alike; a repeated row does not
-add a repository or an owner.  A null owner or ``doc_id`` counts as one of its own.  Values leave the scan only as
-SHA-256 digests.  Other columns are ignored; an empty table gives no rows.
+add a repository or an owner.  A null owner counts as one of its own.  Texts are told apart by 64 bits, values leave the scan
+only as SHA-256 digests.  Other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -28,8 +30,8 @@ KINDS = [
 QUICK = {"access": "AKIA[A-Z0-9]{16}", "hex": "[0-9a-f]{24}"}
 #: What the counts may add: unannounced strings of this shape with a digit, a small and a capital letter.
 GENERIC = ("generic", "[A-Za-z0-9+/_-]{32,}", 0, 32)
-#: A value carried by this many owners at most looks live.
-LIVE_OWNERS = 1
+#: A value carried by so many owners, or in so many different texts, is a copied example.
+COPIED_OWNERS, COPIED_REPOSITORIES = 3, 10
 
 SPAN = "struct<kind:string,rank:int,start:int,stop:int,digest:string>"
 
@@ -63,34 +65,34 @@ def _generic(text: Column, base: Column) -> Column:
 
 
 def _scanned(docs: DataFrame) -> DataFrame:
-    """``docs`` with row_, owner_ and candidate spans_, written once to the shared folder."""
+    """``docs`` with row_, owner_, repository_ and candidate spans_."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     owner = F.col("source").cast("string") if "source" in docs.columns else F.lit(None).cast("string")
     return docs.withColumns({
-        "row_": F.monotonically_increasing_id(), "owner_": owner,
+        "row_": F.monotonically_increasing_id(), "owner_": owner, "repository_": F.xxhash64(text),
         "spans_": let(text, lambda t: let(F.concat(*(_spans(t, i, *kind) for i, kind in enumerate(KINDS))),
                                           lambda base: F.concat(base, _generic(t, base))))})
 
 
 def candidates(docs: DataFrame) -> DataFrame:
-    """row, doc_id, owner and the candidate spans of every text."""
-    return materialize(_scanned(docs).select("row_", F.col("doc_id").cast("long").alias("doc_id"), "owner_", "spans_")
-                       .toDF("row", "doc_id", "owner", "spans"), "secrets")
+    """row, doc_id, owner, repository and the candidate spans of every text."""
+    return materialize(_scanned(docs).select("row_", F.col("doc_id").cast("long").alias("doc_id"), "owner_", "repository_", "spans_")
+                       .toDF("row", "doc_id", "owner", "repository", "spans"), "secrets")
 
 
 def ownership(found: DataFrame) -> DataFrame:
-    """Distinct repositories and owners of every candidate digest, summed per owner before they meet."""
-    each = found.select(F.coalesce("owner", F.lit("")).alias("owner"), F.col("owner").isNull().alias("nameless"), "doc_id",
+    """Distinct owners and repositories of every candidate digest, counted in two steps so that a hot digest is spread."""
+    each = found.select(F.struct("owner").alias("owner"), "repository",
                         F.explode(F.array_distinct(F.transform("spans", lambda s: s["digest"]))).alias("digest"))
-    per_owner = each.distinct().groupBy("digest", "owner", "nameless").agg(F.count("*").alias("n"))
     # written, so that the join of spans with it has plain shuffles on both sides and a hot secret is split
-    return materialize(per_owner.groupBy("digest").agg(F.count("*").alias("n_owners"), F.sum("n").alias("n_repositories")), "owners")
+    return materialize(each.groupBy("digest").agg(F.count_distinct("owner").alias("n_owners"),
+                                                  F.count_distinct("repository").alias("n_repositories")), "owners")
 
 
 def _judged(found: DataFrame) -> DataFrame:
     """row and its spans in order, with what the corpus says of them; rows without spans are left out."""
     judged = found.select("row", F.explode("spans").alias("s")).select("row", "s.*").join(ownership(found), "digest").withColumn(
-        "live", F.col("n_owners") <= LIVE_OWNERS).where((F.col("kind") != GENERIC[0]) | F.col("live"))
+        "live", (F.col("n_owners") < COPIED_OWNERS) & (F.col("n_repositories") < COPIED_REPOSITORIES)).where((F.col("kind") != GENERIC[0]) | F.col("live"))
     return judged.groupBy("row").agg(F.array_sort(F.collect_list(F.struct(
         "start", "rank", "stop", "kind", "digest", "n_owners", "n_repositories", "live"))).alias("spans"))
 
@@ -135,7 +137,7 @@ def blank_out(docs: DataFrame, mark: str = "[secret]") -> DataFrame:
     place = lambda s: F.struct(s["start"].alias("start"), s["stop"].alias("stop"))
     # only unannounced strings depend on the corpus, so only texts that have one are joined
     waits = F.exists("spans_", lambda s: s["kind"] == GENERIC[0])
-    judged = _judged(found.select("row_", "doc_id", "owner_", "spans_").toDF("row", "doc_id", "owner", "spans"))
+    judged = _judged(found.select("row_", "owner_", "repository_", "spans_").toDF("row", "owner", "repository", "spans"))
     sure = found.where(~waits).withColumn("spans_", F.transform("spans_", place))
     late = found.where(waits).drop("spans_").join(
         judged.select(F.col("row").alias("row_"), F.transform("spans", place).alias("spans_")), "row_", "left")

@@ -79,9 +79,9 @@ generic AS (SELECT g.* FROM ({_found(len(op4_secrets.KINDS), *op4_secrets.GENERI
   ON b.doc_id = g.doc_id AND b.start < g.start + g.n AND g.start < b.start + b.n
   WHERE regexp_matches(secret, '[0-9]') AND regexp_matches(secret, '[a-z]') AND regexp_matches(secret, '[A-Z]')),
 every AS (SELECT * FROM base UNION ALL SELECT * FROM generic),
-owners AS (SELECT secret, count(DISTINCT coalesce('=' || source, '')) AS n_owners FROM every GROUP BY 1),
-judged AS (SELECT every.*, n_owners <= {op4_secrets.LIVE_OWNERS} AS live FROM every JOIN owners USING (secret)
-  WHERE kind <> 'generic' OR n_owners <= {op4_secrets.LIVE_OWNERS}),
+owners AS (SELECT secret, count(DISTINCT coalesce('=' || source, '')) < {op4_secrets.COPIED_OWNERS}
+  AND count(DISTINCT text) < {op4_secrets.COPIED_REPOSITORIES} AS live FROM every GROUP BY 1),
+judged AS (SELECT every.*, live FROM every JOIN owners USING (secret) WHERE kind <> 'generic' OR live),
 told AS (SELECT doc_id, count(*) FILTER (WHERE kind = 'assign') AS n_assign, count(*) FILTER (WHERE kind = 'access') AS n_access,
   count(*) FILTER (WHERE kind = 'hex') AS n_hex, {_JOINED} FILTER (WHERE kind <> 'generic') AS base, {_JOINED} AS spans,
   count(*) FILTER (WHERE live) AS n_live, count(*) FILTER (WHERE NOT live) AS n_copied FROM judged GROUP BY doc_id)

@@ -126,11 +126,14 @@ def test_ownership(spark):
     copied, own = "token = abcdef0123456", "token = zyxwvu0123456"
     odd = "Zm9vYmFyYmF6cXV4MTIzNDU2Nzg5MGFiY2RlZg9X"
     rows = [(k, copied) for k in range(6)] + [(10, own), (10, own), (11, f"see {odd} there"), (12, None), (None, own)]
+    for k in range(10):      # every third row is of one owner
+        rows += [(100 + k, f"{k} passwd: often-here-1"), (200 + k, "other"), (300 + k, "other")]
     got = op4_secrets.scan(frame(spark, rows)).collect()
     assert len(got) == len(rows)
     by_doc = {r.doc_id: r.spans for r in got}
-    assert [(s.live, s.n_owners, s.n_repositories) for s in by_doc[0]] == [(False, 3, 6)]
-    assert (by_doc[10][0].n_owners, by_doc[10][0].n_repositories) == (2, 3)      # a repository is a document of one owner
+    assert [(s.live, s.n_owners, s.n_repositories) for s in by_doc[0]] == [(False, 3, 1)]      # three owners
+    assert (by_doc[10][0].live, by_doc[10][0].n_owners, by_doc[10][0].n_repositories) == (True, 2, 1)      # copied once with its text
+    assert (by_doc[100][0].live, by_doc[100][0].n_owners, by_doc[100][0].n_repositories) == (False, 1, 10)
     assert [(s.kind, s.live) for s in by_doc[11]] == [("generic", True)]
     assert by_doc[12] == []
     assert op4_secrets.scan_digest(frame(spark, [])).count() == 0
