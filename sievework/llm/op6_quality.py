@@ -119,7 +119,7 @@ def _triangle(moments: DataFrame) -> DataFrame:
             for k in range(j):
                 c = c - F.col(f"l{i}{k}") * F.col(f"l{j}{k}")
             df = df.withColumn(f"l{i}{j}", F.sqrt(F.greatest(c, F.lit(FLOORS[i] ** 2 / 4))) if i == j else c / F.col(f"l{j}{j}"))
-    return df.select("group_", *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i in range(d) for j in range(i + 1)))
+    return df.select(*(c for c in ("group_", "start") if c in df.columns), *(f"m{i}" for i in range(d)), *(f"l{i}{j}" for i in range(d) for j in range(i + 1)))
 
 
 def groups(vectors: DataFrame) -> DataFrame:
@@ -138,21 +138,39 @@ def fit(vectors: DataFrame) -> DataFrame:
     keys = groups(vectors)
     good = materialize(vectors.where("NOT failed_").join(keys, ["lang_key_", "source_key_"]).where("group_ IS NOT NULL")
                        .select("group_", *FEATURES), "vectors")
-    start = good.groupBy("group_").agg(*(F.round(F.percentile_approx(x, 0.5, 1000), 2).alias(f"m{i}") for i, x in enumerate(FEATURES)))
-    estimate = start.withColumns({f"l{i}{j}": F.lit(FLOORS[i] if i == j else 0.0) for i in range(d) for j in range(i + 1)})
     sums = [F.sum(x).alias(f"s{i}") for i, x in enumerate(FEATURES)] + [
         F.sum(F.col(FEATURES[j]) * F.col(FEATURES[i])).alias(f"s{j}{i}") for i in range(d) for j in range(i + 1)]
     names = [f"s{i}" for i in range(d)] + [f"s{j}{i}" for i in range(d) for j in range(i + 1)]
+    estimate = _starts(good, sums)
     for _ in range(STEPS):
         binned = _distance(good.join(estimate, "group_")).withColumn(
             "bin", F.least(F.lit(_BINS - 1), F.floor(30 * F.log1p("d2_")).cast("int")))
-        moments = binned.groupBy("group_", "bin").agg(F.count("*").alias("n"), *sums)
-        inside = Window.partitionBy("group_").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
+        moments = binned.groupBy("group_", "start", "bin").agg(F.count("*").alias("n"), *sums)
+        inside = Window.partitionBy("group_", "start").orderBy("bin").rowsBetween(Window.unboundedPreceding, -1)
         taken = (moments.withColumn("before", F.coalesce(F.sum("n").over(inside), F.lit(0)))
-                 .withColumn("all", F.sum("n").over(Window.partitionBy("group_"))).where(F.col("before") < SUBSET * F.col("all")))
-        estimate = materialize(_triangle(taken.groupBy("group_").agg(F.sum("n").alias("n"), *(F.sum(s).alias(s) for s in names))),
+                 .withColumn("all", F.sum("n").over(Window.partitionBy("group_", "start"))).where(F.col("before") < SUBSET * F.col("all")))
+        estimate = materialize(_triangle(taken.groupBy("group_", "start").agg(F.sum("n").alias("n"), *(F.sum(s).alias(s) for s in names))),
                                "estimate")
-    return keys.join(estimate, "group_").drop("group_")
+    size = sum(F.log(f"l{i}{i}") for i in range(d))
+    best = estimate.groupBy("group_").agg(F.min_by(F.struct(*(c for c in estimate.columns if c not in ("group_", "start"))), F.struct(
+        F.round(size, 9), "start")).alias("best"))
+    return keys.join(best.select("group_", "best.*"), "group_").drop("group_")
+
+
+def _starts(good: DataFrame, sums: list[Column]) -> DataFrame:
+    """Three first estimates a group: medians with the floors as spread, medians with the spread of the middle half, all rows."""
+    d, at = len(FEATURES), F.col
+    rows = good.groupBy("group_").agg(F.count("*").alias("n"), *sums, *(F.percentile_approx(x, [0.25, 0.5, 0.75], 1000).alias(f"q{i}")
+                                                                     for i, x in enumerate(FEATURES)))
+    quartile = lambda i, k: F.get(at(f"q{i}"), F.lit(k))
+
+    def around(start: int, spread) -> DataFrame:
+        return rows.select("group_", F.lit(start).alias("start"), *(F.round(quartile(i, 1), 2).alias(f"m{i}") for i in range(d)), *(
+            (spread(i) if i == j else F.lit(0.0)).alias(f"l{i}{j}") for i in range(d) for j in range(i + 1)))
+
+    return materialize(around(0, lambda i: F.lit(FLOORS[i])).unionByName(
+        around(1, lambda i: F.greatest(F.lit(FLOORS[i]), (quartile(i, 2) - quartile(i, 0)) / 1.349))).unionByName(
+        _triangle(rows.withColumn("start", F.lit(2)))), "starts")
 
 
 def _verdict(vectors: DataFrame, estimate: DataFrame) -> DataFrame:
@@ -173,5 +191,6 @@ def judged(docs: DataFrame) -> DataFrame:
 def keep_good(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that are kept, with their columns."""
     packed = _with_statistics(docs.select(F.struct(*docs.columns).alias("row_"), *(c for c in ("text", "lang", "source") if c in docs.columns)))
-    lean = materialize(packed.select("stats_", "lang_key_", "source_key_"), "statistics")
-    return _verdict(_vector(packed), fit(_vector(lean))).where("kept_").select("row_.*")
+    # rows are written with their statistics, which cost far more than the writing and would be worked out again for each use
+    table = materialize(packed.select("row_", "stats_", "lang_key_", "source_key_"), "statistics")
+    return _verdict(_vector(table), fit(_vector(table.drop("row_")))).where("kept_").select("row_.*")
