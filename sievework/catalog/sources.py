@@ -26,6 +26,16 @@ def csv_round_trip(spark: SparkSession, sf: str) -> DataFrame:
     return csv.read_text_table(spark, _written_csv(spark, sf, "dirty_items"))
 
 
+@operation("SRC-1", uses=["dirty_items"], sql="SELECT " + ", ".join(
+    f"nullif({c}, '') AS {c}" for c in q.ITEM_COLUMNS) + """, concat(item_id, chr(10), '"', coalesce(flag, ''), '", ', chr(10), chr(10), 'x') AS note
+FROM dirty_items""")
+def csv_by_blocks(spark: SparkSession, sf: str) -> DataFrame:
+    """Items with line breaks, quotes and commas in a cell, written as CSV and read block by block."""
+    noted = fixture(spark, sf, "dirty_items").withColumn("note", F.concat(
+        F.col("item_id"), F.lit('\n"'), F.coalesce("flag", F.lit("")), F.lit('", \n\nx')))
+    return csv.read_text_table(spark, csv.write_table(noted, work_path(spark, "noted-items")), split=True)
+
+
 @operation("SRC-1", uses=["dirty_orders"], sql=q.per_column(
     "dirty_orders", q.ORDER_COLUMNS, n_missing=lambda c: f"count(*) FILTER (WHERE {q.is_missing(c)})"))
 def gzip_csv_missing(spark: SparkSession, sf: str) -> DataFrame:

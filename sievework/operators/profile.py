@@ -50,7 +50,7 @@ def text_columns(df: DataFrame) -> list[str]:
 
 
 def quoted(name: str) -> Column:
-    return F.col(f"`{name}`")
+    return F.col("`" + name.replace("`", "``") + "`")
 
 
 def missing(df: DataFrame, name: str) -> Column:

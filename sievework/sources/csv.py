@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,6 +12,7 @@ from pyspark.sql import types as T
 
 from ..operators.profile import quoted, text_columns
 from ..operators.repair import project
+from . import records
 
 # --- fixed values: cells read as missing ---------------------------------------------------------------
 NA_WORDS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
@@ -30,20 +32,40 @@ def null_words(df: DataFrame) -> DataFrame:
 
 
 def read_text_table(spark: SparkSession, *paths: str, max_rows: int | None = None,
-                    multi_line: bool = True) -> DataFrame:
+                    multi_line: bool = True, split: bool | None = None) -> DataFrame:
     """CSV files (plain or gzip) with a header as one table of text columns.
 
-    Quoted cells may span lines, so by default a file is read by one task and a delivery of many
-    files by many.  With ``multi_line=False`` large files without such cells are split as well.  A
+    Quoted cells may span lines.  A delivery of small files is read by a task a file; where one is larger than
+    a block of ``spark.sql.files.maxPartitionBytes``, or with ``split=True``, records are found block by block
+    (:mod:`records`), so that one large file is read by many tasks.  With ``multi_line=False`` no cell may span lines.  A
     gzip file cannot be split: its rows are spread again before further work.  ``max_rows`` keeps
     the first rows only; by default everything is read.
     """
-    df = null_words(_reader(spark, multi_line).csv(list(paths)))
+    if split is None:
+        split = multi_line and not max_rows and records.largest_file(spark, *paths) > _block_bytes(spark)
+    df = null_words(_split_table(spark, *paths) if split else _reader(spark, multi_line).csv(list(paths)))
     if any(p.lower().endswith(".gz") for p in paths):
         df = df.repartition(spark.sparkContext.defaultParallelism)
     return df.limit(max_rows) if max_rows else df
 
 
+def _block_bytes(spark: SparkSession) -> int:
+    """``spark.sql.files.maxPartitionBytes`` in bytes."""
+    number, unit = re.fullmatch(r"(\d+)\s*([kmgt]?)i?b?", spark.conf.get("spark.sql.files.maxPartitionBytes").lower()).groups()
+    return int(number) << {"": 0, "k": 10, "m": 20, "g": 30, "t": 40}[unit]
+
+
+def _split_table(spark: SparkSession, *paths: str) -> DataFrame:
+    """The table of :func:`_reader` by records found block by block; a header other than the first file's stops the job."""
+    schema = _reader(spark).csv(list(paths)).schema
+    options = {"quote": '"', "escape": '"', "multiLine": "true", "mode": "PERMISSIVE"}
+    names = F.struct(*(F.lit(c).alias(c) for c in schema.names))
+    ddl = ", ".join("`" + c.replace("`", "``") + "` string" for c in schema.names)
+    parsed = records.records(spark, *paths).select("first", F.from_csv("record", ddl, options).alias("row"))
+    return parsed.where(F.when(F.col("first") & (F.col("row") != names), F.raise_error("headers of the files differ").cast("boolean"))
+                        .otherwise(~F.col("first"))).select("row.*")
+
+
 @dataclass
 class CappedTable:
     table: DataFrame
