@@ -322,8 +322,8 @@ def all_spans(text: str, field: Field | None) -> tuple[list[Span], list[Span]]:
 
 def sample(docs: DataFrame) -> list[str]:
     """Texts to learn from: the smallest hashes among those with a digit or sign; at most SAMPLE_TEXTS."""
-    some = docs.where(F.col("text").rlike("[0-9@]")).select("text").distinct()
-    keys = some.select(F.xxhash64("text").alias("k")).orderBy("k").limit(SAMPLE_TEXTS).agg(F.max("k")).first()[0]
+    some = docs.where(F.col("text").rlike("[0-9@]")).select(F.xxhash64("text").alias("k"), "text")
+    keys = some.select("k").distinct().orderBy("k").limit(SAMPLE_TEXTS).agg(F.max("k")).first()[0]      # hashes are shuffled, not texts
     if keys is None:
         return []
 
@@ -334,9 +334,10 @@ def sample(docs: DataFrame) -> list[str]:
             for text in part.column("text").to_pylist():
                 pieces = [text[t[0][0]:t[-1][1]] for t, _ in zip(regions(text), range(4))]
                 near.append("\n\n".join(pieces)[:4000])
-            yield pa.RecordBatch.from_arrays([pa.array(near, pa.string())], ["text"])
+            yield pa.RecordBatch.from_arrays([part.column("k"), pa.array(near, pa.string())], ["k", "text"])
 
-    return sorted(r[0] for r in some.where(F.xxhash64("text") <= keys).mapInArrow(cut, "text string").collect())
+    taken = some.where(F.col("k") <= keys).mapInArrow(cut, "k long, text string").groupBy("k").agg(F.min("text").alias("text"))
+    return sorted(r["text"] for r in taken.collect())
 
 
 def find(docs: DataFrame) -> DataFrame:
