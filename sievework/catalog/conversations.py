@@ -101,6 +101,61 @@ def condensed_conversations(spark: SparkSession, sf: str) -> DataFrame:
     return cv.condense(messages, old.groupBy("conv_id").agg(F.min("text").alias("summary")), KEEP)
 
 
+@operation("WIN-4", uses=["block_messages"], sql=f"""+
+m AS (SELECT conv_id, turn, role = 'user' AND coalesce(json_type(content) = 'ARRAY' AND
+    list_contains(json_extract_string(content, '$[*].type'), 'tool_result'), false) AS orphan FROM block_messages),
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM m),
+w AS (SELECT conv_id, min(turn) AS wanted FROM r WHERE rn <= {KEEP} GROUP BY 1)
+SELECT m.conv_id, count(*) AS n_turns,
+  coalesce(max(turn) FILTER (WHERE turn <= wanted AND NOT orphan), min(turn)) AS split_turn
+FROM m JOIN w ON m.conv_id = w.conv_id GROUP BY 1""")
+def block_splits(spark: SparkSession, sf: str) -> DataFrame:
+    """Where the kept part begins in conversations whose messages are made of blocks."""
+    return cv.recent_starts(cv.from_content(fixture(spark, sf, "block_messages")), KEEP)
+
+
+@operation("WIN-7", uses=["block_messages"], sql="""+
+b AS (SELECT conv_id, turn, unnest(json_extract(content, '$[*]')) AS b, unnest(range(CAST(json_array_length(content) AS BIGINT))) AS i
+  FROM block_messages WHERE json_type(content) = 'ARRAY'),
+p AS (SELECT conv_id, turn, i, CASE b ->> '$.type' WHEN 'text' THEN b ->> '$.text'
+    WHEN 'tool_use' THEN '[called tool: ' || coalesce(b ->> '$.name', '?') || ']'
+    WHEN 'tool_result' THEN '[tool result: ' || CASE WHEN length(b ->> '$.content') > 200 THEN substr(b ->> '$.content', 1, 200) || '…'
+      ELSE b ->> '$.content' END || ']' WHEN 'image' THEN '[image]' END AS part FROM b),
+j AS (SELECT conv_id, turn, string_agg(part, chr(10) ORDER BY i) AS body FROM p WHERE part <> '' GROUP BY 1, 2)
+SELECT m.conv_id, m.turn, upper(role) || ': ' || CASE WHEN json_type(content) = 'ARRAY' THEN coalesce(body, '')
+  ELSE coalesce(content ->> '$', '') END AS line FROM block_messages m LEFT JOIN j ON m.conv_id = j.conv_id AND m.turn = j.turn""")
+def block_lines(spark: SparkSession, sf: str) -> DataFrame:
+    """Line of every message made of blocks; a transcript is the lines of a conversation by turn."""
+    return cv.transcript_lines(cv.from_content(fixture(spark, sf, "block_messages")))
+
+
+@operation("WIN-8", sql=f"""
+WITH {_MARKED},
+r AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rn FROM m),
+w AS (SELECT conv_id, min(turn) AS wanted FROM r WHERE rn <= {KEEP} GROUP BY 1),
+g AS (SELECT m.conv_id, sum(length(text)) > {4 * CAP_TOKENS} AS over_cap,
+    coalesce(max(turn) FILTER (WHERE turn <= wanted AND NOT orphan), min(turn)) AS split FROM m JOIN w ON m.conv_id = w.conv_id GROUP BY 1),
+s AS (SELECT m.conv_id, min(text) AS summary FROM m JOIN g ON m.conv_id = g.conv_id
+  WHERE turn < split AND m.conv_id % 5 <> 0 GROUP BY 1),
+p AS (SELECT g.conv_id, over_cap, CASE WHEN over_cap AND summary IS NOT NULL THEN split END AS split, summary
+  FROM g LEFT JOIN s ON g.conv_id = s.conv_id),
+c AS (SELECT m.conv_id, turn AS position, role, text, orphan FROM m JOIN p ON m.conv_id = p.conv_id WHERE turn >= coalesce(split, 0)
+  UNION ALL SELECT conv_id, -2, 'user', '[Summary of ' || CAST(split AS varchar) || ' earlier turns]' || chr(10) || chr(10) || summary, false
+  FROM p WHERE split IS NOT NULL
+  UNION ALL SELECT conv_id, -1, 'assistant', '{cv.SUMMARY_REPLY}', false FROM p WHERE split IS NOT NULL),
+t AS (SELECT *, sum(length(text)) OVER (PARTITION BY conv_id ORDER BY position DESC) AS tail FROM c),
+f AS (SELECT conv_id, CASE WHEN max(tail) <= {4 * CAP_TOKENS} THEN min(position) ELSE
+    coalesce(min(position) FILTER (WHERE tail <= {4 * CAP_TOKENS} AND NOT orphan), max(position)) END AS head FROM t GROUP BY 1)
+SELECT c.conv_id, position, role, text, CASE WHEN NOT over_cap THEN 'keep' WHEN split IS NULL THEN 'trim'
+  WHEN head = -2 THEN 'condense' ELSE 'condense_trim' END AS action
+FROM c JOIN f ON c.conv_id = f.conv_id JOIN p ON c.conv_id = p.conv_id WHERE position >= head""")
+def budgeted_conversations(spark: SparkSession, sf: str) -> DataFrame:
+    """Conversations kept, condensed or trimmed to the budget; every fifth has no summary."""
+    messages = _marked(spark, sf)
+    old = cv.split_recent(messages, KEEP).where("part = 'old' AND conv_id % 5 <> 0")
+    return cv.fit_to_budget(messages, old.groupBy("conv_id").agg(F.min("text").alias("summary")), CAP_TOKENS, KEEP)
+
+
 _PHRASES = " OR ".join("contains(lower(answer), '{}')".format(p.replace("'", "''")) for p in cv.GIVE_UP_PHRASES)
 
 

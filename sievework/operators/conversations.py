@@ -1,8 +1,10 @@
 """Conversations: splitting, trimming to a budget, transcripts, and answer critique.
 
-Messages are ``(conv_id, turn, role, text)`` with one row per turn and an optional boolean column
-``orphan`` that marks a message answering a tool call.  ``turn`` numbers the messages of a
-conversation 0, 1, 2 and so on.  A single conversation may hold a large part of all messages:
+Messages are ``(conv_id, turn, role, text)`` with one row per turn, an optional boolean column
+``orphan`` that marks a message answering a tool call, and an optional number ``size`` of characters
+where that is not the length of ``text``.  :func:`from_content` makes them from messages of blocks.
+``turn`` numbers the messages of a conversation 0, 1, 2 and so on.  Rows without ``conv_id`` or
+``turn`` belong to no conversation.  A single conversation may hold a large part of all messages:
 boundaries are found by aggregates and by rank limits applied in every task, running sums are taken
 block by block, and neighbours meet through an equality join on (conv_id, turn).
 """
@@ -41,6 +43,15 @@ def _orphan(messages: DataFrame) -> Column:
     return F.coalesce(F.col("orphan"), F.lit(False)) if "orphan" in messages.columns else F.lit(False)
 
 
+def _size(messages: DataFrame) -> Column:
+    return F.coalesce("size", F.lit(0)) if "size" in messages.columns else F.length(F.coalesce("text", F.lit("")))
+
+
+def _sizes(messages: DataFrame) -> DataFrame:
+    """(conv_id, turn, size, orphan): what budgets need to know of the messages, without their texts."""
+    return messages.select("conv_id", "turn", _size(messages).alias("size"), _orphan(messages).alias("orphan"))
+
+
 def recent_starts(messages: DataFrame, keep: int = KEEP_RECENT) -> DataFrame:
     """(conv_id, n_turns, split_turn): the turn at which the kept part begins.
 
@@ -68,7 +79,7 @@ def split_recent(messages: DataFrame, keep: int = KEEP_RECENT) -> DataFrame:
 
 def rough_sizes(messages: DataFrame, cap_tokens: int) -> DataFrame:
     """Characters per conversation and whether they are few enough to skip counting tokens."""
-    sized = messages.groupBy("conv_id").agg(F.sum(F.length(F.coalesce("text", F.lit("")))).alias("n_chars"))
+    sized = messages.groupBy("conv_id").agg(F.sum(_size(messages)).alias("n_chars"))
     return sized.withColumn("needs_no_action", F.col("n_chars") < GATE_CHARS_PER_TOKEN * cap_tokens)
 
 
@@ -99,9 +110,7 @@ def trim_starts(messages: DataFrame, cap_tokens: int) -> DataFrame:
     The texts are read once, for their lengths; everything after works on (conv_id, turn, size).
     """
     cap_chars = CHARS_PER_TOKEN * cap_tokens
-    sized = materialize(messages.select(
-        "conv_id", "turn", F.length(F.coalesce("text", F.lit(""))).alias("size"), _orphan(messages).alias("is_orphan"),
-        F.floor(F.col("turn") / BLOCK).alias("block")), "message-sizes")
+    sized = materialize(_sizes(messages).withColumn("block", F.floor(F.col("turn") / BLOCK)), "message-sizes")
     blocks = materialize(_suffix_blocks(sized), "message-blocks")
     # The newest block whose own rows cross the budget decides; blocks after it are kept whole.
     totals = blocks.groupBy("conv_id").agg(
@@ -117,7 +126,7 @@ def trim_starts(messages: DataFrame, cap_tokens: int) -> DataFrame:
 
     bounds = sized.join(fits, "conv_id", "left").groupBy("conv_id").agg(
         F.min("turn").alias("oldest"), F.max("turn").alias("newest"),
-        F.min(F.when((F.col("turn") > F.col("too_old")) & ~F.col("is_orphan"), F.col("turn"))).alias("head"),
+        F.min(F.when((F.col("turn") > F.col("too_old")) & ~F.col("orphan"), F.col("turn"))).alias("head"),
         F.max("too_old").alias("too_old"))
     start = (F.when((F.col("n_chars") < GATE_CHARS_PER_TOKEN * cap_tokens) | F.col("too_old").isNull(),
                     F.col("oldest")).otherwise(F.coalesce("head", "newest")))
@@ -155,6 +164,32 @@ def has_tool_result(blocks: Column) -> Column:
     return F.coalesce(F.exists(blocks, lambda b: b["type"] == "tool_result"), F.lit(False))
 
 
+def from_content(messages: DataFrame) -> DataFrame:
+    """Messages from ``content``, JSON text or VARIANT, that is a text or a list of blocks.
+
+    Adds ``text`` (the body as transcripts show it), ``orphan`` (a user message with a tool result) and
+    ``size`` (characters of the text, or of the list as JSON).  Members of a list that are no objects and
+    blocks of other types show nothing; other JSON is shown as it is; null or unreadable content is empty.
+    The schema is found message by message; objects inside a tool result come out in key order.
+    """
+    whole = dict(messages.dtypes)["content"] == "variant"
+    read = messages.withColumn("content", F.col("content") if whole else F.try_parse_json("content"))
+    content = F.col("content")
+    kind = F.schema_of_variant(content)
+
+    def fields(b: Column) -> Column:
+        return F.struct(*[F.try_variant_get(b, f"$.{name}", "string").alias(name) for name in ("type", "text", "name", "content")])
+
+    blocks = F.transform(F.try_variant_get(content, "$", "array<variant>"), fields)
+    listed = F.when(kind.startswith("ARRAY"), blocks)
+    plain = F.coalesce(F.try_variant_get(content, "$", "string"), F.lit(""))
+    return read.select(
+        *[c for c in messages.columns if c not in ("content", "text", "orphan", "size")],
+        F.when(listed.isNotNull(), block_text(listed)).otherwise(plain).alias("text"),
+        (F.col("role").eqNullSafe(F.lit("user")) & has_tool_result(listed)).alias("orphan"),
+        F.length(plain).alias("size"))
+
+
 def transcripts(messages: DataFrame, lines_per_part: int = LINES_PER_TRANSCRIPT) -> DataFrame:
     """(conv_id, part, transcript): lines joined by blank lines, in parts of bounded length.
 
@@ -186,6 +221,47 @@ def condense(messages: DataFrame, summaries: DataFrame, keep: int = KEEP_RECENT)
     return header.unionByName(body)
 
 
+def fit_to_budget(messages: DataFrame, summaries: DataFrame, cap_tokens: int, keep: int = KEEP_RECENT) -> DataFrame:
+    """Messages that fit the budget: (conv_id, position, role, text, action).
+
+    A conversation within the budget stays (``keep``).  One beyond it has its old part replaced by a
+    summary pair (``condense``); where the pair and the recent part are still too many, the oldest of
+    these go as well (``condense_trim``).  One without an old part or without a summary of more than
+    blanks is trimmed as it is (``trim``).  Of several summaries of a conversation the first by text
+    counts.  Positions are those of :func:`condense`.
+
+    Every decision is taken on sizes; texts are read for their length and once more to be written.
+    """
+    sized = materialize(_sizes(messages), "budget-sizes")
+    over = (sized.groupBy("conv_id").agg(F.sum("size").alias("n_chars"))
+            .where(F.col("n_chars") > CHARS_PER_TOKEN * cap_tokens).select("conv_id"))
+    usable = summaries.where(F.trim("summary") != "").groupBy("conv_id").agg(F.min("summary").alias("summary"))
+    splits = recent_starts(sized, keep).where("split_turn > 0").select("conv_id", "split_turn")
+    plan = materialize(over.join(splits.join(usable, "conv_id"), "conv_id", "left").select(
+        "conv_id", "split_turn", F.format_string(SUMMARY_NOTE, "split_turn", "summary").alias("note")), "budget-plan")
+
+    condensed = plan.where("split_turn IS NOT NULL")
+    pair = F.array(*[F.struct(F.lit(position).cast("bigint").alias("position"), F.lit(role).alias("role"), text.alias("text"))
+                     for position, role, text in [(-2, "user", F.col("note")), (-1, "assistant", F.lit(SUMMARY_REPLY))]])
+    pairs = condensed.select("conv_id", F.inline(pair))
+    recent = sized.join(condensed.select("conv_id", "split_turn"), "conv_id", "left").where(
+        F.col("split_turn").isNull() | (F.col("turn") >= F.col("split_turn"))).drop("split_turn")
+    candidates = recent.unionByName(pairs.select(
+        "conv_id", F.col("position").alias("turn"), F.length("text").alias("size"), F.lit(False).alias("orphan")))
+
+    starts = trim_starts(candidates, cap_tokens).select("conv_id", "first_turn")
+    marked = plan.select("conv_id", "split_turn", F.lit(True).alias("over"))
+    decided = materialize(starts.join(marked, "conv_id", "left").select(
+        "conv_id", "first_turn", F.greatest("first_turn", "split_turn").alias("from_turn"),      # a null split does not count
+        F.when(F.col("over").isNull(), "keep").when(F.col("split_turn").isNull(), "trim")
+        .when(F.col("first_turn") == -2, "condense").otherwise("condense_trim").alias("action")), "budget-decisions")
+    header = pairs.join(decided, "conv_id").where(F.col("position") >= F.col("first_turn"))
+    body = (messages.select("conv_id", F.col("turn").alias("position"), "role", "text").join(decided, "conv_id")
+            .where(F.col("position") >= F.col("from_turn")))
+    kept = ["conv_id", "position", "role", "text", "action"]
+    return header.select(*kept).unionByName(body.select(*kept))
+
+
 def question_answers(messages: DataFrame) -> DataFrame:
     """User messages with the assistant message that follows: (conv_id, turn, question, answer).
 

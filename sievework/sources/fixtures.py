@@ -142,3 +142,18 @@ SELECT concat(cast(l_orderkey AS string), '-', cast(l_linenumber AS string)) AS
        ELSE concat(l_returnflag, ' ') END AS flag
 FROM lineitem
 """
+
+SQL["block_messages"] = """
+WITH q AS (
+  SELECT conv_id, turn, role, concat('"', replace(replace(replace(replace(replace(text, chr(92), concat(chr(92), chr(92))),
+    '"', concat(chr(92), '"')), chr(10), concat(chr(92), 'n')), chr(13), concat(chr(92), 'r')), chr(9), concat(chr(92), 't')), '"') AS t
+  FROM conversations)
+SELECT conv_id, turn, role,
+  CASE WHEN turn % 4 = 1 THEN concat('[{"type":"text","text":', t, '},{"type":"tool_use","id":7,"name":"search"},{"type":"tool_use"}]')
+       WHEN turn % 4 = 2 AND conv_id % 3 = 0 THEN concat('[{"type":"tool_result","content":[{"text":', t, ',"type":"text"}]}]')
+       WHEN turn % 4 = 2 THEN concat('[{"type":"tool_result","content":', t, '},"stray",{"type":"other"}]')
+       WHEN turn % 4 = 3 THEN concat('[{"type":"image"},{"type":"text","text":', t, '}]')
+       WHEN conv_id % 17 = 5 THEN NULL
+       ELSE t END AS content
+FROM q
+"""

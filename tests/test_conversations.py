@@ -54,6 +54,58 @@ def test_many_conversations_are_trimmed_apart(spark):
     assert [tuple(r) for r in kept] == [(1, 2), (2, 3)]
 
 
+def fitted(sizes, orphans, summary, cap, keep):
+    """The budget decision, one conversation at a time: action, then positions that stay."""
+    turns = list(range(len(sizes)))
+    if sum(sizes) <= 4 * cap:
+        return "keep", turns
+    split = max(0, len(sizes) - keep)
+    while split and split in orphans:
+        split -= 1
+    if not split or not (summary or "").strip():
+        return "trim", turns[kept_by_dropping(sizes, orphans, cap):]
+    positions = [-2, -1] + turns[split:]
+    pair = [len(cv.SUMMARY_NOTE % (split, summary)), len(cv.SUMMARY_REPLY)]
+    head = kept_by_dropping(pair + sizes[split:], {positions.index(t) for t in orphans if t >= split}, cap)
+    return ("condense_trim" if head else "condense"), positions[head:]
+
+
+def test_budget_decisions_match_one_by_one(spark, monkeypatch):
+    rng = random.Random(4)
+    monkeypatch.setattr(cv, "BLOCK", 3)
+    rows, summaries, wanted = [], [], {}
+    for conv in range(80):
+        sizes = [rng.choice([0, 20, 90, 200]) for _ in range(rng.randint(1, 14))]
+        orphans = {i for i in range(len(sizes)) if rng.random() < 0.3}
+        summary = rng.choice([None, "  ", "s" * 10, "s" * 150])
+        rows += [(conv, i, "user" if i % 2 == 0 else "assistant", "x" * n if n else None, i in orphans) for i, n in enumerate(sizes)]
+        summaries += [(conv, summary)] if rng.random() < 0.9 else []
+        wanted[conv] = fitted(sizes, orphans, summary if summaries and summaries[-1][0] == conv else None, 60, 3)
+    got = {}
+    out = cv.fit_to_budget(spark.createDataFrame(rows, SCHEMA), spark.createDataFrame(summaries, "conv_id bigint, summary string"), 60, 3)
+    for r in out.orderBy("conv_id", "position").collect():
+        got.setdefault(r["conv_id"], (r["action"], []))[1].append(r["position"])
+    assert got == wanted
+    assert {a for a, _ in got.values()} == {"keep", "condense", "condense_trim", "trim"}
+    assert cv.fit_to_budget(spark.createDataFrame([], SCHEMA), spark.createDataFrame([], "conv_id bigint, summary string"), 60).count() == 0
+
+
+def test_messages_of_blocks(spark):
+    cases = [
+        ("user", '"plain"', "plain", False), ("user", None, "", False), ("user", "{broken", "", False), ("user", "[]", "", False),
+        ("user", "7", "7", False), ("user", '{"b":1}', '{"b":1}', False), (None, '[{"type":"tool_result"}]', "[tool result: ]", False),
+        ("user", '[{"type":"tool_result","content":"%s"}, 3, null, {"type":"text"}]' % ("r" * 201), "[tool result: " + "r" * 200 + "…]", True),
+        ("assistant", '[{"type":"text","text":"a"},{"type":"tool_use","name":"f"},{"type":"tool_use"},{"type":"image"}]',
+         "a\n[called tool: f]\n[called tool: ?]\n[image]", False),
+        ("assistant", '[{"type":"tool_result","content":[1,{"k":2}]}]', '[tool result: [1,{"k":2}]]', False)]
+    rows = [(1, i, role, content, "old") for i, (role, content, _, _) in enumerate(cases)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, content string, text string")
+    for given in (frame, frame.withColumn("content", F.try_parse_json("content"))):
+        got = cv.from_content(given).orderBy("turn").collect()
+        assert [(r["text"], r["orphan"]) for r in got] == [(text, orphan) for _, _, text, orphan in cases]
+    assert cv.recent_starts(cv.from_content(frame), 3).first()["split_turn"] == 6
+
+
 def test_transcript_parts_and_lines(spark):
     parts = cv.transcripts(conversation(spark, [1, 2, 3]), lines_per_part=2).orderBy("part").collect()
     assert [p["transcript"] for p in parts] == ["USER: x\n\nASSISTANT: xx", "USER: xxx"]
