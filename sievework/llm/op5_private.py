@@ -6,7 +6,9 @@ digits, separators, checksums, borders and the word before.  The field scores se
 the region, segments of at most LONGEST tokens and single tokens outside, by segment and by neighbouring types.
 A forward-backward pass over segment ends gives the probability of each segment, and a Viterbi pass of
 the same bounded length picks boundaries and types together.  A picked segment is added when its probability
-is at least SURE and it overlaps no base span.
+is at least SURE and it overlaps no base span.  Candidates have as many opening as closing brackets and at most
+WIDEST characters.  The passes slide over a region of any length block by block: scores are held for one block only,
+and the way back for the probabilities works them out again, from forward states kept at the borders of blocks.
 
 The weights are learned by gradient ascent on the conditional likelihood of regions whose segmentation is
 known: base spans in at most SAMPLE_TEXTS texts, chosen by a hash of the text among those with
@@ -20,6 +22,7 @@ A null text counts as empty and has no span.  Every input row gives one row, rep
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,6 +42,8 @@ _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz01234567
 
 #: Tokens of a segment at most, and characters of a region to each side of a digit or sign.
 LONGEST, AROUND = 16, 24
+#: Characters of a segment at most; ends held at a time.
+WIDEST, BLOCK = 120, 2048
 SAMPLE_TEXTS, SAMPLE_REGIONS, ROUNDS = 2000, 400, 12
 SURE = 0.95
 #: Words that announce a kind.
@@ -53,6 +58,7 @@ Span = tuple[str, int, int]
 
 _TOKEN = re.compile(r"[A-Za-z]+|[0-9]+|.", re.S)
 _TRIGGER = re.compile(r"[0-9@]")
+_WORD, _NO_DIGIT, _OTHER = re.compile(r"[A-Za-z]+"), re.compile(r"[^0-9]+"), re.compile(r"\W|_")
 _OUTSIDE = len(KINDS)
 
 
@@ -97,7 +103,7 @@ def base_spans(text: str) -> list[Span]:
     return found
 
 
-def regions(text: str) -> Iterator[list[tuple[int, int]]]:
+def regions(text: str) -> Iterator[np.ndarray]:
     """Tokens of each stretch of text near digits and signs."""
     start = stop = None
     for m in _TRIGGER.finditer(text):
@@ -112,8 +118,10 @@ def regions(text: str) -> Iterator[list[tuple[int, int]]]:
         yield _tokens(text, start, stop)
 
 
-def _tokens(text: str, start: int, stop: int) -> list[tuple[int, int]]:
-    return [m.span() for m in _TOKEN.finditer(text, max(0, start), min(len(text), stop))]
+def _tokens(text: str, start: int, stop: int) -> np.ndarray:
+    """Start and stop of every token, a row each."""
+    found = _TOKEN.finditer(text, max(0, start), min(len(text), stop))
+    return np.fromiter((at for m in found for at in m.span()), np.int64).reshape(-1, 2)
 
 
 FEATURES = 26
@@ -121,41 +129,40 @@ FEATURES = 26
 
 def features(text: str, start: int, stop: int, hide_plus: bool = False) -> np.ndarray | None:
     """What a segment looks like as a whole; null for segments no kind can take."""
+    look = _look(text, start, stop, _cue(text, start), hide_plus)
+    return None if look is None else np.array(look, float)
+
+
+def _cue(text: str, start: int) -> str:
+    """The word before a segment."""
+    before = _WORD.findall(text, max(0, start - 20), start)
+    return before[-1].lower() if before else ""
+
+
+def _look(text: str, start: int, stop: int, cue: str, hide_plus: bool = False) -> list | None:
+    if stop - start > WIDEST:
+        return None
     part = text[start:stop]
-    if not (part[0].isalnum() or part[0] in "+(") or not part[-1].isalnum():
+    if not (part[0].isalnum() or part[0] in "+(") or not part[-1].isalnum() or part.count("(") != part.count(")"):
         return None
-    n = sum("0" <= c <= "9" for c in part)
-    sign = part.count("@")
-    if not n and not sign or len(part) > 120:
+    digits = _NO_DIGIT.sub("", part)
+    n, sign = len(digits), part.count("@")
+    if not n and not sign:
         return None
-    f = np.zeros(FEATURES)
-    f[0] = 1
-    plus = part[0] == "+" and not hide_plus
-    digits = "".join(c for c in part if "0" <= c <= "9")
-    letters = sum(c.isalpha() for c in part)
-    pieces = part.split(".")
-    f[1] = plus
-    f[2 + (0 if n < 7 else 1 if n < 10 else 2 if n < 12 else 3 if n < 16 else 4 if n < 20 else 5)] = 1
-    f[8] = len(pieces) == 4 and all(p.isascii() and p.isdigit() and _is_octet(p) for p in pieces)
-    f[9] = 16 <= n <= 19 and luhn(digits)
-    f[10] = sign == 1
-    f[11] = sign > 1
-    f[12] = sign == 1 and "." in part.split("@")[1]
-    f[13] = letters > 0 and not sign
-    f[14] = bool(sign) and any(c.isspace() for c in part)
-    others = [c for c in part[1:] if not c.isalnum()]
-    f[15] = len(others) >= 2 and not sign
-    f[16] = any(c not in " ().-" for c in others) and not sign
-    f[17] = start > 0 and (text[start - 1].isalnum() or text[start - 1] in "@+._-") and not (hide_plus and text[start - 1] == "+")
-    f[18] = stop < len(text) and (text[stop].isalnum() or text[stop] == "@")
-    f[19] = not n
-    f[20] = "  " in part
-    f[21] = bool(digits) and len(set(digits)) <= 2
-    before = re.findall(r"[A-Za-z]+", text[max(0, start - 20):start])
-    cue = before[-1].lower() if before else ""
-    for k, kind in enumerate(KINDS):
-        f[22 + k] = cue in CUES[kind]
-    return f
+    pieces, others = part.split("."), _OTHER.findall(part, 1)
+    letters = any(map(str.isalpha, part))
+    size = 0 if n < 7 else 1 if n < 10 else 2 if n < 12 else 3 if n < 16 else 4 if n < 20 else 5
+    return [
+        1, part[0] == "+" and not hide_plus, size == 0, size == 1, size == 2, size == 3, size == 4, size == 5,
+        len(pieces) == 4 and all(p.isascii() and p.isdigit() and _is_octet(p) for p in pieces),
+        16 <= n <= 19 and luhn(digits),
+        sign == 1, sign > 1, sign == 1 and "." in part.split("@")[1], letters and not sign,
+        sign > 0 and any(map(str.isspace, part)),
+        len(others) >= 2 and not sign, not sign and any(c not in " ().-" for c in others),
+        start > 0 and (text[start - 1].isalnum() or text[start - 1] in "@+._-") and not (hide_plus and text[start - 1] == "+"),
+        stop < len(text) and (text[stop].isalnum() or text[stop] == "@"),
+        not n, "  " in part, n > 0 and len(set(digits)) <= 2,
+        *[cue in CUES[kind] for kind in KINDS]]
 
 
 class Field:
@@ -229,6 +236,111 @@ class Field:
             end, y = i, before
         return out[::-1]
 
+    def _scored(self, text: str, tokens: np.ndarray, lo: int, hi: int) -> list[tuple[np.ndarray, np.ndarray] | None]:
+        """For each end after lo, up to hi: lengths in tokens of the segments that end there, longest first, and their scores."""
+        first = max(0, lo - LONGEST)
+        here = tokens[first:hi].tolist()
+        opens = [text[a].isalnum() or text[a] in "+(" for a, _ in here]
+        cues, marks = [_cue(text, a) if ok else "" for (a, _), ok in zip(here, opens)], [0]
+        for a, _ in here:
+            marks.append(marks[-1] + (text[a] in "0123456789@"))
+        out: list[tuple[np.ndarray, np.ndarray] | None] = []
+        for end in range(lo - first + 1, hi - first + 1):
+            stop, lengths, rows = here[end - 1][1], [], []
+            if text[stop - 1].isalnum():
+                for i in range(max(0, end - LONGEST), end):
+                    if opens[i] and marks[end] > marks[i]:
+                        f = _look(text, here[i][0], stop, cues[i])
+                        if f is not None:
+                            lengths.append(end - i)
+                            rows.append(f)
+            out.append((np.array(lengths), np.array(rows, float) @ self.weights.T) if rows else None)
+        return out
+
+    def _best_ahead(self, scored, edge: np.ndarray, choice: np.ndarray) -> np.ndarray:
+        """Best scores of the last LONGEST + 1 ends, going on from those before the block; choices go to ``choice``."""
+        kinds, old = np.arange(len(KINDS)), len(edge)
+        ways = edge[:, :, None] + self.steps
+        into = np.concatenate([ways.max(1), np.empty((len(scored), len(KINDS) + 1))])
+        came = np.concatenate([ways.argmax(1), np.zeros((len(scored), len(KINDS) + 1), int)])
+        total = np.concatenate([edge, np.full((len(scored), len(KINDS) + 1), -np.inf)])
+        for k, segments in enumerate(scored):
+            at = old + k
+            total[at, _OUTSIDE] = into[at - 1, _OUTSIDE]
+            choice[k, _OUTSIDE] = 1, came[at - 1, _OUTSIDE]
+            if segments:
+                lengths, s = segments
+                value = into[at - lengths, :_OUTSIDE] + s
+                top = value.argmax(0)
+                total[at, :_OUTSIDE] = value[top, kinds]
+                choice[k, :_OUTSIDE, 0] = lengths[top]
+                choice[k, :_OUTSIDE, 1] = came[at - lengths[top], kinds]
+            way = total[at][:, None] + self.steps
+            into[at], came[at] = way.max(0), way.argmax(0)
+        return total[-old:]
+
+    def _sums_ahead(self, scored, edge: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Log sums at the ends of a block and LONGEST + 1 before it, and what they give to each type that follows."""
+        old = len(edge)
+        total = np.concatenate([edge, np.full((len(scored), len(KINDS) + 1), -np.inf)])
+        into = np.concatenate([_log_sum((edge[:, :, None] + self.steps).swapaxes(0, 1)), np.empty((len(scored), len(KINDS) + 1))])
+        for k, segments in enumerate(scored):
+            at = old + k
+            total[at, _OUTSIDE] = into[at - 1, _OUTSIDE]
+            if segments:
+                total[at, :_OUTSIDE] = _log_sum(into[at - segments[0], :_OUTSIDE] + segments[1])
+            into[at] = _log_sum(total[at][:, None] + self.steps)
+        return total, into
+
+    def slide(self, text: str, tokens: np.ndarray) -> list[tuple[int, int, int, float]]:
+        """What ``segments`` gives, in memory of ten bytes a token and one block of scores."""
+        n, old = len(tokens), LONGEST + 1
+        choice = np.zeros((n + 1, len(KINDS) + 1, 2), np.int8)
+        best = np.full((old, len(KINDS) + 1), -np.inf)
+        best[-1, _OUTSIDE] = 0
+        edges, scored = [best], []
+        for lo in range(0, n, BLOCK):
+            scored = self._scored(text, tokens, lo, min(n, lo + BLOCK))
+            best = self._best_ahead(scored, best, choice[lo + 1:])
+            if n > BLOCK:
+                edges.append(self._sums_ahead(scored, edges[-1])[0][-old:])
+        end, y, path = n, int(best[-1].argmax()), []
+        while end:
+            back, before = map(int, choice[end, y])
+            if y != _OUTSIDE:
+                path.append((end - back, end, y))
+            end, y = end - back, before
+        if not path:
+            return []
+
+        if n <= BLOCK:
+            edges.append(self._sums_ahead(scored, edges[0])[0][-old:])
+        norm = _log_sum(edges[-1][-1])
+        out, todo = [], {end: (i, y) for i, end, y in path}
+        carry = np.full((old, len(KINDS) + 1), -np.inf)       # by end and type of the next segment
+        for b in range(len(edges) - 2, -1, -1):
+            lo, hi = b * BLOCK, min(n, b * BLOCK + BLOCK)
+            if hi < n:
+                scored = self._scored(text, tokens, lo, hi)
+            into = self._sums_ahead(scored, edges[b])[1]
+            after = np.concatenate([np.full((hi - lo, len(KINDS) + 1), -np.inf), carry])
+            for end in range(hi, lo, -1):
+                at = end - lo + LONGEST
+                rest = _log_sum((self.steps + after[at]).T) if end < n else np.zeros(len(KINDS) + 1)
+                segments = scored[end - lo - 1]
+                if end in todo:
+                    i, y = todo.pop(end)
+                    score = segments[1][list(segments[0]).index(end - i), y]
+                    out.append((i, end, y, float(np.exp(into[i - lo + LONGEST, y] + score + rest[y] - norm))))
+                    if not todo:
+                        return out[::-1]
+                after[at - 1, _OUTSIDE] = rest[_OUTSIDE]
+                if segments:
+                    before = at - segments[0]
+                    after[before, :_OUTSIDE] = np.logaddexp(after[before, :_OUTSIDE], segments[1] + rest[:_OUTSIDE])
+            carry = after[:old]
+        return out[::-1]
+
     def gradient(self, lattice, gold: dict[tuple[int, int], int]) -> tuple[np.ndarray, np.ndarray]:
         """Observed less expected features and steps of a region."""
         scores = self.scores(lattice)
@@ -259,10 +371,7 @@ class Field:
 
 
 def _log_sum(a: np.ndarray) -> np.ndarray:
-    top = a.max(0)
-    safe = np.where(np.isfinite(top), top, 0)
-    with np.errstate(divide="ignore"):
-        return safe + np.log(np.exp(a - safe).sum(0))
+    return np.logaddexp.reduce(a, 0)
 
 
 def _gold(field: Field, lattice, tokens, spans: list[Span]) -> dict[tuple[int, int], int]:
@@ -308,14 +417,18 @@ def all_spans(text: str, field: Field | None) -> tuple[list[Span], list[Span]]:
     base = base_spans(text)
     if field is None:
         return base, []
-    covered, added = [(s, e) for _, s, e in base], []
+    covered: list[list[int]] = []           # what base spans cover, without overlaps
+    for _, start, stop in sorted(base, key=lambda span: span[1]):
+        if covered and start < covered[-1][1]:
+            covered[-1][1] = max(stop, covered[-1][1])
+        else:
+            covered.append([start, stop])
+    stops, added = [stop for _, stop in covered], []
     for tokens in regions(text):
-        lo, hi = tokens[0][0], tokens[-1][1]
-        scores = field.scores(field.lattice(text, tokens))
-        near = [(s, e) for s, e in covered if s < hi and e > lo]
-        for i, end, y, p in field.segments(scores):
-            start, stop = tokens[i][0], tokens[end - 1][1]
-            if p >= SURE and not any(s < stop and start < e for s, e in near):
+        for i, end, y, p in field.slide(text, tokens):
+            start, stop = int(tokens[i][0]), int(tokens[end - 1][1])
+            next_ = bisect_right(stops, start)
+            if p >= SURE and not (next_ < len(covered) and covered[next_][0] < stop):
                 added.append((KINDS[y], start, stop))
     return base, added
 

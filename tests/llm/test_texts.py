@@ -209,6 +209,34 @@ def test_field_sums_are_those_of_all_segmentations():
         assert p == pytest.approx(sum(np.exp(s - norm) for s, path in every if (i, j, y) in path))
 
 
+def test_sliding_is_the_whole_region(monkeypatch):
+    """Blocks shorter and longer than a segment give what the passes over the whole lattice give."""
+    rnd = np.random.default_rng(5)
+    for case, text in enumerate(private_texts()[:60] + ["1 2 (3) 4@5.6 " * 12, "", "(1", "1)(2)"]):
+        tokens = op5_private._tokens(text, 0, len(text))
+        field = op5_private.Field(rnd.normal(size=(4, op5_private.FEATURES)), rnd.normal(size=(5, 5)))
+        wanted = field.segments(field.scores(field.lattice(text, tokens)))
+        monkeypatch.setattr(op5_private, "BLOCK", [3, 16, 17, 50, 2048][case % 5])
+        got = field.slide(text, tokens)
+        assert [g[:3] for g in got] == [w[:3] for w in wanted]
+        assert [g[3] for g in got] == pytest.approx([w[3] for w in wanted])
+
+
+def test_brackets_and_long_regions():
+    """Numbers in brackets are found whole; a long run of numbers takes bounded memory."""
+    import tracemalloc
+
+    field = op5_private.train([f"call +49 (30) {1000000 + 7919 * k % 8999999} now, mail a{k}@b.org or see {k} of 10.0.0.{k}" for k in range(60)])
+    text = "please call (555) 123-4567 now"
+    for i, end, _, _ in field.slide(text, op5_private._tokens(text, 0, len(text))):
+        assert text[:12].count("(") == 0 and op5_private._tokens(text, 0, len(text))[i][0] == 12
+    assert op5_private.features("(555) 123", 0, 9) is not None and op5_private.features("(555) 123", 1, 9) is None
+    tracemalloc.start()
+    op5_private.all_spans("12 3 " * 4000, field)
+    assert tracemalloc.get_traced_memory()[1] < 12_000_000
+    tracemalloc.stop()
+
+
 def test_private_rows(spark):
     rows = [(k, f"call +49 30 12345{k:03d} or mail a{k}@b.org from 10.0.0.{k}") for k in range(30)] + AWKWARD
     got = op5_private.find_digest(frame(spark, rows)).collect()
