@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -56,8 +56,8 @@ def repair(df: DataFrame, profile: pf.TableProfile | None = None, final_dedupe:
     """Trim, drop copies, coerce kinds, unify spellings and fill what is missing, in that order.
 
     The one shuffle that moves whole rows is the one that drops copies; its result, already coerced
-    and unified, is written once.  Counts and medians then read only the columns they use, and
-    filling is a projection over those files.
+    and unified, is written once.  Rows, rewritten dates and missing cells are counted as it is written,
+    medians then read only the columns they use, and filling is a projection over those files.
     """
     profile = profile or pf.profile_table(df)
     dates = [c for c, kind in profile.kinds.items() if kind == "date"]
@@ -65,22 +65,25 @@ def repair(df: DataFrame, profile: pf.TableProfile | None = None, final_dedupe:
     marks = [(~pf.quoted(c).eqNullSafe(tx.to_iso(pf.quoted(c)))).alias(f"__rewritten_{i}") for i, c in enumerate(dates)]
     spellings = {c: m for c, m in profile.trimmed_spellings.items() if c not in profile.kinds}
     fixed = rp.apply_spellings(rp.coerce_kinds(unique.select("*", *marks), profile.kinds), spellings)
-    stored = materialize(fixed, "recovered")
-    recovered = stored.select(*[pf.quoted(c) for c in df.columns])
-    counts = stored.agg(F.count(F.lit(1)), *[F.count_if(f"__rewritten_{i}") for i in range(len(dates))]).first()
+    watch = Observation()
+    counted = fixed.observe(watch, F.count(F.lit(1)).alias("rows"),
+                            *[F.count_if(f"__rewritten_{i}").alias(f"rewritten_{i}") for i in range(len(dates))])
+    watched, holes = pf.watch_columns(counted, df.columns, _hole_counts(fixed))
+    recovered = materialize(watched, "recovered").select(*[pf.quoted(c) for c in df.columns])
+    counts = watch.get
 
     done = Repair(recovered, recovered, profile)
     _log(done, 1, "", "trimmed", sum(profile.trimmed.values()))
-    _log(done, 2, "", "deduplicated", profile.n_rows - counts[0])
-    rewritten = dict(zip(dates, counts[1:]))
+    _log(done, 2, "", "deduplicated", profile.n_rows - counts["rows"])
+    rewritten = {c: counts[f"rewritten_{i}"] for i, c in enumerate(dates)}
     for c, kind in profile.kinds.items():
         if kind == "date":
             _log(done, 3, c, "date", rewritten[c])
         else:
-            done.steps.append((3, c, kind, counts[0]))
+            done.steps.append((3, c, kind, counts["rows"]))
     for c, mapping in spellings.items():
         _log(done, 4, c, "canonicalised", len(mapping))
-    done.table, done.n_imputed = impute(recovered, counts[0])
+    done.table, done.n_imputed = impute(recovered, counts["rows"], holes())
     _log(done, 5, "", "imputed", done.n_imputed)
     if final_dedupe:
         done.table = rp.drop_copies(done.table)
@@ -92,11 +95,17 @@ def _log(done: Repair, step: int, column: str, action: str, n: int) -> None:
         done.steps.append((step, column, action, n))
 
 
-def impute(df: DataFrame, n_rows: int) -> tuple[DataFrame, int]:
-    """Fill missing cells: exact median where most of a column is numeric, else the placeholder."""
-    measured = pf.aggregate_columns(df, df.columns, lambda name, c: {
-        "missing": F.count_if(pf.missing_word(df, name)),
-        "numeric": F.count(rp.as_number(df, name))})
+def _hole_counts(df: DataFrame):
+    """Measures of a column that say how it is filled."""
+    return lambda name, c: {"missing": F.count_if(pf.missing_word(df, name)), "numeric": F.count(rp.as_number(df, name))}
+
+
+def impute(df: DataFrame, n_rows: int, measured: dict[str, dict[str, int]] | None = None) -> tuple[DataFrame, int]:
+    """Fill missing cells: exact median where most of a column is numeric, else the placeholder.
+
+    ``measured`` are the counts of missing and numeric cells of each column, where they are known already.
+    """
+    measured = measured or pf.aggregate_columns(df, df.columns, _hole_counts(df))
     holes = {c: m for c, m in measured.items() if m["missing"]}
     numeric = {c: m["numeric"] for c, m in holes.items() if m["numeric"] / n_rows > NUMERIC_SHARE}
     numbers = df.select(*[rp.as_number(df, c).alias(c) for c in numeric])
