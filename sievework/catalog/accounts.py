@@ -73,6 +73,24 @@ def usage_text(spark: SparkSession, sf: str) -> DataFrame:
     return reports.usage_lines(ac.usage_totals(usage), ac.model_costs(usage, _pricing(spark)))
 
 
+@operation("JOB-8 AGG-20 AGG-22", uses=["usage_log"], sql=f"""+ {_COSTS},
+t AS (SELECT sum(calls) AS calls, sum(input_tokens) AS i, sum(output_tokens) AS o, sum(cache_read) AS r, sum(cache_write) AS w,
+  (SELECT max(ts) FROM usage_log) AS last FROM m)
+SELECT 1 AS section, '' AS model, format('Total chat calls : {{:,}}', CAST(calls AS BIGINT)) AS line FROM t
+UNION ALL SELECT 2, '', format('Total input tokens : {{:,}}', CAST(i AS BIGINT)) FROM t
+UNION ALL SELECT 3, '', format('Total output tokens : {{:,}}', CAST(o AS BIGINT)) FROM t
+UNION ALL SELECT 4, '', format('Cache read tokens : {{:,}}', CAST(r AS BIGINT)) FROM t
+UNION ALL SELECT 5, '', format('Cache write tokens : {{:,}}', CAST(w AS BIGINT)) FROM t
+UNION ALL SELECT 6, '', 'By model:'
+UNION ALL SELECT 7, c.model, format('{{}}: {{:,}} calls | {{:,}} in / {{:,}} out | ~${{:.4f}}', c.model, c.calls, input_tokens,
+  output_tokens, cost_usd) FROM c JOIN m ON c.model = m.model
+UNION ALL SELECT 8, '', format('Estimated total cost : ~${{:.4f}} USD', sum(cost_usd)) FROM c
+UNION ALL SELECT 9, '', 'Last updated : ' || strftime(last, '%Y-%m-%d %H:%M:%S') FROM t""")
+def usage_report(spark: SparkSession, sf: str) -> DataFrame:
+    """Totals, lines per model, cost and time of the last call as one block of text lines."""
+    return reports.usage_report(fixture(spark, sf, "usage_log"), _pricing(spark))
+
+
 @operation("AGG-23", uses=["eval_scores"], sql="""
 SELECT metric, round(avg(score), 6) AS mean, count(score) AS n_scored FROM eval_scores GROUP BY metric""")
 def metric_means(spark: SparkSession, sf: str) -> DataFrame:

@@ -47,9 +47,23 @@ def usage_totals(usage: DataFrame) -> DataFrame:
 def model_costs(usage: DataFrame, pricing: DataFrame) -> DataFrame:
     """Cost per model; models without a price use the default.  Joined after the sums, one row a model."""
     priced = usage_by_model(usage).join(pricing, "model", "left")
-    cost = (F.col("input_tokens") / 1e6 * F.coalesce("input_price", F.lit(DEFAULT_INPUT_PRICE))
+    return priced.select("model", "calls", _cost().alias("cost_usd"))
+
+
+def _cost() -> Column:
+    return (F.col("input_tokens") / 1e6 * F.coalesce("input_price", F.lit(DEFAULT_INPUT_PRICE))
             + F.col("output_tokens") / 1e6 * F.coalesce("output_price", F.lit(DEFAULT_OUTPUT_PRICE)))
-    return priced.select("model", "calls", cost.alias("cost_usd"))
+
+
+def priced_usage(usage: DataFrame, pricing: DataFrame) -> DataFrame:
+    """Calls, tokens, cost and time of the last call per model from one scan of the log."""
+    last = usage.groupBy("model").agg(
+        F.count(F.lit(1)).alias("calls"),
+        *[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("input_tokens", "output_tokens", "cache_read", "cache_write")],
+        F.max("ts").alias("last_call"))
+    return last.join(pricing, "model", "left").select(
+        "model", "calls", "input_tokens", "output_tokens", "cache_read", "cache_write", "last_call",
+        _cost().alias("cost_usd"))
 
 
 def cost_summary(usage: DataFrame, pricing: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators import accounting as ac
 from . import single_table as st
 
 # --- fixed values: report lines --------------------------------------------------------------------
@@ -17,6 +18,14 @@ ESCALATED_LINE = ("  escalated: the first score was inflated by imputation, so {
                   "and the data re-scored.")
 EARNED_LINE = "  no escalation needed: the score was earned, not imputed."
 USAGE_LINE = "%s: %,d calls | %,d in / %,d out | ~$%.4f"
+USAGE_TOTALS = [("Total chat calls : %,d", "calls"), ("Total input tokens : %,d", "input_tokens"),
+                ("Total output tokens : %,d", "output_tokens"), ("Cache read tokens : %,d", "cache_read"),
+                ("Cache write tokens : %,d", "cache_write")]
+MODELS_LINE = "By model:"
+TOTAL_COST_LINE = "Estimated total cost : ~$%.4f USD"
+UPDATED_LINE = "Last updated : %s"
+NO_USAGE_LINE = "No usage data recorded yet."
+NEVER, UNNAMED = "never", "(unnamed)"
 # -----------------------------------------------------------------------------------------------------
 
 
@@ -47,3 +56,27 @@ def usage_lines(totals: DataFrame, costs: DataFrame) -> DataFrame:
     return totals.join(costs.select("model", "cost_usd"), "model").select(
         "model", F.format_string(USAGE_LINE, "model", "calls", "input_tokens",
                                  "output_tokens", "cost_usd").alias("line"))
+
+
+def usage_report(usage: DataFrame, pricing: DataFrame) -> DataFrame:
+    """(section, model, line): the totals, a line a model, the cost and the last call, in the order of section and model.
+
+    The log is aggregated once; the totals are sums over its models.  Lines of totals have an empty
+    model, calls without a model are listed as unnamed, missing tokens count as none, and an empty
+    log gives one line that says so.
+    """
+    models = ac.priced_usage(usage, pricing).withColumn("model", F.coalesce("model", F.lit(UNNAMED)))
+    values = [*(c for _, c in USAGE_TOTALS), "cost_usd"]
+    totals = models.agg(*[F.sum(c).alias(c) for c in values], F.max("last_call").alias("last_call"))
+    after = len(USAGE_TOTALS) + 1
+    updated = F.coalesce(F.date_format("last_call", "yyyy-MM-dd HH:mm:ss"), F.lit(NEVER))
+    lines = [*[F.format_string(line, c) for line, c in USAGE_TOTALS], F.lit(MODELS_LINE)]
+    block = F.array(*[F.struct(F.lit(i).alias("section"), line.alias("line")) for i, line in enumerate(lines, 1)],
+                    *[F.struct(F.lit(after + i).alias("section"), line.alias("line")) for i, line in enumerate(
+                        [F.format_string(TOTAL_COST_LINE, "cost_usd"), F.format_string(UPDATED_LINE, updated)], 2)])
+    none = F.array(F.struct(F.lit(1).alias("section"), F.lit(NO_USAGE_LINE).alias("line")))
+    summary = totals.select(F.inline(F.when(F.col("calls").isNull(), none).otherwise(block))).select(
+        "section", F.lit("").alias("model"), "line")
+    per_model = models.select(F.lit(after + 1).alias("section"), "model", F.format_string(
+        USAGE_LINE, "model", "calls", "input_tokens", "output_tokens", "cost_usd").alias("line"))
+    return summary.unionByName(per_model)

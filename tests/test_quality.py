@@ -193,3 +193,20 @@ def test_quick_profile_keeps_eight_issues(spark):
     df = spark.createDataFrame([tuple("$5" for _ in range(12)), tuple(None for _ in range(12))], columns)
     profile = pf.quick_profile(df)
     assert len(profile["issues"]) == 8 and profile["completeness"] == 50.0 and profile["duplicate_rows"] == 0
+
+
+def test_usage_report_of_empty_logs_and_unnamed_models(spark):
+    schema = "model string, ts timestamp_ntz, input_tokens bigint, output_tokens bigint, cache_read bigint, cache_write bigint"
+    pricing = spark.createDataFrame([("a", 1.0, 2.0)], "model string, input_price double, output_price double")
+    empty = reports.usage_report(spark.createDataFrame([], schema), pricing).collect()
+    assert [(r.section, r.model, r.line) for r in empty] == [(1, "", "No usage data recorded yet.")]
+
+    log = spark.createDataFrame([("a", None, 1_000_000, None, None, 5), (None, None, None, 2_000_000, 7, None),
+                                 ("a", None, 1_000_000, 1_000_000, 1, 1)], schema)
+    lines = [r.line for r in reports.usage_report(log, pricing).orderBy("section", "model").collect()]
+    assert lines == [
+        "Total chat calls : 3", "Total input tokens : 2,000,000", "Total output tokens : 3,000,000",
+        "Cache read tokens : 8", "Cache write tokens : 6", "By model:",
+        "(unnamed): 1 calls | 0 in / 2,000,000 out | ~$30.0000",
+        "a: 2 calls | 2,000,000 in / 1,000,000 out | ~$4.0000",
+        "Estimated total cost : ~$34.0000 USD", "Last updated : never"]
