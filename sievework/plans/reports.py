@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import accounting as ac
@@ -61,22 +61,30 @@ def usage_lines(totals: DataFrame, costs: DataFrame) -> DataFrame:
 def usage_report(usage: DataFrame, pricing: DataFrame) -> DataFrame:
     """(section, model, line): the totals, a line a model, the cost and the last call, in the order of section and model.
 
-    The log is aggregated once; the totals are sums over its models.  Lines of totals have an empty
+    The log is read once: totals are a rollup of the sums per model.  Lines of totals have an empty
     model, calls without a model are listed as unnamed, missing tokens count as none, and an empty
-    log gives one line that says so.
+    log gives one line that says so, for which a row without calls joins the sums.
     """
-    models = ac.priced_usage(usage, pricing).withColumn("model", F.coalesce("model", F.lit(UNNAMED)))
     values = [*(c for _, c in USAGE_TOTALS), "cost_usd"]
-    totals = models.agg(*[F.sum(c).alias(c) for c in values], F.max("last_call").alias("last_call"))
-    after = len(USAGE_TOTALS) + 1
+    models = ac.priced_usage(usage, pricing).withColumn("model", F.coalesce("model", F.lit(UNNAMED)))
+    seed = usage.sparkSession.range(1).select(F.lit("").alias("model"), *[F.lit(0).alias(c) for c in values],
+                                              F.lit(None).alias("last_call"))
+    sums = (models.select(*seed.columns).unionByName(seed).rollup("model")
+            .agg(*[F.sum(c).alias(c) for c in values], F.max("last_call").alias("last_call"),
+                 (F.grouping("model") == 1).alias("is_total")))
     updated = F.coalesce(F.date_format("last_call", "yyyy-MM-dd HH:mm:ss"), F.lit(NEVER))
-    lines = [*[F.format_string(line, c) for line, c in USAGE_TOTALS], F.lit(MODELS_LINE)]
-    block = F.array(*[F.struct(F.lit(i).alias("section"), line.alias("line")) for i, line in enumerate(lines, 1)],
-                    *[F.struct(F.lit(after + i).alias("section"), line.alias("line")) for i, line in enumerate(
-                        [F.format_string(TOTAL_COST_LINE, "cost_usd"), F.format_string(UPDATED_LINE, updated)], 2)])
-    none = F.array(F.struct(F.lit(1).alias("section"), F.lit(NO_USAGE_LINE).alias("line")))
-    summary = totals.select(F.inline(F.when(F.col("calls").isNull(), none).otherwise(block))).select(
-        "section", F.lit("").alias("model"), "line")
-    per_model = models.select(F.lit(after + 1).alias("section"), "model", F.format_string(
-        USAGE_LINE, "model", "calls", "input_tokens", "output_tokens", "cost_usd").alias("line"))
-    return summary.unionByName(per_model)
+    own = len(USAGE_TOTALS) + 2
+    block = F.array(*[_line(i, F.format_string(text, c)) for i, (text, c) in enumerate(USAGE_TOTALS, 1)],
+                    _line(own - 1, F.lit(MODELS_LINE)), _line(own + 1, F.format_string(TOTAL_COST_LINE, "cost_usd")),
+                    _line(own + 2, F.format_string(UPDATED_LINE, updated)))
+    per_model = F.array(_line(own, F.format_string(USAGE_LINE, "model", "calls", "input_tokens", "output_tokens", "cost_usd")))
+    no_calls = F.col("calls") == 0
+    return (sums.where(F.col("is_total") | ~no_calls)
+            .select(F.when(F.col("is_total"), F.lit("")).otherwise(F.col("model")).alias("model"),
+                    F.inline(F.when(no_calls, F.array(_line(1, F.lit(NO_USAGE_LINE))))
+                             .when(F.col("is_total"), block).otherwise(per_model)))
+            .select("section", "model", "line"))
+
+
+def _line(section: int, text: Column) -> Column:
+    return F.struct(F.lit(section).alias("section"), text.alias("line"))
