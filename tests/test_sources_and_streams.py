@@ -74,6 +74,18 @@ def test_files_are_found_read_and_ingested(spark, folder):
     assert [tuple(r) for r in files.chunks_per_source(files.ingest_folder(spark, folder)).collect()] == [("b.md", 1)]
 
 
+def test_texts_are_written_by_all_tasks_into_small_folders(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "FILES_PER_FOLDER", 3)
+    texts = [f"text {i}\nécole" for i in range(60)] + [None, "", " "]
+    rows = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    folder = files.write_texts(rows, "text", str(tmp_path / "texts"))
+    written = [p for p in (tmp_path / "texts").rglob("*") if p.is_file()]
+    assert sorted(p.read_text() for p in written) == sorted((t or "") + "\n" for t in texts)
+    assert len({p.name for p in written}) == len(texts) and len({p.name.split("-")[0] for p in written}) > 1
+    assert max(len(list(p.iterdir())) for p in (tmp_path / "texts").iterdir()) <= 3
+    assert files.find_files(spark, folder).count() == len(texts)
+
+
 def test_a_bad_byte_does_not_fail_a_folder(spark, tmp_path):
     (tmp_path / "good.md").write_text("good words")
     (tmp_path / "bad.md").write_bytes(b"some \xff\xfe bytes \xe9")
