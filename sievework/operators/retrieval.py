@@ -28,6 +28,7 @@ RANK_DECIMALS = 6
 # A query set at most this large (vector components, or query terms) is sent to every task.
 BROADCAST_COMPONENTS = 16_000_000
 BROADCAST_TERMS = 1_000_000
+POSTINGS_PER_TASK = 500_000  # weighted (query, passage, term) matches that a task adds up, whatever the size of the corpus
 QUERY_ROWS = 1_024  # queries multiplied with a block of passages at a time
 
 
@@ -348,7 +349,10 @@ def keyword_scores(queries: DataFrame, passages: DataFrame, broadcast_terms: int
     found = found.join(F.broadcast(wanted) if small else wanted, "term", "left_semi")
     # one shuffle, by document: counting words and, with the queries sent along, adding up the scores
     # of a document then both happen where its words are
-    found = found.repartition("id").groupBy("id", "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
+    # tasks by the number of matches: merged by the bytes of their short rows, each would add up ever more of them
+    matches = weights.agg(F.sum("df")).first()[0] or 0
+    tasks = max(passages.sparkSession.sparkContext.defaultParallelism, math.ceil(matches / POSTINGS_PER_TASK))
+    found = found.repartition(tasks, "id").groupBy("id", "n_tokens", "term").agg(F.count(F.lit(1)).alias("tf"))
     length = F.lit(1 - BM25_B) + F.lit(BM25_B) * F.col("n_tokens") / F.lit(mean_tokens)
     postings = found.select("id", "term", (F.col("tf") * (BM25_K1 + 1) / (F.col("tf") + F.lit(BM25_K1) * length))
                             .alias("saturation"))

@@ -166,3 +166,11 @@ def test_graph_edges_are_undirected_and_unique(spark):
     found = {(r["source"], r["target"]): r["weight"] for r in rt.graph_edges(passages).collect()}
     assert found.keys() == expected.keys()
     assert rt.graph_nodes(passages).where("source = 'unknown'").count() == 30
+
+
+def test_tasks_of_keyword_scores_grow_with_the_matches(spark, monkeypatch):
+    passages = spark.createDataFrame([(i, f"common word{i % 7}") for i in range(400)], "id bigint, text string")
+    asked = spark.createDataFrame([(q, f"common word{q}") for q in range(5)], "query_id bigint, text string")
+    monkeypatch.setattr(rt, "POSTINGS_PER_TASK", 50)      # 2,000 matches of the common word and 286 of the others
+    scores = rt.keyword_scores(asked, passages)
+    assert scores.rdd.getNumPartitions() == 46 and scores.count() == 2_000
