@@ -144,6 +144,7 @@ def _dense_top_by_scan(queries: DataFrame, passages: DataFrame, n: int, floor: f
 
 CELL_ROWS = 4_096  # rows of one side in one block product
 MAX_PIVOTS = 256
+VISIT_ROWS = 16_384  # visits a task hands on at a time: a batch of queries may have MAX_PIVOTS times as many as rows
 ANGLE_SLACK = 1e-6
 ROUNDING = 10.0 ** -RANK_DECIMALS  # a similarity may be this much smaller than what it is rounded to
 
@@ -238,6 +239,14 @@ def _block_products(visits: DataFrame, members: DataFrame, n: int, floor: float
             .cogroup(p.select("id", "unit", *keys).groupBy(*keys)).applyInPandas(multiply, schema))
 
 
+def _visits(query_ids: np.ndarray, units: np.ndarray, cells: np.ndarray, open_: np.ndarray) -> Iterator[pd.DataFrame]:
+    """A row for every query and open cell, a bounded number at a time: each row holds a vector."""
+    rows, cols = np.nonzero(open_)
+    for start in range(0, len(rows), VISIT_ROWS):
+        row, col = rows[start:start + VISIT_ROWS], cols[start:start + VISIT_ROWS]
+        yield pd.DataFrame({"query_id": query_ids[row], "unit": units[row], "cell": cells[col]})
+
+
 def _dense_top_by_cells(queries: DataFrame, passages: DataFrame, n: int, floor: float | None) -> DataFrame:
     spark = passages.sparkSession
     schema = _candidate_schema(queries, passages)
@@ -271,9 +280,7 @@ def _dense_top_by_cells(queries: DataFrame, passages: DataFrame, n: int, floor:
             gap = np.maximum(np.maximum(angles - far, near - angles), 0.0)
             open_ = (gap <= batch["bound"].to_numpy()[:, None] + ANGLE_SLACK) & (
                 cells[None, :] != batch["home"].to_numpy()[:, None])
-            rows, cols = np.nonzero(open_)
-            yield pd.DataFrame({"query_id": batch["query_id"].to_numpy()[rows],
-                                "unit": batch["unit"].to_numpy()[rows], "cell": cells[cols]})
+            yield from _visits(batch["query_id"].to_numpy(), batch["unit"].to_numpy(), cells, open_)
 
     visits = materialize(bounded.mapInPandas(plan_visits, f"query_id {id_type}, unit binary, cell int"),
                          "cells-visits")

@@ -174,3 +174,13 @@ def test_tasks_of_keyword_scores_grow_with_the_matches(spark, monkeypatch):
     monkeypatch.setattr(rt, "POSTINGS_PER_TASK", 50)      # 2,000 matches of the common word and 286 of the others
     scores = rt.keyword_scores(asked, passages)
     assert scores.rdd.getNumPartitions() == 46 and scores.count() == 2_000
+
+
+def test_visits_are_handed_on_in_bounded_slices(monkeypatch):
+    monkeypatch.setattr(rt, "VISIT_ROWS", 7)
+    open_ = np.random.default_rng(5).random((10, 6)) < 0.6
+    units = np.array([bytes([i]) for i in range(10)], dtype=object)
+    parts = list(rt._visits(np.arange(10), units, np.arange(100, 106), open_))
+    assert max(map(len, parts)) == 7
+    found = [(q, u, c) for p in parts for q, u, c in zip(p["query_id"], p["unit"], p["cell"])]
+    assert found == [(q, units[q], 100 + c) for q, c in zip(*np.nonzero(open_))]
