@@ -2,19 +2,23 @@
 
 A page is a sequence of tags and blocks of text.  A tag is told apart by the elements around it and their class names, so
 equal tags in different places are different tokens and tokens nest without crossing.  Tokens of the
-pages of a host whose occurrence vectors over these pages are equal form an equivalence class.  Vectors are compared
-by a hash that is summed over pages, so they are never gathered.  A class is valid if it has two tokens at least
-and they occur on LEAST_PAGES pages and most pages of the host; its tokens are the template.  Numbers of posts in class names
-and identifiers are left out, so that the tag of an article is the same token on all pages.
+pages of a host whose occurrence vectors over these pages are equal form an equivalence class; an element's opening and closing
+tag are always in one.  Vectors are compared by a hash that is summed over pages, so they are never gathered.  A class counts
+if it occurs on LEAST_PAGES pages and most pages of the host, and is valid if it is ordered and nested: its tags follow each
+other in one order, on every page and each time they come again, and its outermost elements stand in one element of one
+other class, or of the page.  An invalid class is taken apart into the pairs of tags of its elements, which are always
+valid.  Classes in the slots of others are the template.  Numbers of posts in class names and identifiers are left out,
+so that the tag of an article is the same token on all pages.
 
-A text belongs to the elements around it, which makes nested slots.  What goes, with all slots inside:
+The inside of an element of a class is a slot, which holds text or further classes.  A page is matched with the template
+of its host class by class, outermost first.  What goes, with all slots and classes inside:
 
 - elements that are menus, headers, footers, sidebars, notices, adverts, forms or comments by their tag or, outside of the
   article, by a whole word of their names;
 - slots on most pages of the host with one and the same text on most of them, inside the article as well.  Pages are
   counted by their articles, or heaviest slots, so that copies of a page are one, and a slot with more than half
   of the text around it is neither counted nor dropped;
-- outside of the article, slots of the template whose text is mostly links on this page and over the host.
+- outside of the article, slots of classes of several elements whose text is mostly links on this page and over the host.
 
 Of the rest, those inside an article or main element of the page itself are the main text or, on pages without one, all
 but blocks of several links that are most of the block's text.  Words are no tokens, so a paragraph that many
@@ -38,7 +42,7 @@ from functools import lru_cache
 from hashlib import blake2b
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
@@ -222,6 +226,14 @@ class Tree:
     def tokens(self) -> Counter[int]:
         return Counter(t for t, name in zip(self.token[1:], self.name[1:]) if name not in INLINE)
 
+    def places(self) -> dict[int, tuple[int, list[int]]]:
+        """The token around each token, and where its elements open."""
+        out: dict[int, tuple[int, list[int]]] = {}
+        for e in range(1, len(self.name)):
+            if self.name[e] not in INLINE:
+                out.setdefault(self.token[e], (self.token[self.parent[e]], []))[1].append(e)
+        return out
+
     def contents(self) -> list[int]:
         """Hash of the text of every element, 0 for none."""
         out = [0] * len(self.name)
@@ -284,46 +296,97 @@ def _occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             tree = Tree(page or "")
             slots, none = tree.slots(), Slot()
             rows.append({"host": host, "page": key, "own": tree.own_content(), "tags": [
-                {"token": t, "n": n, "content": _signed(slot.content), "minor": int(slot.is_minor),
+                {"token": t, "outer": outer, "at": at, "content": _signed(slot.content), "minor": int(slot.is_minor),
                  "chars": slot.chars * slot.outside, "linked": slot.linked * slot.outside}
-                for t, n in tree.tokens().items() for slot in (slots.get(t, none),)]})
+                for t, (outer, at) in tree.places().items() for slot in (slots.get(t, none),)]})
         yield pa.RecordBatch.from_pylist(rows, _OCCURRENCES)
 
 
 _OCCURRENCES = pa.schema([("host", pa.string()), ("page", pa.int64()), ("own", pa.int64()), ("tags", pa.list_(pa.struct([
-    ("token", pa.int64()), ("n", pa.int64()), ("content", pa.int64()), ("minor", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())])))])
+    ("token", pa.int64()), ("outer", pa.int64()), ("at", pa.list_(pa.int64())), ("content", pa.int64()), ("minor", pa.int64()), ("chars", pa.int64()), ("linked", pa.int64())])))])
+
+
+def _valid_classes(common: DataFrame, each: DataFrame) -> DataFrame:
+    """host, token, outer, menu, class and place in it: tokens by valid class, those of invalid classes each by itself."""
+    several = common.withColumn("n_tokens", F.count("*").over(Window.partitionBy("host", "vector")))
+    # one row a class and page, from the tags of that page alone; copies of a page are one
+    placed = each.select("host", "page", "token", F.size("at").alias("n"), F.explode("at").alias("at")).join(
+        several.where("n_tokens >= 2").select("host", "token", "vector"), ["host", "token"])
+    seen = placed.groupBy("host", "vector", "page").agg(
+        F.transform(F.sort_array(F.collect_set(F.struct("at", "token"))), lambda t: t["token"]).alias("tags"), F.max("n").alias("n"))
+    once = F.slice("tags", F.lit(1), F.call_function("div", F.size("tags"), F.col("n")).cast("int"))
+    order = seen.select("host", "vector", once.alias("once"), (F.flatten(F.array_repeat(once, F.col("n"))) == F.col("tags")).alias("again")).groupBy(
+        "host", "vector").agg((F.bool_and("again") & (F.min("once") == F.max("once"))).alias("ordered"), F.min("once").alias("order"))
+    found = several.join(order, ["host", "vector"], "left")
+    # where the outermost elements of a class stand
+    inner = found.select("host", F.col("token").alias("outer"), F.col("vector").alias("around"))
+    stands = found.select("host", "vector", "outer").join(inner, ["host", "outer"], "left").where(~F.col("vector").eqNullSafe(F.col("around"))).groupBy(
+        "host", "vector").agg((F.min("outer") == F.max("outer")).alias("nested"))
+    whole = (F.col("n_tokens") == 1) | F.coalesce(F.col("ordered") & F.col("nested"), F.lit(False))
+    return found.join(stands, ["host", "vector"], "left").select(
+        "host", "token", "outer", ((F.col("n_tokens") >= 2) & (2 * F.col("linked") > F.col("chars"))).alias("menu"),
+        F.when(whole, F.col("vector")).otherwise(F.col("token")).alias("class"),
+        F.when(whole, F.coalesce(F.array_position("order", F.col("token")), F.lit(1))).otherwise(F.lit(1)).alias("place"))
 
 
 def templates(pages: DataFrame) -> DataFrame:
-    """host, the tokens of its template, those of menus, and the slots that repeat with the hashes of their texts.
+    """host, the tokens of its template and the classes these form.
 
-    ``pages`` has host, page (a hash of the row) and html.
+    A class has the slot it stands in, ``outer`` (0 is the page), and its ``slots`` in their order: the token, the hash of its text
+    where it repeats, and whether it is one of links.  ``pages`` has host, page (a hash of the row) and html.
     """
     found = materialize(pages.mapInArrow(_occurrences, "host string, page long, own long, tags array<struct<"
-                                         "token:long,n:long,content:long,minor:long,chars:long,linked:long>>"), "occurrences")
+                                         "token:long,outer:long,at:array<long>,content:long,minor:long,chars:long,linked:long>>"), "occurrences")
     sizes = found.groupBy("host").agg(F.count("*").alias("n_pages"))
     each = found.select("host", "page", "own", F.explode("tags").alias("t")).select("host", "page", "own", "t.*")
     # the hash of an occurrence vector is a sum over pages, so it is pre-aggregated in every task
     vectors = each.groupBy("host", "token").agg(
-        F.count("*").alias("on_pages"), F.sum(F.xxhash64("page", F.col("n")).cast("decimal(38,0)")).alias("vector"),
-        F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
+        F.count("*").alias("on_pages"), F.sum(F.xxhash64("page", F.size("at").cast("long")).cast("decimal(38,0)")).alias("vector"),
+        F.min("outer").alias("outer"), F.sum("chars").alias("chars"), F.sum("linked").alias("linked"))
     common = materialize(vectors.join(sizes, "host").where(
         (F.col("on_pages") >= LEAST_PAGES) & (F.col("on_pages") >= SHARE * F.col("n_pages"))), "tokens")
-    valid = common.groupBy("host", "vector").agg(
-        F.count("*").alias("n_tokens"), F.collect_list(F.struct("token", (2 * F.col("linked") > F.col("chars")).alias("menu"))).alias("tokens"))
-    template = valid.where(F.col("n_tokens") >= 2).select("host", F.explode("tokens").alias("t")).groupBy("host").agg(
-        F.collect_set("t.token").alias("template"), F.collect_set(F.when(F.col("t.menu"), F.col("t.token"))).alias("menus"))
+    valid = _valid_classes(common, each)
     # copies of an article count once, grouped in every task before they meet
     texts = each.where("content <> 0").groupBy("host", "token", "content", "own").agg(F.max("minor").alias("minor")).groupBy(
         "host", "token", "content").agg(F.sum("minor").alias("minor"), F.count("*").alias("n"))
     most = texts.groupBy("host", "token").agg(F.max(F.struct("minor", "content")).alias("top"), F.sum("n").alias("n"))
-    repeated = most.where((F.col("top.minor") >= LEAST_PAGES) & (F.col("top.minor") >= SHARE * F.col("n"))).join(
-        common.select("host", "token"), ["host", "token"]).groupBy("host").agg(
-        F.collect_list(F.struct("token", F.col("top.content").alias("content"))).alias("repeated"))
-    none = F.array().cast("array<long>")
-    return template.join(repeated, "host", "full").select(
-        "host", F.coalesce("template", none).alias("template"), F.coalesce("menus", none).alias("menus"),
-        F.coalesce("repeated.token", none).alias("repeated"), F.coalesce("repeated.content", none).alias("contents"))
+    repeated = most.where((F.col("top.minor") >= LEAST_PAGES) & (F.col("top.minor") >= SHARE * F.col("n"))).select(
+        "host", "token", F.col("top.content").alias("content"))
+    slots = valid.join(repeated, ["host", "token"], "left")
+    # the outer token of a class is that of its first element
+    classes = slots.groupBy("host", "class").agg(F.sort_array(F.collect_list(F.struct("place", "token", "outer", "content", "menu"))).alias("s"))
+    return classes.groupBy("host").agg(
+        F.flatten(F.collect_list(F.col("s.token"))).alias("template"),
+        F.collect_list(F.struct(F.col("s")[0]["outer"].alias("outer"), F.transform(
+            "s", lambda x: F.struct(x["token"].alias("token"), x["outer"].alias("outer"), x["content"].alias("content"),
+                                    x["menu"].alias("menu"))).alias("slots"))).alias("classes"))
+
+
+class Template:
+    """The classes of a host, each in the slot of the class around it."""
+
+    def __init__(self, classes: list[dict]):
+        self.inside: dict[int, list[list[dict]]] = {}
+        for c in classes:
+            self.inside.setdefault(c["outer"], []).append(c["slots"])
+
+    def gone(self, tree: Tree) -> set[int]:
+        """Slots of a page that hold the text of the template or its menus, without those inside of them."""
+        slots, out, todo = tree.slots(), set(), [0]
+        while todo:
+            for members in self.inside.get(todo.pop(), ()):
+                closed: set[int] = set()
+                for s in members:
+                    t, slot = s["token"], slots.get(s["token"])
+                    if s["outer"] in closed:
+                        closed.add(t)
+                    elif slot and (slot.is_minor and s["content"] == _signed(slot.content)
+                                   or s["menu"] and slot.outside and 2 * slot.linked > slot.chars):
+                        closed.add(t)
+                        out.add(t)
+                    else:
+                        todo.append(t)
+        return out
 
 
 def _main_elements(tree: Tree) -> list[bool]:
@@ -372,19 +435,14 @@ def _menus(tree: Tree, aside: list[bool]) -> list[bool]:
     return tree.inherited(marks)
 
 
-def main_text(page: str | None, repeated: dict[int, int] | None = None, menus: frozenset[int] = frozenset()) -> str:
-    """Text of the slots that are left when the template's menus and the like are taken away.
-
-    ``repeated`` has the slots with one text on most pages of the host with the hash of that text, ``menus`` those of links.
-    """
+def main_text(page: str | None, template: Template | None = None) -> str:
+    """Text of the slots that are left when what repeats in the template of the host, its menus and the like are taken away."""
     if not page:
         return ""
     tree = Tree(page)
     total, _ = tree.sizes()
     aside, main = _asides(tree, total)
-    if repeated or menus:
-        gone = {t for t, slot in tree.slots().items() if slot.is_minor and (repeated or {}).get(t) == _signed(slot.content)
-                or t in menus and slot.outside and 2 * slot.linked > slot.chars}
+    if template and (gone := template.gone(tree)):
         less = tree.inherited([t in gone and name not in INLINE for t, name in zip(tree.token, tree.name)])
         less = [a or b for a, b in zip(aside, less)]
         # a page of nothing else keeps its text
@@ -416,19 +474,18 @@ def extract(pages: DataFrame) -> DataFrame:
     known = materialize(templates(lean.select("host", F.xxhash64("page_id", "url", "html").alias("page"), "html")), "templates")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sets: dict[tuple, tuple[dict[int, int], frozenset[int]]] = {}
+        known: dict[str, Template] = {}
         for part in (p for b in batches for p in slices(b, "html")):
-            texts = []
-            for page, *host in zip(*(part.column(c).to_pylist() for c in ("html", "repeated", "contents", "menus"))):
-                key = tuple(tuple(x or ()) for x in host)
-                if len(sets) > 1000:
-                    sets.clear()
-                if key not in sets:
-                    sets[key] = dict(zip(key[0], key[1])), frozenset(key[2])
-                texts.append(main_text(page, *sets[key]))
+            texts, classes = [], part.column("classes")
+            for row, (host, page) in enumerate(zip(part.column("host").to_pylist(), part.column("html").to_pylist())):
+                if host not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[host] = Template(classes[row].as_py() or [])
+                texts.append(main_text(page, known[host]))
             yield pa.RecordBatch.from_arrays(
                 [part.column("page_id"), part.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
                 ["page_id", "url", "text", "n_chars"])
 
-    return lean.join(known.drop("template"), "host", "left").select("page_id", "url", "html", "repeated", "contents", "menus").mapInArrow(
+    return lean.join(known.drop("template"), "host", "left").select("page_id", "url", "html", "host", "classes").mapInArrow(
         run, "page_id long, url string, text string, n_chars long")

@@ -359,6 +359,25 @@ def test_template_classes(spark):
     assert op7_template.token_of(("html", "body", "div.x", "section")) not in tokens
 
 
+def test_template_classes_are_ordered_and_nested(spark):
+    """Classes keep the order of their tags and stand in a slot of another; one without an order, or in two slots, is taken apart."""
+    def of(k):
+        box = "<div class=box><h2>A</h2><p>b</p></div>" * (k % 3 + 1)
+        mixed = ["<div class=u>u</div>", "<div class=v>v</div>"][::1 if k % 2 else -1] if k else []
+        apart = "<div class=m><i>m</i></div>" * (k != 1)
+        return f"<html><body><div class=c>{box}{''.join(mixed)}{apart}</div><div class=d>d{apart}</div></body></html>"
+
+    def tokens(*tags):
+        return tuple(op7_template.token_of(("html", "body", *t.split())) for t in tags)
+    rows = [("h", k, of(k)) for k in (0, 1, 2, 3, 4, 5, 5)]
+    found = op7_template.templates(spark.createDataFrame(rows, "host string, page long, html string")).collect()
+    classes = {tuple(s.token for s in c.slots): c.outer for c in found[0].classes}
+    html = op7_template.token_of(("html",))
+    c, d = tokens("div.c", "div.d")
+    assert classes == {(html, op7_template.token_of(("html", "body")), c, d): 0, tokens("div.c div.box", "div.c div.box h2", "div.c div.box p"): c,
+                       tokens("div.c div.u"): c, tokens("div.c div.v"): c, tokens("div.c div.m"): c, tokens("div.d div.m"): d}
+
+
 # --- language
 
 def test_languages(spark, sf_dir):
