@@ -24,6 +24,29 @@ def test_lines_end_inside():
         assert records.ends_inside(line, True) is after, line
 
 
+def test_many_lines_end_where_single_ones_do():
+    """Lines taken as one text give what they give one by one, however they are cut into batches."""
+    rng, seen = random.Random(3), set()
+    for _ in range(3000):
+        lines = ["".join(rng.choices('",a\r', k=rng.randrange(6))) for _ in range(rng.randrange(1, 5))]
+        for inside in (False, True):
+            state = inside
+            for line in lines:
+                state = records.ends_inside(line, state)
+            assert records.text_ends_inside("".join(f"{line}\n" for line in lines), inside) is state, lines
+            seen.add((inside, state))
+    assert len(seen) == 4
+
+
+def test_lines_are_cut_once(spark, tmp_path, monkeypatch):
+    """The second pass over the lines is written, so that whole records and pieces do not each run it."""
+    (tmp_path / "a.csv").write_text('x,y\n1,"a\nb"\n')
+    written = []
+    monkeypatch.setattr(records, "materialize", lambda df, label: written.append(label) or df)
+    assert csv.read_text_table(spark, str(tmp_path / "a.csv"), split=True).collect()[0].y == "a\nb"
+    assert written == ["csv-records"]
+
+
 @pytest.mark.parametrize("block", [64, 300, 5000])
 def test_rows_do_not_depend_on_blocks(spark, tmp_path, block):
     rng = random.Random(block)
