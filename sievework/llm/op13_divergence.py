@@ -21,7 +21,6 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
-from .native import let
 from .sides import narrow
 
 #: What stands between terms, the scale of a share.
@@ -36,12 +35,12 @@ def _read(docs: DataFrame) -> DataFrame:
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """lang, source, term, the term's occurrences there and the number of documents they are in."""
-    terms = F.split(F.translate("text", _UPPER, _LOWER), BETWEEN)
-    both = let(terms, lambda t: F.array(F.struct(t.alias("terms"), F.lit(0).alias("once")),
-                                        F.struct(F.array_distinct(t).alias("terms"), F.lit(1).alias("once"))))
-    said = _read(docs).select("lang", "source", F.inline(both)).select("lang", "source", "once", F.explode("terms").alias("term"))
-    return said.where("term <> ''").groupBy("lang", "source", "term").agg(
-        F.sum(1 - F.col("once")).alias("count"), F.sum("once").cast("long").alias("docs"))
+    terms = F.sort_array(F.split(F.translate("text", _UPPER, _LOWER), BETWEEN))
+    # in sorted terms the first of equal ones stands for the document; an outer explode evaluates them once
+    said = _read(docs).select("lang", "source", terms.alias("terms")).select("lang", "source", "terms", F.posexplode_outer("terms").alias("at", "term"))
+    first = (F.col("at") == 0) | (F.get("terms", F.col("at") - 1) != F.col("term"))
+    return said.where("term <> ''").select("lang", "source", "term", F.when(first, 1).otherwise(0).alias("first")).groupBy(
+        "lang", "source", "term").agg(F.count("*").alias("count"), F.sum("first").alias("docs"))
 
 
 def share(count: Column, n: Column, v: Column) -> Column:

@@ -171,3 +171,11 @@ def test_audit(spark):
     for least_docs, upto in ((3, 200), (1, 5), (2, 12)):
         assert sorted(tuple(r) for r in op13_divergence.audit(df, least_docs, upto).collect()) == plain_audit(rows, least_docs, upto)
     assert op13_divergence.audit(df.limit(0)).count() == 0
+
+
+def test_terms_are_dealt_out_once(spark):
+    """One row an occurrence, which also says whether it is the first of its document; no second list of distinct terms."""
+    docs = spark.createDataFrame([("e", "s", "A b a"), ("e", "s", "a"), ("e", None, None)], "lang string, source string, text string")
+    found = op13_divergence.term_counts(docs)
+    assert sorted(map(tuple, found.collect())) == [("e", "s", "a", 3, 2), ("e", "s", "b", 1, 1)]
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
