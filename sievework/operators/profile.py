@@ -120,7 +120,7 @@ def long_counts(df: DataFrame, columns: list[str], condition, name: str = "n") -
     parts = []
     for start in range(0, max(len(columns), 1), COLUMNS_PER_AGGREGATE):
         batch = list(enumerate(columns))[start:start + COLUMNS_PER_AGGREGATE]
-        wide = df.agg(*[F.count_if(condition(c)).alias(f"c{i}") for i, c in batch])
+        wide = df.agg(*[tx.count_where(condition(c)).alias(f"c{i}") for i, c in batch])
         parts.append(wide.select(F.inline(F.array(*[
             F.struct(F.lit(i).cast("bigint").alias("ordinal"), F.lit(c).alias("column"), F.col(f"c{i}").alias(name))
             for i, c in batch]))))
@@ -209,14 +209,14 @@ def casing_variants(df: DataFrame, columns: list[str]) -> DataFrame:
 def kind_measures(name: str, c: Column) -> dict[str, Column]:
     measures = {
         "values": F.count(c),
-        "currency": F.count_if(tx.is_currency(c)),
-        "percent": F.count_if(tx.is_percent(c)),
-        "comma_number": F.count_if(tx.is_comma_number(c)),
+        "currency": tx.count_where(tx.is_currency(c)),
+        "percent": tx.count_where(tx.is_percent(c)),
+        "comma_number": tx.count_where(tx.is_comma_number(c)),
         "example": F.min(c),
     }
     if "date" in name.lower():
-        measures["iso"] = F.count_if(tx.is_iso_date(c))
-        measures["parsed"] = F.count_if(tx.parse_date(c).isNotNull())
+        measures["iso"] = tx.count_where(tx.is_iso_date(c))
+        measures["parsed"] = tx.count_where(tx.parse_date(c).isNotNull())
     return measures
 
 
@@ -254,7 +254,7 @@ def head_share(df: DataFrame, column: str, predicate, n: int, order_by: list[str
     """Share of the first ``n`` non-null values, in a stated order, that meet a predicate."""
     c = quoted(column)
     head = df.where(c.isNotNull()).orderBy(*order_by).limit(n)
-    return head.agg(F.count(F.lit(1)).alias("n_sampled"), F.count_if(predicate(c)).alias("n_matching"))
+    return head.agg(F.count(F.lit(1)).alias("n_sampled"), tx.count_where(predicate(c)).alias("n_matching"))
 
 
 # --- spellings -----------------------------------------------------------------------------------
@@ -347,10 +347,10 @@ def profile_table(df: DataFrame) -> TableProfile:
     profile = TableProfile(columns=df.columns, n_rows=copies["n_rows"], n_duplicates=copies["n_duplicates"])
 
     def measures(name: str, c: Column) -> dict[str, Column]:
-        found = {"missing": F.count_if(missing(df, name)), "holes": F.count_if(missing_word(df, name))}
+        found = {"missing": tx.count_where(missing(df, name)), "holes": tx.count_where(missing_word(df, name))}
         if name in texts:
             found |= kind_measures(name, c) | spelling_measures(name, c)
-            found["trimmed"] = F.count_if(~c.eqNullSafe(tx.strip(c)))
+            found["trimmed"] = tx.count_where(~c.eqNullSafe(tx.strip(c)))
         return found
 
     measured = aggregate_columns(df, df.columns, measures)
@@ -362,12 +362,14 @@ def profile_table(df: DataFrame) -> TableProfile:
             profile.kinds[c], profile.examples[c] = kind, measured[c]["example"]
     measured = {c: measured[c] for c in texts}
     profile.trimmed = {c: m["trimmed"] for c, m in measured.items()}
-    # both maps from one pass: a column as it is, and a trimmed twin under a marked name
+    # both maps from one pass: a column as it is, and a trimmed twin under a marked name where trimming changes a cell
     few = gated(measured)
-    both = df.select(*[quoted(c) for c in few], *[tx.strip(quoted(c)).alias(f"{c}\u0001") for c in few])
+    twins = [c for c in few if profile.trimmed[c]]
+    both = df.select(*[quoted(c) for c in few], *[tx.strip(quoted(c)).alias(f"{c}\u0001") for c in twins])
     maps = read_spellings(both, both.columns)
-    profile.spellings = {c: m for c, m in maps.items() if not c.endswith("\u0001")}
-    profile.trimmed_spellings = {c[:-1]: m for c, m in maps.items() if c.endswith("\u0001")}
+    profile.spellings = {c: maps[c] for c in few if c in maps}
+    trimmed = {c: maps.get(f"{c}\u0001" if c in twins else c) for c in few}
+    profile.trimmed_spellings = {c: m for c, m in trimmed.items() if m}
     return profile
 
 
@@ -385,8 +387,8 @@ def quick_profile(df: DataFrame, truncated: bool = False) -> dict[str, object]:
     """The short profile: completeness, uniqueness, their mean and at most eight issues."""
     copies = duplicate_counts(df).first()
     measured = aggregate_columns(df, df.columns, lambda name, c: {
-        "missing": F.count_if(tx.is_missing(c)), "values": F.count(c), "example": F.min(c),
-        "currency": F.count_if(tx.is_dollar_only(c)), "percent": F.count_if(tx.is_percent_tight(c))})
+        "missing": tx.count_where(tx.is_missing(c)), "values": F.count(c), "example": F.min(c),
+        "currency": tx.count_where(tx.is_dollar_only(c)), "percent": tx.count_where(tx.is_percent_tight(c))})
     profile = TableProfile(df.columns, copies["n_rows"], copies["n_duplicates"],
                            {c: m["missing"] for c, m in measured.items()})
     issues = []

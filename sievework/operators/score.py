@@ -48,20 +48,20 @@ def _sum(columns: list[Column]) -> Column:
 def completeness(df: DataFrame, required: list[str]) -> Measure:
     """Filled cells over the required columns."""
     present = [c for c in required if c in df.columns]
-    return ("completeness", _sum([F.count_if(~tx.is_missing(quoted(c))) for c in present]),
+    return ("completeness", _sum([tx.count_where(~tx.is_missing(quoted(c))) for c in present]),
             F.count(F.lit(1)) * len(present))
 
 
 def validity() -> Measure:
     """ISO dates and clean amounts over the non-null dates and amounts of the orders."""
     date, amount = F.col("order_date"), F.col("amount")
-    return ("validity", F.count_if(tx.is_iso_date(tx.strip(date))) + F.count_if(tx.is_clean_number(amount)),
+    return ("validity", tx.count_where(tx.is_iso_date(tx.strip(date))) + tx.count_where(tx.is_clean_number(amount)),
             F.count(date) + F.count(amount))
 
 
 def key_hygiene(key: str = "customer_id") -> Measure:
     """Clean keys over non-null keys."""
-    return "key_hygiene", F.count_if(~tx.is_noisy_key(quoted(key))), F.count(quoted(key))
+    return "key_hygiene", tx.count_where(~tx.is_noisy_key(quoted(key))), F.count(quoted(key))
 
 
 def uniqueness(df: DataFrame) -> DataFrame:
@@ -73,7 +73,7 @@ def consistency(df: DataFrame, column: str) -> DataFrame:
     """Groups written in one way over groups that differ only in case or outer blanks."""
     values = df.where(quoted(column).isNotNull()).select(quoted(column).cast("string").alias("value")).distinct()
     groups = values.groupBy(tx.spelling(F.col("value")).alias("norm")).agg(F.count(F.lit(1)).alias("n"))
-    return _part(groups.agg(F.count_if(F.col("n") == 1).alias("good"), F.count(F.lit(1)).alias("total")),
+    return _part(groups.agg(tx.count_where(F.col("n") == 1).alias("good"), F.count(F.lit(1)).alias("total")),
                  "consistency", F.col("good"), F.col("total"))
 
 
@@ -125,7 +125,7 @@ def scorecard(customers: DataFrame, orders: DataFrame) -> DataFrame:
 def generic_counts(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
     """Cells, missing cells, rows, distinct rows and checked / good cells of the kind columns."""
     cells = df.agg(F.count(F.lit(1)).alias("n_rows"),
-                   _sum([F.count_if(missing(df, c)) for c in df.columns]).alias("n_missing"), *valid_counts(kinds))
+                   _sum([tx.count_where(missing(df, c)) for c in df.columns]).alias("n_missing"), *valid_counts(kinds))
     both = cells.unionByName(duplicate_counts(df).select("n_distinct"), allowMissingColumns=True)
     return both.agg(*[F.sum(n).alias(n) for n in ("n_rows", "n_missing", "n_checked", "n_valid", "n_distinct")])
 
@@ -133,7 +133,7 @@ def generic_counts(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 def valid_counts(kinds: dict[str, str]) -> list[Column]:
     """Aggregates: non-null cells of the kind columns, and those already in clean form."""
     return [_sum([F.count(quoted(c)) for c in kinds] or [F.lit(0)]).cast("bigint").alias("n_checked"),
-            _sum([F.count_if(_is_valid(quoted(c), kind)) for c, kind in kinds.items()] or [F.lit(0)])
+            _sum([tx.count_where(_is_valid(quoted(c), kind)) for c, kind in kinds.items()] or [F.lit(0)])
             .cast("bigint").alias("n_valid")]
 
 
@@ -159,6 +159,6 @@ def generic_score(df: DataFrame, kinds: dict[str, str], inconsistent: bool) -> D
 
 def missing_share(df: DataFrame) -> DataFrame:
     """Cells that a repair would have to invent: missing cells, all cells and their ratio."""
-    counted = df.agg(_sum([F.count_if(missing_word(df, c)) for c in df.columns]).alias("n_missing"),
+    counted = df.agg(_sum([tx.count_where(missing_word(df, c)) for c in df.columns]).alias("n_missing"),
                      (F.count(F.lit(1)) * len(df.columns)).alias("n_cells"))
     return counted.withColumn("share", F.col("n_missing") / F.greatest(F.col("n_cells"), F.lit(1)))

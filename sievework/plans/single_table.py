@@ -62,12 +62,16 @@ def repair(df: DataFrame, profile: pf.TableProfile | None = None, final_dedupe:
     profile = profile or pf.profile_table(df)
     dates = [c for c, kind in profile.kinds.items() if kind == "date"]
     unique = rp.drop_copies(rp.trim_text(df))
-    marks = [(~pf.quoted(c).eqNullSafe(tx.to_iso(pf.quoted(c)))).alias(f"__rewritten_{i}") for i, c in enumerate(dates)]
+    # each date is read once: for the column itself and for the mark of what was rewritten
+    read = unique.select("*", *[tx.to_iso(pf.quoted(c)).alias(f"__iso_{i}") for i, c in enumerate(dates)])
+    marks = [(~pf.quoted(c).eqNullSafe(F.col(f"__iso_{i}"))).alias(f"__rewritten_{i}") for i, c in enumerate(dates)]
+    dated = read.select(
+        *[F.col(f"__iso_{dates.index(c)}").alias(c) if c in dates else pf.quoted(c) for c in df.columns], *marks)
     spellings = {c: m for c, m in profile.trimmed_spellings.items() if c not in profile.kinds}
-    fixed = rp.apply_spellings(rp.coerce_kinds(unique.select("*", *marks), profile.kinds), spellings)
+    fixed = rp.apply_spellings(rp.coerce_kinds(dated, {c: k for c, k in profile.kinds.items() if k != "date"}), spellings)
     watch = Observation()
     counted = fixed.observe(watch, F.count(F.lit(1)).alias("rows"),
-                            *[F.count_if(f"__rewritten_{i}").alias(f"rewritten_{i}") for i in range(len(dates))])
+                            *[tx.count_where(F.col(f"__rewritten_{i}")).alias(f"rewritten_{i}") for i in range(len(dates))])
     watched, holes = pf.watch_columns(counted, df.columns, _hole_counts(fixed))
     recovered = materialize(watched, "recovered").select(*[pf.quoted(c) for c in df.columns])
     counts = watch.get
@@ -97,7 +101,7 @@ def _log(done: Repair, step: int, column: str, action: str, n: int) -> None:
 
 def _hole_counts(df: DataFrame):
     """Measures of a column that say how it is filled."""
-    return lambda name, c: {"missing": F.count_if(pf.missing_word(df, name)), "numeric": F.count(rp.as_number(df, name))}
+    return lambda name, c: {"missing": tx.count_where(pf.missing_word(df, name)), "numeric": F.count(rp.as_number(df, name))}
 
 
 def impute(df: DataFrame, n_rows: int, measured: dict[str, dict[str, int]] | None = None) -> tuple[DataFrame, int]:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sievework.functions import payload as pl
 from sievework.functions import text as tx
+from sievework.operators import profile as pf
 from sievework.operators import chunking as ck
 from sievework.operators import conversations as cv
 from sievework.operators import repair as rp
@@ -127,3 +128,33 @@ def test_message_blocks_as_text(spark):
     row = df.select(cv.block_text(F.col("blocks")), cv.has_tool_result(F.col("blocks"))).first()
     assert row[0] == "hello\n[called tool: search]\n[tool result: " + "r" * 200 + "…]\n[image]"
     assert row[1] is True
+
+
+def test_visible_ends_are_left_alone_and_blanks_of_any_kind_go(spark):
+    cells = [None, "", " ", "a", " a", "a ", "　a　", "\xa0é\x85", "é", "~", "\x7f a\x7f", "!\t", "a\x1f", "日本 ", "x y", "\x00a\x00"]
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    got = df.select(tx.strip(F.col("c")).alias("now"), F.btrim("c", F.lit(tx.WHITE_SPACE)).alias("all")).collect()
+    assert [r["now"] for r in got] == [r["all"] for r in got]
+    # the slow search is reached by a condition only
+    assert "CASE WHEN" in df.select(tx.strip(F.col("c")))._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_dates_read_as_by_formatters(spark):
+    cells = ["2024-02-29", "2023-02-29", "2024-2-9", "0000-01-01", "0999-12-31", "2024/02/30", "2024/2/3", "02/29/2024", "2/3/2024", "13/01/2024",
+             "31/02/2024", "00/01/2024", "13/13/2024", "5 Mar 2024", "5 mar 2024", "31 Feb 2024", "Mar 5, 2024", "2024-01-01T10:00", "2024-01-01 10:00:00.5",
+             "2024-13-01 10:00", " 01/02/2024 ", "2024-01", "2024", "1/2/24", "a/b/2024", "/", "", "+12024-01-01", "1582-10-10", None, "9999-12-31"]
+    formats = [(r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"),
+               (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), (r"^\d{1,2} [A-Za-z]{3} \d{4}$", "d MMM yyyy"), (r"^[A-Za-z]{3} \d{1,2}, \d{4}$", "MMM d, yyyy")]
+    bare = F.btrim("c")
+    tries = [F.when(bare.rlike(shape), F.try_to_date(bare, fmt)) for shape, fmt in formats]
+    timed = F.when(bare.rlike(r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?$"), F.try_to_date(F.substring(bare, 1, 10), "yyyy-MM-dd"))
+    plain = F.coalesce(F.date_format(F.coalesce(*tries, timed), "yyyy-MM-dd"), F.col("c"))
+    df = spark.createDataFrame([(c,) for c in cells], "c string")
+    assert [r[0] == r[1] for r in df.select(tx.to_iso(F.col("c")), plain).collect()] == [True] * len(cells)
+
+
+def test_conditions_are_counted_inside_the_aggregate(spark):
+    df = spark.createDataFrame([("1",), (None,), ("x",)], "c string")
+    counted = df.agg(*[a.alias(n) for n, a in pf.kind_measures("a date", F.col("c")).items()], tx.count_where(F.col("c") == "x").alias("x"))
+    assert "_common_expr" not in counted._jdf.queryExecution().optimizedPlan().toString()
+    assert counted.first()["x"] == 1
