@@ -26,6 +26,8 @@ from .sides import narrow
 #: What stands between terms, the scale of a share.
 BETWEEN = r"[\x00-\x40\x5B-\x60\x7B-\x7F]+"
 SCALE = 1_000_000_000
+#: Counts whose product with the scale is a long integer.
+_FITS = 9_000_000_000
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -44,8 +46,10 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def share(count: Column, n: Column, v: Column) -> Column:
-    """p of a term, exact for any count."""
-    return F.call_function("div", (count + 1).cast("decimal(28,0)") * F.lit(SCALE), (n + v).cast("decimal(28,0)")) + 1
+    """p of a term, exact for any count: in long integers where the product fits, in decimals beyond."""
+    more, whole = count.cast("long") + 1, n + v
+    exact = F.call_function("div", more.cast("decimal(28,0)") * F.lit(SCALE), whole.cast("decimal(28,0)"))
+    return F.when(count < _FITS, F.call_function("div", more * F.lit(SCALE), whole.cast("long"))).otherwise(exact) + 1
 
 
 def divergence(p: Column, q: Column) -> Column:
@@ -61,19 +65,28 @@ def _pair_values(kept: DataFrame, groups: DataFrame) -> DataFrame:
     some = narrow(pairs.where("v > 0"))
     counts = materialize(kept.groupBy("lang", "source", "count").agg(F.count("*").alias("terms")), "count-histograms")
 
-    def f(ca: Column, cb: Column) -> Column:
-        return divergence(share(ca, F.col("n_a"), F.col("v")), share(cb, F.col("n_b"), F.col("v"))).cast(wide)
+    def f(ca: Column, cb: Column, n_a: str = "n_a", n_b: str = "n_b") -> Column:
+        return divergence(share(ca, F.col(n_a), F.col("v")), share(cb, F.col(n_b), F.col("v")))
+
+    def over(terms: Column, each: Column) -> Column:
+        return (terms.cast("decimal(20,0)") * each.cast("decimal(20,0)")).cast(wide)
 
     key = ["lang", "source", "item"]
-    neither = pairs.select(*key, F.when(F.col("v") > 0, (F.col("v") - F.col("held_a") - F.col("held_b")) * f(zero, zero)).otherwise(
-        F.lit(0)).cast(wide).alias("value"))
+    neither = pairs.select(*key, F.when(F.col("v") > 0, over(F.col("v") - F.col("held_a") - F.col("held_b"), f(zero, zero))).otherwise(
+        F.lit(0).cast(wide)).alias("value"))
     ca, cb, terms = F.col("ca"), F.col("cb"), F.col("terms")
-    of_a = counts.withColumnRenamed("count", "ca").join(some, ["lang", "source"]).select(*key, (terms * f(ca, zero)).cast(wide).alias("value"))
-    of_b = counts.toDF("lang", "item", "cb", "terms").join(some, ["lang", "item"]).select(*key, (terms * f(zero, cb)).cast(wide).alias("value"))
+    of_a = counts.withColumnRenamed("count", "ca").join(some, ["lang", "source"]).select(*key, over(terms, f(ca, zero)).alias("value"))
+    of_b = counts.toDF("lang", "item", "cb", "terms").join(some, ["lang", "item"]).select(*key, over(terms, f(zero, cb)).alias("value"))
+    # the sources of a term meet in one order, and each cell gives the values of both
     x = kept.select("lang", "term", "source", F.col("count").alias("ca"))
     y = kept.select("lang", "term", F.col("source").alias("item"), F.col("count").alias("cb"))
-    cells = x.join(y, ["lang", "term"]).where("source <> item").groupBy(*key, "ca", "cb").agg(F.count("*").alias("terms"))
-    both = cells.join(some, key).select(*key, (terms * (f(ca, cb) - f(ca, zero) - f(zero, cb) + f(zero, zero))).cast(wide).alias("value"))
+    cells = x.join(y, ["lang", "term"]).where("source < item").groupBy(*key, "ca", "cb").agg(F.count("*").alias("terms"))
+    there = f(ca, cb) - f(ca, zero) - f(zero, cb) + f(zero, zero)
+    back = f(cb, ca, "n_b", "n_a") - f(cb, zero, "n_b", "n_a") - f(zero, ca, "n_b", "n_a") + f(zero, zero, "n_b", "n_a")
+    summed = cells.join(some, key).select(*key, over(terms, there).alias("there"), over(terms, back).alias("back")).groupBy(*key).agg(
+        F.sum("there").alias("there"), F.sum("back").alias("back"))
+    both = summed.select("lang", F.inline(F.array(F.struct("source", "item", F.col("there").alias("value")),
+                                                  F.struct(F.col("item").alias("source"), F.col("source").alias("item"), F.col("back").alias("value")))))
     every = neither.unionByName(of_a).unionByName(of_b).unionByName(both)
     return every.groupBy(*key).agg(F.sum("value").cast("long").alias("value"))
 
@@ -103,8 +116,8 @@ def audit(docs: DataFrame, least_docs: int = 3, upto: int = 200) -> DataFrame:
     """lang, source, part, item, value and rank: part ``pair`` compares a source with each other source of its language,
     part ``term`` lists the ``upto`` terms by which it departs most from the language."""
     counts = materialize(term_counts(docs), "term-counts")
-    lang_terms = counts.groupBy("lang", "term").agg(F.sum("count").alias("lang_count"), F.sum("docs").alias("docs")).where(
-        F.col("docs") >= least_docs).drop("docs")
+    lang_terms = materialize(counts.groupBy("lang", "term").agg(F.sum("count").alias("lang_count"), F.sum("docs").alias("docs")).where(
+        F.col("docs") >= least_docs).drop("docs"), "language-terms")
     kept = materialize(counts.join(lang_terms, ["lang", "term"]).select("lang", "source", "term", "count", "lang_count"), "kept-terms")
     langs = lang_terms.groupBy("lang").agg(F.sum("lang_count").alias("n_lang"), F.count("*").alias("v"))
     held = kept.groupBy("lang", "source").agg(F.sum("count").alias("n"), F.count("*").alias("held"))

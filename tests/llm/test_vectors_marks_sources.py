@@ -10,6 +10,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from sievework.llm import op11_centroids, op12_simhash, op13_divergence
 
@@ -179,3 +180,20 @@ def test_terms_are_dealt_out_once(spark):
     found = op13_divergence.term_counts(docs)
     assert sorted(map(tuple, found.collect())) == [("e", "s", "a", 3, 2), ("e", "s", "b", 1, 1)]
     assert found._jdf.queryExecution().optimizedPlan().toString().count("Generate ") == 1
+
+
+def test_shares_are_exact_on_both_sides_of_the_long_limit(spark):
+    counts, n, v = [0, 1, 8_999_999_999, 9_000_000_000, 4_000_000_000_000_000_000], 4_100_000_000_000_000_000, 7
+    df = spark.createDataFrame([(c, n, v) for c in counts], "c long, n long, v long")
+    got = [r[0] for r in df.select(op13_divergence.share(F.col("c"), F.col("n"), F.col("v"))).collect()]
+    assert got == [1 + 1_000_000_000 * (c + 1) // (n + v) for c in counts]
+    assert op13_divergence._FITS * op13_divergence.SCALE <= 2 ** 63 - 1
+
+
+def test_pairs_of_sources_keep_both_directions(spark):
+    rows = [("en", s, " ".join(w)) for s, w in [("a", ["x"] * 5 + ["y"]), ("b", ["x", "y", "y"]), ("c", ["x", "z"]), ("a", ["z", "y"]), ("b", ["z"] * 4)]]
+    df = spark.createDataFrame(rows, "lang string, source string, text string")
+    got = {(r["source"], r["item"]): r["value"] for r in op13_divergence.audit(df).where("part = 'pair'").collect()}
+    words = {s: [w for _, t, x in rows if t == s for w in x.split()] for s in "abc"}
+    p = {s: {w: 1 + 10 ** 9 * (ws.count(w) + 1) // (len(ws) + 3) for w in "xyz"} for s, ws in words.items()}
+    assert got == {(s, o): sum((p[s][w] - p[o][w]) ** 2 // p[o][w] for w in "xyz") for s in "abc" for o in "abc" if s != o}
