@@ -18,7 +18,7 @@ import pyarrow.compute as pc
 import xxhash
 
 #: Bytes of text hashed at a time; temporary arrays take some forty times as much.
-SLICE_BYTES = 1 << 21
+SLICE_BYTES = 1 << 19
 
 #: Words of more bytes are hashed one at a time.
 LONG_WORD = 64

@@ -6,9 +6,12 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from sievework.llm import components, op2_substrings, op8_benchmark, op9_jaccard
+from sievework.session import prepare
 
 ROW = "doc_id long, text string, lang string, kept boolean, place string"
 
@@ -195,3 +198,13 @@ def test_regular_words_and_texts(spark):
         cut = {r[0]: tuple(r)[1:] for r in op2_substrings.kept_digest(frame(spark, texts), 50).collect()}
         assert cut == plain_cut(texts, 50)
         assert {r[0]: tuple(r)[1:] for r in op9_jaccard.similar_groups(frame(spark, texts), 4, 85).collect()} == plain_groups(texts, 4, 85)
+
+
+def test_texts_reach_python_in_batches_bounded_in_bytes(spark):
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    texts = prepare(spark).range(0, 3000, 1, 1).select(F.lpad(F.col("id").cast("string"), 10_000, "x").alias("text"))
+    got = [r["n"] for r in texts.mapInArrow(sizes, "n long").collect()]
+    assert sum(got) >= 30_000_000 and max(got) < 8_000_000
