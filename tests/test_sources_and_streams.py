@@ -4,6 +4,7 @@ import gzip
 import random
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from sievework.session import shared_dir, work_path
@@ -86,6 +87,47 @@ def test_texts_are_written_by_all_tasks_into_small_folders(spark, tmp_path, monk
     assert files.find_files(spark, folder).count() == len(texts)
 
 
+@pytest.fixture
+def odd_names(tmp_path):
+    """Names and kinds of entries that Spark's reader leaves out, next to some that it takes."""
+    for below in ("sub/deep", "_hidden", ".dot", "k=v", "_x=y"):
+        (tmp_path / "odd" / below).mkdir(parents=True)
+    names = ["a.txt", "_metadata.txt", "_m.txt", ".h.txt", "_a=b.txt", "sp ace %41.txt", "br[1].txt", "é.txt", "y.md", "A.TXT",
+             "x._COPYING_", "sub/b.txt", "sub/deep/c.txt", "_hidden/d.txt", ".dot/e.txt", "k=v/f.txt", "_x=y/g.txt", "line\n.txt"]
+    for name in names:
+        (tmp_path / "odd" / name).write_text(f"words of {name}")
+    (tmp_path / "odd" / "empty.txt").touch()
+    (tmp_path / "odd" / "link.txt").symlink_to(tmp_path / "odd" / "a.txt")
+    (tmp_path / "odd" / "linked").symlink_to(tmp_path / "odd" / "sub")
+    (tmp_path / "odd" / "nowhere.txt").symlink_to(tmp_path / "none")
+    return str(tmp_path / "odd")
+
+
+def test_files_are_listed_and_read_by_tasks(spark, odd_names, monkeypatch):
+    monkeypatch.setattr(files, "LISTED_ROWS", 2)
+    monkeypatch.setattr(files, "READ_BYTES", 30)
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(odd_names)
+    expected = sorted((r["path"], r["length"], bytes(r["content"])) for r in read.collect() if r["path"].lower().endswith((".txt", ".md")))
+    for folder in (odd_names, f"file://{odd_names}/"):
+        found, listed = files.find_files(spark, folder, with_content=True), files.find_files(spark, folder)
+        assert sorted((r["path"], r["length"], bytes(r["content"])) for r in found.collect()) == expected and len(expected) > 8
+        assert [tuple(r) for r in listed.collect()] == [e[:2] for e in expected]
+        assert not any(".txt" in name for df in (found, listed) for name in df.inputFiles())  # the driver knows of no single file
+    assert [tuple(r)[:2] for r in files.find_files(spark, f"{odd_names}/a.txt").collect()] == [(f"file:{odd_names}/a.txt", 14)]
+    assert files.find_files(spark, f"{odd_names}/sub", recursive=False).count() == 1
+    with pytest.raises(AnalysisException):
+        files.find_files(spark, f"{odd_names}/absent")
+
+
+def test_a_task_that_runs_again_writes_the_same_files(spark, tmp_path):
+    rows = spark.createDataFrame([(f"text {i}",) for i in range(40)], "text string").coalesce(1)
+    folder = str(tmp_path / "texts")
+    for _ in range(2):
+        files.write_texts(rows, "text", folder)
+    assert sorted(p.read_text() for p in (tmp_path / "texts").rglob("*.txt")) == sorted(f"text {i}\n" for i in range(40))
+    assert not list((tmp_path / "texts").glob(".*"))
+
+
 def test_a_bad_byte_does_not_fail_a_folder(spark, tmp_path):
     (tmp_path / "good.md").write_text("good words")
     (tmp_path / "bad.md").write_bytes(b"some \xff\xfe bytes \xe9")
