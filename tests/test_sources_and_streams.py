@@ -128,6 +128,14 @@ def test_a_task_that_runs_again_writes_the_same_files(spark, tmp_path):
     assert not list((tmp_path / "texts").glob(".*"))
 
 
+def test_a_folder_is_ingested_by_tasks(spark, odd_names):
+    for pattern in ("*.txt", "[ab_]*.{txt,md}", "?.*", "br\\[1\\].txt"):
+        read = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(odd_names)
+        passages = files.ingest_folder(spark, odd_names, pattern)
+        assert sorted(r["source"] for r in passages.collect()) == sorted(r["path"].rsplit("/", 1)[1] for r in read.collect())
+        assert not any(".txt" in name for name in passages.inputFiles())
+
+
 def test_a_bad_byte_does_not_fail_a_folder(spark, tmp_path):
     (tmp_path / "good.md").write_text("good words")
     (tmp_path / "bad.md").write_bytes(b"some \xff\xfe bytes \xe9")
