@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import glob
 import math
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.parquet as pq
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import FloatType
 
 from ..functions import text as tx
-from ..session import materialize
+from ..session import local_path, materialize, shared_dir, work_path
 
 # --- fixed values: ranking constants ---------------------------------------------------------------
 BM25_K1, BM25_B, BM25_EPSILON = 1.5, 0.75, 0.25
@@ -141,11 +146,18 @@ def _dense_top_by_scan(queries: DataFrame, passages: DataFrame, n: int, floor: f
 # in a cell whose members lie between angles a and b from its pivot is at least max(t - b, a - t) away
 # from a query at angle t.  Step one searches each query's own cell and thereby bounds its n-th best
 # angle; step two visits only the cells that can still beat the bound.  Nothing is approximated.
+#
+# Where the shared folder is local or mounted, both sides are written to it once, sorted by cell, and a task holds
+# some queries while it reads the passages of the cells that are still open; products are never written.  Any other
+# store takes the way through shuffles, which copies a query for each cell it visits.
 
 CELL_ROWS = 4_096  # rows of one side in one block product
 MAX_PIVOTS = 256
 VISIT_ROWS = 16_384  # visits a task hands on at a time: a batch of queries may have MAX_PIVOTS times as many as rows
 ANGLE_SLACK = 1e-6
+SCAN_QUERIES = 8_192  # queries that a task holds while it reads the passages
+SCAN_BYTES = 1 << 20  # vectors of passages that are read at a time
+PAIRS = 32_768  # pairs whose similarity is taken exactly at a time
 ROUNDING = 10.0 ** -RANK_DECIMALS  # a similarity may be this much smaller than what it is rounded to
 
 
@@ -158,12 +170,16 @@ def _dense_top_without_copies(queries: DataFrame, passages: DataFrame, n: int, f
     vector has, the search sees a bounded number of them, and nothing is lost.
     """
     wanted = n + 1 if exclude_self else n
-    few = materialize(top_n(passages.select("id", "embedding"), ["embedding"], [F.asc("id")], wanted).drop("rank"),
-                      "distinct-passages")
+    few = top_n(passages.select("id", "embedding"), ["embedding"], [F.asc("id")], wanted).drop("rank")
     firsts = queries.groupBy("embedding").agg(F.min("query_id").alias("asked_id"))
-    asked = materialize(queries.select("query_id", "embedding").join(firsts, "embedding"), "asked")
-    distinct = asked.where(F.col("query_id") == F.col("asked_id")).select("query_id", "embedding")
-    hits = _dense_top_by_cells(distinct, few, wanted, floor)
+    asked = queries.select("query_id", "embedding").join(firsts, "embedding")
+    is_first = F.col("query_id") == F.col("asked_id")
+    spark = passages.sparkSession
+    if local_path(spark, shared_dir(spark)) is None:
+        few, asked = materialize(few, "distinct-passages"), materialize(asked, "asked")
+        hits = _dense_top_by_cells(asked.where(is_first).select("query_id", "embedding"), few, wanted, floor)
+    else:
+        asked, hits = _dense_top_by_files(asked.withColumn("is_first", F.coalesce(is_first, F.lit(False))), few, passages, wanted, floor)
     hits = top_n(hits, ["query_id"], [F.desc("similarity"), F.asc("id")], wanted)
     answers = asked.select("query_id", "asked_id").join(
         hits.select(F.col("query_id").alias("asked_id"), "id", "similarity"), "asked_id")
@@ -288,6 +304,220 @@ def _dense_top_by_cells(queries: DataFrame, passages: DataFrame, n: int, floor:
     return home.select("query_id", "id", "similarity").unionByName(away)
 
 
+def _written_by_cell(df: DataFrame, keep: list[str], shared, label: str) -> str:
+    """Write vectors as packed bytes with their cell and the angle to its pivot, sorted by cell; those with is_first false go without."""
+    kind = "f4" if isinstance(df.schema["embedding"].dataType.elementType, FloatType) else "f8"
+
+    def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not len(batch):
+                continue
+            embeddings = batch.column("embedding")
+            widths = pc.unique(pc.list_value_length(embeddings)).to_pylist()
+            if len(widths) != 1 or widths[0] is None:
+                raise ValueError(f"embeddings of unlike lengths: {widths}")
+            vectors = embeddings.flatten().to_numpy(zero_copy_only=False).reshape(len(batch), widths[0])
+            angles = _angles(_unit(vectors), shared.value)
+            cell = angles.argmin(axis=1)
+            packed = pa.array(_packed(vectors.astype(kind)), pa.binary())
+            if "is_first" in keep:
+                packed = pc.if_else(batch.column("is_first"), packed, None)
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in keep), packed, pa.array(cell, pa.int32()), pa.array(angles[np.arange(len(cell)), cell])],
+                [*keep, "vector", "cell", "angle"])
+
+    path = work_path(df.sparkSession, label)
+    kinds = ", ".join(f"{c} {df.schema[c].dataType.simpleString()}" for c in keep)
+    (df.select(*keep, "embedding").mapInArrow(assign, f"{kinds}, vector binary, cell int, angle double")
+     .sortWithinPartitions("cell").write.option("parquet.block.size", SCAN_BYTES).parquet(path))
+    return path
+
+
+def _unit(vectors: np.ndarray) -> np.ndarray:
+    m = vectors.astype("float64")
+    norms = np.linalg.norm(m, axis=1, keepdims=True)
+    norms[norms == 0] = ZERO_NORM
+    return m / norms
+
+
+def _angles(units: np.ndarray, pivots: np.ndarray) -> np.ndarray:
+    """Angles to all pivots; a vector that holds NaN is far from everything."""
+    return np.nan_to_num(np.arccos(np.clip(units @ pivots.T, -1.0, 1.0)), nan=np.pi)
+
+
+def _parts(path: str) -> list[str]:
+    return sorted(glob.glob(f"{glob.escape(path)}/*.parquet"))
+
+
+def _rows_of(file: str, start: int, stop: int, columns: list[str]) -> pa.Table:
+    """Rows of a Parquet file by their number; only the row groups that hold some are read."""
+    source, tables, first = pq.ParquetFile(file), [], 0
+    for g in range(source.num_row_groups):
+        n = source.metadata.row_group(g).num_rows
+        if first < stop and start < first + n:
+            tables.append(source.read_row_group(g, columns).slice(max(start - first, 0), min(stop, first + n) - max(start, first)))
+        first += n
+    return pa.concat_tables(tables)
+
+
+def _cells_within(source: pq.ParquetFile, g: int, last: int) -> tuple[int, int]:
+    """First and last cell of a row group by its statistics; every cell where it has none."""
+    group = source.metadata.row_group(g)
+    of_cell = next(group.column(i) for i in range(group.num_columns) if group.column(i).path_in_schema == "cell")
+    known = of_cell.statistics if of_cell.is_stats_set and of_cell.statistics.has_min_max else None
+    return (known.min, known.max) if known else (0, last)
+
+
+class _Best:
+    """The n best passages of some queries, and the similarity that a passage needs to become one."""
+
+    def __init__(self, units: np.ndarray, n: int, low: np.ndarray):
+        self.units, self.narrow, self.n, self.least, self.low = units, units.astype("float32"), n, low, low.copy()
+        self.sims = np.full((len(units), n), -np.inf)
+        self.nulls, self.ids = np.zeros((len(units), n), dtype=bool), None
+        # what a product of 32-bit numbers may lack, and what rounding may add
+        self.slack = (units.shape[1] + 4) * 2.0 ** -23 + ROUNDING
+
+    def offer(self, rows: np.ndarray, units: np.ndarray, ids: np.ndarray, nulls: np.ndarray) -> None:
+        """Compare passages with some of the queries: 32-bit products tell which pairs are worth an exact one."""
+        narrow = units.astype("float32")
+        for start in range(0, len(rows), QUERY_ROWS):
+            asked = rows[start:start + QUERY_ROWS]
+            scores = self.narrow[asked] @ narrow.T
+            near = scores >= (self.low[asked] - self.slack).astype("float32")[:, None]
+            if np.count_nonzero(near) > 16 * self.n * len(asked):  # few bounds yet: the n best of this block are a bound as well
+                busy = np.flatnonzero(near.sum(axis=1) > 16 * self.n)
+                found = np.nan_to_num(scores[busy], nan=-np.inf, posinf=-np.inf, neginf=-np.inf)
+                nth = np.partition(found, found.shape[1] - self.n, axis=1)[:, found.shape[1] - self.n]
+                near[busy] &= found >= (nth - np.float32(2 * self.slack))[:, None]
+            row, col = np.divmod(np.flatnonzero(near), near.shape[1])
+            for first in range(0, len(row), PAIRS):
+                r, c = asked[row[first:first + PAIRS]], col[first:first + PAIRS]
+                sims = np.round(np.einsum("ij,ij->i", self.units[r], units[c]), RANK_DECIMALS)
+                kept = (sims >= self.low[r]) & (sims > -np.inf)
+                if kept.any():
+                    self._add(r[kept], sims[kept], ids[c[kept]], nulls[c[kept]])
+
+    def _add(self, rows: np.ndarray, sims: np.ndarray, ids: np.ndarray, nulls: np.ndarray) -> None:
+        if self.ids is None:
+            self.ids = np.empty(self.sims.shape, dtype=ids.dtype)
+        touched = np.unique(rows)
+        r, c = np.nonzero(self.sims[touched] > -np.inf)
+        r = touched[r]
+        rows, sims = np.concatenate([r, rows]), np.concatenate([self.sims[r, c], sims])
+        ids, nulls = np.concatenate([self.ids[r, c], ids]), np.concatenate([self.nulls[r, c], nulls])
+        order = np.lexsort((ids, ~nulls, -sims, rows))
+        at = np.arange(len(order))
+        starts = np.concatenate([[True], rows[order][1:] != rows[order][:-1]])
+        rank = at - np.maximum.accumulate(np.where(starts, at, 0))
+        order, rank = order[rank < self.n], rank[rank < self.n]
+        self.sims[rows[order], rank], self.ids[rows[order], rank], self.nulls[rows[order], rank] = sims[order], ids[order], nulls[order]
+        self.low[touched] = np.maximum(self.least[touched], self.sims[touched, self.n - 1])
+
+
+def _passages_of(table: pa.Table, kind: str, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, pa.DataType]:
+    """(units, ids, which ids are null, type of the ids) of rows of passages."""
+    ids = table.column("id").combine_chunks()
+    nulls = ids.is_null().to_numpy(zero_copy_only=False)
+    empty = "" if pa.types.is_string(ids.type) else b"" if pa.types.is_binary(ids.type) else 0
+    values = (ids.fill_null(pa.scalar(empty, ids.type)) if nulls.any() else ids).to_numpy(zero_copy_only=False)
+    return _unit(_read_vectors(table, kind, width)), values, nulls, ids.type
+
+
+def _read_vectors(table: pa.Table, kind: str, width: int) -> np.ndarray:
+    return np.frombuffer(b"".join(table.column("vector").to_pylist()), dtype=kind).reshape(len(table), width)
+
+
+def _dense_top_by_files(asked: DataFrame, few: DataFrame, passages: DataFrame, n: int, floor: float | None) -> tuple[DataFrame, DataFrame]:
+    """(query_id, asked_id) as written, and the n best passages of the first queries.
+
+    A task holds SCAN_QUERIES queries, bounds them by passages of their own cells, then reads the passages of all cells
+    that are not ruled out.  Memory and disk grow with the rows, not with the pairs.
+    """
+    spark = passages.sparkSession
+    schema = _candidate_schema(asked, few)
+    pivots = np.unique(_pivots(passages, min(MAX_PIVOTS, max(1, math.isqrt(passages.count())))), axis=0)
+    if not len(pivots):
+        return asked, spark.createDataFrame([], schema)
+    shared = spark.sparkContext.broadcast(pivots)
+    members = _written_by_cell(few, ["id"], shared, "cells-passages")
+    queries = _written_by_cell(asked, ["query_id", "asked_id", "is_first"], shared, "cells-queries")
+    rings = spark.read.parquet(members).groupBy("cell").agg(F.min("angle"), F.max("angle")).collect()  # at most MAX_PIVOTS rows
+    near, far = np.full(len(pivots), np.inf), np.full(len(pivots), -np.inf)
+    for cell, least, most in rings:
+        near[cell], far[cell] = least, most
+    kinds = ["f4" if isinstance(df.schema["embedding"].dataType.elementType, FloatType) else "f8" for df in (asked, few)]
+    query_files, files = (_parts(local_path(spark, path)) for path in (queries, members))
+    held = [(file, pq.read_metadata(file).num_rows) for file in query_files]
+    size = min(SCAN_QUERIES, max(QUERY_ROWS, math.ceil(sum(k for _, k in held) / (4 * spark.sparkContext.defaultParallelism))))
+    work = [(file, start, min(start + size, k)) for file, k in held for start in range(0, k, size)]
+    group_rows, slack = CELL_ROWS, ANGLE_SLACK
+    width = pivots.shape[1]
+
+    def search(file: str, start: int, stop: int) -> Iterator[pa.RecordBatch]:
+        rows = _rows_of(file, start, stop, ["query_id", "vector", "is_first"])
+        rows = rows.filter(rows.column("is_first")).combine_chunks()
+        if not len(rows):
+            return
+        units = _unit(_read_vectors(rows, kinds[0], width))
+        angles = _angles(units, shared.value)
+        home, everyone = angles.argmin(axis=1), np.arange(len(units))
+        low = np.full(len(units), -np.inf if floor is None else floor)
+        bounds = _Best(units, n, low)
+        for part in files:  # any passages of its own cell bound a query
+            open_ = np.isneginf(bounds.sims[:, n - 1])
+            if not open_.any():
+                break
+            for found, cells in _groups(part, lambda first, last: (open_ & (home >= first) & (home <= last)).any()):
+                for cell in np.unique(cells):
+                    mine, there = everyone[open_ & (home == cell)], cells == cell
+                    if len(mine):
+                        bounds.offer(mine, found[0][there], found[1][there], found[2][there])
+        # a passage is at least this far; what still rounds to the n-th similarity, or to the floor, may win by its id
+        gap = np.maximum(np.maximum(angles - far, near - angles), 0.0)
+        best, id_type = _Best(units, n, bounds.low), None
+
+        def reach() -> np.ndarray:
+            return np.arccos(np.clip(best.low - ROUNDING, -1.0, 1.0)) + slack
+
+        for part in files:
+            for found, cells in _groups(part, lambda first, last: (gap[:, first:last + 1].min(axis=1) <= reach()).any()):
+                id_type = found[3]
+                runs = np.unique(cells)
+                open_ = gap[:, runs] <= reach()[:, None]
+                some, sizes = open_.any(axis=1), np.bincount(np.searchsorted(runs, cells))
+                if 2 * (open_.sum(axis=0) * sizes).sum() < some.sum() * len(cells):
+                    for k, cell in enumerate(runs):
+                        there = cells == cell
+                        best.offer(everyone[open_[:, k]], found[0][there], found[1][there], found[2][there])
+                else:
+                    best.offer(everyone[some], *found[:3])
+        row, rank = np.nonzero(best.sims > -np.inf)
+        if len(row):
+            yield pa.RecordBatch.from_arrays(
+                [rows.column("query_id").combine_chunks().take(pa.array(row)),
+                 pa.array(best.ids[row, rank], id_type, mask=best.nulls[row, rank]), pa.array(best.sims[row, rank])],
+                ["query_id", "id", "similarity"])
+
+    def _groups(part: str, wanted) -> Iterator[tuple]:
+        """Blocks of a file's passages with their cells, those of row groups whose range of cells is wanted."""
+        source = pq.ParquetFile(part)
+        for g in range(source.num_row_groups):
+            if wanted(*_cells_within(source, g, len(near) - 1)):
+                table = source.read_row_group(g, ["id", "vector", "cell"])
+                for start in range(0, len(table), group_rows):
+                    block = table.slice(start, group_rows)
+                    yield _passages_of(block, kinds[1], width), block.column("cell").to_numpy()
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in batch.column("id").to_pylist():
+                yield from search(*work[k])
+
+    hits = spark.range(0, len(work), 1, max(1, len(work))).mapInArrow(scan, schema)
+    return spark.read.parquet(queries).select("query_id", "asked_id"), materialize(hits, "cell-hits")
+
+
 # --- keywords ------------------------------------------------------------------------------------------
 
 def tokenized(passages: DataFrame) -> DataFrame:

@@ -5,12 +5,15 @@ from __future__ import annotations
 import math
 import random
 import re
+from pathlib import Path
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from sievework.operators import retrieval as rt
+from sievework.session import shared_dir
 
 
 def vectors(n, dim=6, seed=0, copies=0):
@@ -184,3 +187,51 @@ def test_visits_are_handed_on_in_bounded_slices(monkeypatch):
     assert max(map(len, parts)) == 7
     found = [(q, u, c) for p in parts for q, u, c in zip(p["query_id"], p["unit"], p["cell"])]
     assert found == [(q, units[q], 100 + c) for q, c in zip(*np.nonzero(open_))]
+
+
+def test_best_of_some_queries_is_exact_at_any_block(monkeypatch):
+    """Ties, ids that are null or repeated, NaN, and slices of a few pairs."""
+    monkeypatch.setattr(rt, "QUERY_ROWS", 4)
+    monkeypatch.setattr(rt, "PAIRS", 5)
+    rng = np.random.default_rng(11)
+    units = rt._unit(np.concatenate([rng.normal(size=(30, 6)), np.ones((200, 6)) + 1e-5 * rng.normal(size=(200, 6)), np.zeros((1, 6)), np.full((1, 6), np.nan)]))
+    asked, n = units[[0, 1, 40, 230, 231]], 4
+    ids = rng.integers(0, 150, len(units))
+    nulls = rng.random(len(units)) < 0.05
+    best = rt._Best(asked, n, np.full(len(asked), -np.inf))
+    for start in range(0, len(units), 50):
+        block = slice(start, start + 50)
+        best.offer(np.arange(len(asked)), units[block], ids[block], nulls[block])
+    for q in range(len(asked)):
+        sims = np.round(asked[q] @ units.T, rt.RANK_DECIMALS)
+        order = sorted((-s, not null, 0 if null else i) for s, i, null in zip(sims, ids, nulls) if not np.isnan(s))[:n]
+        found = [(-s, not null, 0 if null else i) for s, i, null in zip(best.sims[q], best.ids[q] if len(order) else [], best.nulls[q])]
+        assert found == order if order else (best.sims[q] == -np.inf).all()
+
+
+def test_cells_write_nothing_that_grows_with_the_pairs(spark):
+    """Vectors without clusters: every cell stays open to every query, yet a vector is written only once for each side."""
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(3000, 8)).tolist()
+    shared = Path(shared_dir(spark))
+    before = set(shared.rglob("*.parquet"))
+    found = ranked(rt.dense_top(table(spark, rows, "query_id"), table(spark, rows), 3, broadcast_components=0))
+    expected = brute(rows, rows, 3)
+    assert {k: [j for j, _ in v] for k, v in found.items()} == {k: [j for j, _ in v] for k, v in expected.items()}
+    assert sum(pq.read_metadata(p).num_rows for p in set(shared.rglob("*.parquet")) - before) <= 3000 + 3000 + 3 * 3000
+
+
+def test_vectors_meet_in_a_store_that_only_spark_reads(spark, monkeypatch):
+    monkeypatch.setattr(rt, "local_path", lambda *_: None)
+    rows = vectors(60, seed=9, copies=5)
+    found = ranked(rt.dense_top(table(spark, rows, "query_id"), table(spark, rows), 3, exclude_self=True, broadcast_components=0))
+    assert {k: [j for j, _ in v] for k, v in found.items()} == {k: [j for j, _ in v] for k, v in brute(rows, rows, 3, exclude_self=True).items()}
+
+
+def test_cells_keep_the_types_of_ids(spark):
+    rows = [(f"p{i:02d}", [float(i % 5), 1.0, float(i)]) for i in range(12)] + [(None, [1.0, 1.0, 1.0])]
+    passages = spark.createDataFrame(rows, "id string, embedding array<double>")
+    asked = spark.createDataFrame([(f"q{i}", v) for i, (_, v) in enumerate(rows)], "query_id string, embedding array<double>")
+    by_scan, by_cells = (ranked(rt.dense_top(asked, passages.where("id IS NOT NULL"), 4, **limits)) for limits in ({}, {"broadcast_components": 0}))
+    assert by_cells == by_scan
+    assert ranked(rt.dense_top(asked, passages, 4, broadcast_components=0))["q12"][0] == (None, 1.0)
